@@ -16,6 +16,9 @@ import numpy as np
 #: Distinct units whose ids a worker keeps; when full, it starts anew.
 CACHE_UNITS = 500_000
 
+#: Units that go to the library in one call.
+RUN_UNITS = 2000
+
 _UNIT = re.compile(r"\s*\S+|\s+")
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -44,6 +47,13 @@ class UnitEncoder:
         self.crossing = [t.content for t in added if t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content)]
         pre = str(type(self.library.pre_tokenizer).__name__)
         self.by_units = pre == "ByteLevel" and self.library.normalizer is None
+        self.n_bytes = None
+        if self.by_units:  # each letter of a byte-level vocabulary stands for a byte
+            words = self.library.get_vocab(with_added_tokens=False)
+            self.n_bytes = np.zeros(max(self.library.get_vocab().values()) + 1, np.int64)
+            self.n_bytes[np.fromiter(words.values(), np.int64, len(words))] = np.fromiter(map(len, words), np.int64, len(words))
+            for number, token in self.library.get_added_tokens_decoder().items():
+                self.n_bytes[number] = len(token.content.encode())
         self._clear()
 
     def _clear(self) -> None:
@@ -57,14 +67,35 @@ class UnitEncoder:
     def _library(self, texts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(list(texts), add_special_tokens=False)]
 
+    def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, count of each) of units that begin with white space, encoded in long runs, as a call costs more than a unit. The ids' byte lengths show where a unit ends."""
+        runs = ["".join(units[k : k + RUN_UNITS]) for k in range(0, len(units), RUN_UNITS)]
+        ids = np.concatenate([np.array(x, np.uint32) for x in self._library(runs)])
+        ends = np.cumsum(self.n_bytes[ids])
+        until = np.cumsum(np.fromiter((len(u) if u.isascii() else len(u.encode()) for u in units), np.int64, len(units)))
+        last = np.searchsorted(ends, until, side="right")
+        if ends[-1] != until[-1] or (ends[last - 1] != until).any():
+            return None
+        return ids, np.diff(last, prepend=0)
+
     def _learn(self, units: list[str]) -> None:
-        found = self._library(units)
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(count.sum())
+        join = [k for k, u in enumerate(units) if u[0] in " \n\t" and not u.isspace()]
+        done = self._joined([units[k] for k in join]) if join and self.n_bytes is not None else None
+        if done is None:
+            join, done = [], (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        skip = set(join)
+        alone = [k for k in range(len(units)) if k not in skip]
+        found = self._library([units[k] for k in alone])
+        count, place = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        count[join], count[alone] = done[1], np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.concatenate([done[0], np.fromiter((i for x in found for i in x), np.uint32)])
+        total = len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
-        self.first = np.concatenate([self.first, self.used + np.cumsum(count) - count])
+        self.flat[self.used : self.used + total] = ids
+        for part, start in ((join, 0), (alone, len(done[0]))):
+            place[part] = start + np.cumsum(count[part]) - count[part]
+        self.first = np.concatenate([self.first, self.used + place])
         self.count = np.concatenate([self.count, count])
         self.used += total
 
