@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, rans, token_counts
+from . import bitsliced, bpe, packing, rans, simhash, token_counts
 from .common import documents
 
 
@@ -33,10 +33,21 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op8_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", simhash.hex_fingerprint(found.fp).alias("fingerprint"), "component_id")
+
+
+def op10_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rans_ids": op1_rans_ids,
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_simhash_bktree": op8_simhash_bktree,
+    "op10_bitsliced_topk": op10_bitsliced_topk,
 }
 ORACLES: dict[str, str] = {}
