@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced, bpe, packing, rans, simhash, token_counts
+from . import bitsliced, bpe, packing, quality, rans, simhash, token_counts, toxicity
 from .common import documents
 
 
@@ -42,11 +42,25 @@ def op10_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op6_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op9_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rans_ids": op1_rans_ids,
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_lexicon_toxicity": op6_lexicon_toxicity,
+    "op9_nbsvm_quality": op9_nbsvm_quality,
     "op8_simhash_bktree": op8_simhash_bktree,
     "op10_bitsliced_topk": op10_bitsliced_topk,
 }
