@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Labelled rows to fit on at most: those whose ids have the smallest hashes. Fitting needs no more at any size of the corpus.
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:

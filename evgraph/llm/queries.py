@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced, bpe, packing, quality, rans, simhash, token_counts, toxicity
+from . import bitsliced, bpe, licences, packing, perplexity, quality, rans, simhash, token_counts, toxicity
 from .common import documents
 
 
@@ -21,6 +21,10 @@ def op1_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.encoded_digests(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -33,6 +37,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op7_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality_rules(documents(spark, sf_dir))
+
+
 def op8_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex_fingerprint(found.fp).alias("fingerprint"), "component_id")
@@ -56,12 +64,14 @@ def op9_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rans_ids": op1_rans_ids,
+    "op2_licence_scan": op2_licence_scan,
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_lexicon_toxicity": op6_lexicon_toxicity,
-    "op9_nbsvm_quality": op9_nbsvm_quality,
+    "op7_perplexity_rules": op7_perplexity_rules,
     "op8_simhash_bktree": op8_simhash_bktree,
+    "op9_nbsvm_quality": op9_nbsvm_quality,
     "op10_bitsliced_topk": op10_bitsliced_topk,
 }
 ORACLES: dict[str, str] = {}
