@@ -205,8 +205,8 @@ def fit_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     return fit(*labelled_sample(docs, labels, "toxic", folds, held_out))
 
 
-def score(docs: DataFrame, lexicon: Lexicon, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, with score (0 to 1) and hits, a row for each row of docs.
+def score(docs: DataFrame, lexicon: Lexicon, keep: Sequence[str] = ("doc_id",), names: tuple[str, str] = ("score", "hits")) -> DataFrame:
+    """The columns in keep, with score (0 to 1) and hits under the given names, a row for each row of docs.
 
     A null text is empty and has the score of a text without hits. Repeated rows give repeated results; other columns
     are ignored. No shuffle; the lexicon is broadcast (bounded by the rows fitted on).
@@ -218,9 +218,9 @@ def score(docs: DataFrame, lexicon: Lexicon, keep: Sequence[str] = ("doc_id",))
         for rows, texts in common.split_batches(batches):
             x = np.array([model.measures(t) for t in texts]).reshape(-1, 3)
             values = sigmoid(_curve(x) @ model.factors[:-1] + model.factors[-1])
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(values), pa.array(x[:, 2].astype(np.int64))], [*keep, "score", "hits"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(values), pa.array(x[:, 2].astype(np.int64))], [*keep, *names])
 
-    schema = docs.select(*keep).schema.add("score", "double").add("hits", "long")
+    schema = docs.select(*keep).schema.add(names[0], "double").add(names[1], "long")
     return docs.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(run, schema)
 
 
