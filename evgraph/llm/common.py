@@ -7,10 +7,14 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of text in a batch that stays in Arrow.
+BATCH_BYTES = 8_000_000
 #: Characters of text that one inner batch holds at most (a longer text is a batch of its own).
 BATCH_CHARS = 2_000_000
 
@@ -69,6 +73,18 @@ def text_batches(batch: pa.RecordBatch, column: str = "text", chars: int = BATCH
         yield first, held
 
 
+def sliced_batches(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into runs of at most so many bytes of text (a longer text is a batch of its own)."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < batch.num_rows:
+            before = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def split_batches(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Arrow batches cut into runs of bounded text, each with its texts (null: empty)."""
     for batch in batches:

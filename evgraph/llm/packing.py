@@ -78,8 +78,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, room: int = MAX_TO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(vocabulary).encode, TaskContext.get().partitionId()
         seen = np.zeros(room + 1, np.int64)
-        for rows, texts in common.split_batches(batches):
-            ids, count = encode(texts)
+        for rows in common.sliced_batches(batches):
+            ids, count = encode(rows.column("text"))
             ids = np.insert(ids, np.cumsum(count), np.uint32(end_id))
             data, at = memoryview(ids.astype("<u4").tobytes()), 0
             out: list[tuple] = []

@@ -220,8 +220,8 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end_id: int | None =
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds)], ["part", "segment", "first", "n_tokens", "doc_ids", "doc_tokens", "table", "blocks"])
 
-        for rows, texts in common.split_batches(batches):
-            ids, count = encode(texts)
+        for rows in common.sliced_batches(batches):
+            ids, count = encode(rows.column("text"))
             if end_id is not None:
                 ids = np.insert(ids, np.cumsum(count), np.uint32(end_id))
                 count = count + 1

@@ -164,7 +164,7 @@ class PieceCounter:
     def count(self, texts: list[str]) -> np.ndarray:
         if len(self.index) > CACHE_PIECES:
             self._clear()
-        known, get, numbers, sizes, extra = len(self.index), self.index.__getitem__, [], [], []
+        get, numbers, sizes, extra = self.index.__getitem__, [], [], []
         for text in texts:
             special = 0
             if self.cut is not None and self.cut.search(text):
@@ -176,8 +176,7 @@ class PieceCounter:
             sizes.append(len(pieces))
             extra.append(special)
             numbers.append(np.fromiter(map(get, pieces), np.int64, len(pieces)))
-        new = list(self.index)[known:]
-        if new:
+        if new := self.index.take():
             self.counts = np.concatenate([self.counts, self.merger.count([p.encode() for p in new])])
         all_ = np.concatenate(numbers or [np.zeros(0, np.int64)])
         return segment_sums(self.counts[all_], np.array(sizes, np.int64)) + np.array(extra, np.int64)

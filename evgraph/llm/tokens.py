@@ -10,26 +10,57 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct units whose ids a worker keeps; when full, it starts anew.
-CACHE_UNITS = 500_000
+CACHE_UNITS = 1_200_000
 
 #: Units that go to the library in one call.
-RUN_UNITS = 2000
+RUN_UNITS = 500
 
 _UNIT = re.compile(r"\s*\S+|\s+")
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = re.compile("[\x00\x1c-\x1f]")
+
+
+def unit_keys(text: str) -> list[str]:
+    """The units of a text as keys: what follows a space alone; \\0 before what begins the text; else the unit itself."""
+    keys = _UNIT.findall(text)
+    if keys and not keys[0][0].isspace():
+        keys[0] = "\0" + keys[0]
+    return keys
+
+
+def unit_of_key(key: str) -> str:
+    return key[1:] if key[0] == "\0" else key if key[0].isspace() else " " + key
+
+
+def misplaced(key: str) -> bool:
+    """Whether a key of a plain split at spaces and line ends isn't a unit: white space at its ends, or a character that could be."""
+    rest = key[1:] if key[:1] in ("\0", "\n") else key
+    if not rest:
+        return key != "\0"  # alone, it begins an empty text
+    return rest[0].isspace() or rest[-1].isspace() or bool(_ODD.search(rest))
 
 
 class _Index(dict):
-    """Numbers keys in the order in which they are first asked for."""
+    """Numbers keys in the order in which they are first asked for; fresh: those not yet taken."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
 
     def __missing__(self, key: str) -> int:
         value = self[key] = len(self)
+        self.fresh.append(key)
         return value
 
+    def take(self) -> list[str]:
+        fresh, self.fresh = self.fresh, []
+        return fresh
+
 
 class UnitEncoder:
     """encode(texts) -> (ids uint32, number of ids of each text); equal to the library's encode_batch without added special tokens."""
@@ -57,13 +88,10 @@ class UnitEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index = _Index()
+        self.index, self.wrong = _Index(), np.zeros(0, bool)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _whole(self, text: str) -> bool:
-        return not self.by_units or bool(_ODD.search(text)) or any(t in text for t in self.crossing)
-
     def _library(self, texts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(list(texts), add_special_tokens=False)]
 
@@ -72,14 +100,14 @@ class UnitEncoder:
         runs = ["".join(units[k : k + RUN_UNITS]) for k in range(0, len(units), RUN_UNITS)]
         ids = np.concatenate([np.array(x, np.uint32) for x in self._library(runs)])
         ends = np.cumsum(self.n_bytes[ids])
-        until = np.cumsum(np.fromiter((len(u) if u.isascii() else len(u.encode()) for u in units), np.int64, len(units)))
+        until = np.cumsum(np.fromiter((len(u.encode()) for u in units), np.int64, len(units)))
         last = np.searchsorted(ends, until, side="right")
         if ends[-1] != until[-1] or (ends[last - 1] != until).any():
             return None
         return ids, np.diff(last, prepend=0)
 
     def _learn(self, units: list[str]) -> None:
-        join = [k for k, u in enumerate(units) if u[0] in " \n\t" and not u.isspace()]
+        join = [k for k, u in enumerate(units) if u[:1] in (" ", "\n", "\t") and not u.isspace()]
         done = self._joined([units[k] for k in join]) if join and self.n_bytes is not None else None
         if done is None:
             join, done = [], (np.zeros(0, np.uint32), np.zeros(0, np.int64))
@@ -88,7 +116,7 @@ class UnitEncoder:
         found = self._library([units[k] for k in alone])
         count, place = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
         count[join], count[alone] = done[1], np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.concatenate([done[0], np.fromiter((i for x in found for i in x), np.uint32)])
+        ids = np.concatenate([done[0], np.fromiter(chain.from_iterable(found), np.uint32)])
         total = len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -99,38 +127,52 @@ class UnitEncoder:
         self.count = np.concatenate([self.count, count])
         self.used += total
 
-    def _units(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _numbers(self, keys: list[str]) -> np.ndarray:
+        numbers = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+        if new := self.index.take():
+            # a printable key has no white space in it
+            plain = [k.isprintable() and k[:1] not in ("", " ") for k in new]
+            wrong = [not p and misplaced(k) for k, p in zip(new, plain)]
+            self.wrong = np.concatenate([self.wrong, np.array(wrong, bool)])
+            self._learn([" " + k if p else "" if x and not k[:1].isspace() else unit_of_key(k) for k, p, x in zip(new, plain, wrong)])
+        return numbers
+
+    def encode(self, texts: Sequence[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        column = pc.fill_null(column, "")
+        if not self.by_units or self.crossing:
+            found = self._library(column.to_pylist())
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
         if len(self.index) > CACHE_UNITS:
             self._clear()
-        known, get, numbers, sizes = len(self.index), self.index.__getitem__, [], []
-        for text in texts:
-            units = _UNIT.findall(text)
-            sizes.append(len(units))
-            numbers.append(np.fromiter(map(get, units), np.int64, len(units)))
-        if len(self.index) > known:
-            self._learn(list(self.index)[known:])
-        return np.concatenate(numbers or [np.zeros(0, np.int64)]), np.array(sizes, np.int64)
-
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        whole = [k for k, text in enumerate(texts) if self._whole(text)]
-        if whole:
-            skip = set(whole)
-            apart = {k: np.array(ids, np.uint32) for k, ids in zip(whole, self._library([texts[k] for k in whole]))}
-            ids, count = self.encode([text for k, text in enumerate(texts) if k not in skip])
-            parts, at, rest = [], 0, iter(count.tolist())
-            for k in range(len(texts)):
-                if k in skip:
-                    parts.append(apart[k])
-                else:
-                    n = next(rest)
-                    parts.append(ids[at : at + n])
-                    at += n
-            return np.concatenate(parts or [np.zeros(0, np.uint32)]), np.fromiter(map(len, parts), np.int64, len(parts))
-        units, sizes = self._units(texts)
+        # a plain split, numbered once for each distinct key of the batch
+        keys = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\0"), pc.replace_substring(column, "\n", " \n"), pa.scalar("")), " ")
+        sizes = np.diff(np.asarray(keys.offsets)).astype(np.int64)
+        coded = keys.flatten().dictionary_encode()
+        numbers = self._numbers(coded.dictionary.to_pylist())
+        units = numbers[coded.indices.to_numpy(zero_copy_only=False)]
+        ids, count = self._gather(units, sizes)
+        if self.wrong[numbers].any():
+            redo = set(np.flatnonzero(segment_sums(self.wrong[units], sizes)).tolist())
+            ends, parts = np.cumsum(count), []
+            for k in range(len(sizes)):
+                parts.append(self._apart(column[k].as_py()) if k in redo else ids[ends[k] - count[k] : ends[k]])
+            ids, count = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return ids, count
+
+    def _apart(self, text: str) -> np.ndarray:
+        """ids of a text that a plain split would misplace."""
+        if _ODD.search(text):
+            return np.array(self._library([text])[0], np.uint32)
+        units = self._numbers(unit_keys(text))
+        return self._gather(units, np.array([len(units)]))[0]
+
+    def _gather(self, units: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count = self.count[units]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(self.first[units] - (ends - count), count) + np.arange(total)
+        at = np.repeat((self.first[units] - (ends - count)).astype(np.int32), count)
+        at += np.arange(total, dtype=np.int32)
         return self.flat[at], segment_sums(count, sizes)
 
 
