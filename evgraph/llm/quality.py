@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -61,8 +60,9 @@ class Features:
             self.shapes, self.words = (np.concatenate([x, np.zeros_like(x)]) for x in (self.shapes, self.words))
         to = slice(self.size, self.size + len(units))
         # most words are a space and small letters, whose shape is known without looking further
-        self.shapes[to] = [_SMALL if u[0] == " " and u[1:].isalpha() and u[1:].islower() else xxhash.xxh64_intdigest(shape(u), 1) for u in units]
-        self.words[to] = [xxhash.xxh64_intdigest(u.strip(), 2) for u in units]
+        shapes = (_SMALL if u[0] == " " and u[1:].isalpha() and u[1:].islower() else xxhash.xxh64_intdigest(shape(u), 1) for u in units)
+        self.shapes[to] = np.fromiter(shapes, np.uint64, len(units))
+        self.words[to] = np.fromiter((xxhash.xxh64_intdigest(u.strip(), 2) for u in units), np.uint64, len(units))
         self.size += len(units)
 
     def of(self, text: str) -> np.ndarray:
@@ -71,10 +71,9 @@ class Features:
             return np.zeros(0, np.int64)
         if len(self.index) > CACHE_WORDS:
             self._clear()
-        known = len(self.index)
         at = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
-        if len(self.index) > known:
-            self._learn(list(islice(self.index, known, None)))
+        if new := self.index.take():
+            self._learn(new)
         same = np.concatenate([[False], at[1:] == at[:-1]])
         tokens = self.shapes[at] + same.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         grams, run = [self.words[at], tokens], tokens
@@ -179,8 +178,8 @@ def fit_documents(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
 _FEATURES: list[Features] = []
 
 
-def score(docs: DataFrame, model: SupportVectors, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, with score (0 to 1), a row for each row of docs.
+def score(docs: DataFrame, model: SupportVectors, keep: Sequence[str] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns in keep, with score (0 to 1) under the given name, a row for each row of docs.
 
     A null text is empty; an empty text has no n-grams and the score of the model's constant. Repeated rows give repeated
     results; other columns are ignored. No shuffle; the model is broadcast (2 * 2**BITS numbers).
@@ -194,9 +193,9 @@ def score(docs: DataFrame, model: SupportVectors, keep: Sequence[str] = ("doc_id
         of = _FEATURES[0].of
         for rows, texts in common.split_batches(batches):
             values = found.scores(np.array([found.margin(of(t)) for t in texts]))
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(values)], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(values)], [*keep, name])
 
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*keep).schema.add(name, "double")
     return docs.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(run, schema)
 
 
