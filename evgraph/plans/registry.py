@@ -4,12 +4,384 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import evaluate, execute, features, frames, graph, planner, segment, simjoin, vocabulary
+from ..sources import datasets
+from . import corpora as C
+from . import engine
+from .oracles import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(oracle: str | None = None):
+    """Registers a function under its name, with the end of its SQL."""
+
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = sql(oracle)
+        return f
+
+    return keep
+
+
+def six(*names: str) -> list[Column]:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship query: semantic edges of the word corpus."""
+    """The flagship query: semantic edges of the vector corpus."""
     return QUERIES["semantic_edges"](spark, sf_dir)
+
+
+# Inverted index and sparse join, on words
+
+
+@query("SELECT video_id, word, event_idx FROM d_words")
+def postings(spark, sf_dir):
+    return simjoin.postings(C.d_words(spark, sf_dir))
+
+
+@query("SELECT video_id, word, n_z FROM d_freq")
+def event_frequency(spark, sf_dir):
+    return simjoin.event_frequency(simjoin.postings(C.d_words(spark, sf_dir)))
+
+
+@query("SELECT video_id, word, n_z FROM d_freq WHERE n_z <= 50")
+def stopword_filter(spark, sf_dir):
+    return simjoin.retained(event_frequency(spark, sf_dir), C.RHO)
+
+
+@query("SELECT video_id, word, n_z, round(gamma, 6) AS gamma FROM d_weights")
+def ief_weights(spark, sf_dir):
+    return C.d_index(spark, sf_dir)[1].select("video_id", "word", "n_z", *six("gamma"))
+
+
+@query("SELECT video_id, word, n_z, 1.0::DOUBLE AS gamma FROM d_weights")
+def ief_uniform(spark, sf_dir):
+    return simjoin.ief_weights(stopword_filter(spark, sf_dir), C.d_events(spark, sf_dir), uniform=True)
+
+
+@query("SELECT video_id, event_idx, round(norm, 6) AS norm FROM d_norms")
+def event_norms(spark, sf_dir):
+    return C.d_index(spark, sf_dir)[2].select("video_id", "event_idx", *six("norm"))
+
+
+@query("SELECT video_id, src, dst, round(sim, 6) AS sim FROM d_sim")
+def sparse_sim_join(spark, sf_dir):
+    return simjoin.sparse_similarity(*C.d_index(spark, sf_dir)).select("video_id", "src", "dst", *six("sim"))
+
+
+@query("SELECT video_id, src, dst FROM d_sim")
+def candidate_pairs(spark, sf_dir):
+    return simjoin.sparse_similarity(*C.d_index(spark, sf_dir)).select("video_id", "src", "dst")
+
+
+@query("SELECT n.video_id, CAST(coalesce(v, 0) AS BIGINT) AS posting_visits, coalesce(p, 0) AS candidate_pairs, n * (n - 1) // 2 AS dense_pairs FROM d_n n LEFT JOIN (SELECT video_id, sum(n_z * n_z) AS v FROM d_weights WHERE n_z >= 2 AND gamma <> 0 GROUP BY ALL) USING (video_id) LEFT JOIN (SELECT video_id, count(*) AS p FROM d_sim GROUP BY ALL) USING (video_id)")
+def join_stats(spark, sf_dir):
+    posts, weights, norms = C.d_index(spark, sf_dir)
+    return simjoin.join_stats(weights, simjoin.sparse_similarity(posts, weights, norms), C.d_events(spark, sf_dir))
+
+
+# Vectors
+
+
+@query("SELECT video_id, event_idx, dim, round(x, 6) AS value FROM v_dims")
+def event_mean_pool(spark, sf_dir):
+    return C.v_vectors(spark, sf_dir).select("video_id", "event_idx", F.posexplode("g").alias("dim", "value")).select("video_id", "event_idx", "dim", *six("value"))
+
+
+@query("SELECT video_id, event_idx, frame_no, patch_no, word_id FROM v_quant")
+def quantize(spark, sf_dir):
+    return C.v_quantized(spark, sf_dir)
+
+
+@query("SELECT video_id, src, dst, round(cos, 6) AS cos FROM v_cos")
+def global_cosine(spark, sf_dir):
+    return simjoin.global_cosine(simjoin.sparse_similarity(*C.v_index(spark, sf_dir)), C.v_vectors(spark, sf_dir)).select("video_id", "src", "dst", *six("cos"))
+
+
+@query("SELECT video_id, src, dst, round(weight, 6) AS weight FROM v_sem")
+def semantic_edges(spark, sf_dir):
+    return C.v_semantic(spark, sf_dir).select("video_id", "src", "dst", *six("weight"))
+
+
+@query("SELECT video_id, src, dst, round(weight, 6) AS weight FROM v_dense WHERE round(weight, 9) >= 0.25")
+def pairwise_edges(spark, sf_dir):
+    return simjoin.pairwise_edges(features.event_patches(C.v_patches(spark, sf_dir)), C.v_vectors(spark, sf_dir), C.DELTA).select("video_id", "src", "dst", *six("weight"))
+
+
+@query("SELECT video_id, word_id, dim, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY video_id, word_id)), 1e-12), 6) AS value FROM (SELECT video_id, word_id, CAST(d AS INTEGER) AS dim, sum(u[d + 1]) AS x FROM v_quant, (SELECT unnest(range(8)) AS d) GROUP BY ALL)")
+def kmeans_step(spark, sf_dir):
+    moved = vocabulary.kmeans_step(C.v_patches(spark, sf_dir), C.v_codebook(spark, sf_dir))
+    return moved.select("video_id", "word_id", F.posexplode("centroid").alias("dim", "value")).select("video_id", "word_id", "dim", *six("value"))
+
+
+@query()
+def visual_vocabulary(spark, sf_dir):
+    found = vocabulary.visual_vocabulary(C.v_patches(spark, sf_dir), C.WORDS, iterations=3)
+    return found.select("video_id", "word_id", F.posexplode("centroid").alias("dim", "value")).select("video_id", "word_id", "dim", *six("value"))
+
+
+# Time
+
+
+@query("SELECT video_id, event_idx, round(start_sec, 6) AS start_sec, round(end_sec, 6) AS end_sec FROM t_events")
+def cuts_to_events(spark, sf_dir):
+    return C.t_events(spark, sf_dir).select("video_id", "event_idx", *six("start_sec", "end_sec"))
+
+
+@query("SELECT video_id, CAST(k AS INTEGER) AS event_idx, round(k * 5.0::DOUBLE, 6) AS start_sec, round(CASE WHEN k = n - 1 THEN d ELSE (k + 1) * 5.0::DOUBLE END, 6) AS end_sec FROM (SELECT video_id, d, n, unnest(range(n)) AS k FROM (SELECT video_id, CASE WHEN duration > 0 THEN duration ELSE 1.0 END AS d, CASE WHEN duration > 0 THEN CAST(ceil(duration / 5.0::DOUBLE) AS BIGINT) ELSE 1 END AS n FROM t_videos))")
+def uniform_windows(spark, sf_dir):
+    return segment.segment("uniform", C.t_videos(spark, sf_dir)).select("video_id", "event_idx", *six("start_sec", "end_sec"))
+
+
+_EVENTS_OF = "SELECT video_id, CAST(row_number() OVER w - 1 AS INTEGER) AS event_idx, round(s, 6) AS start_sec, round(lead(s) OVER w, 6) AS end_sec FROM (SELECT DISTINCT video_id, s FROM (SELECT c.video_id, c.s FROM ({cuts}) c JOIN ({videos}) v USING (video_id) WHERE c.s > 0 AND c.s < v.duration UNION ALL SELECT video_id, 0.0::DOUBLE FROM ({videos}) WHERE duration > 0 UNION ALL SELECT video_id, duration FROM ({videos}) WHERE duration > 0)) WINDOW w AS (PARTITION BY video_id ORDER BY s) QUALIFY lead(s) OVER w IS NOT NULL"
+
+
+@query(_EVENTS_OF.format(cuts="SELECT video_id, t AS s FROM (SELECT video_id, t, row_number() OVER (PARTITION BY video_id ORDER BY t) AS n FROM t_base WHERE event_type = 'purchase') WHERE n > 1", videos="SELECT video_id, duration FROM t_videos"))
+def precomputed_cuts(spark, sf_dir):
+    return segment.segment("precomputed", C.t_videos(spark, sf_dir), segments=C.t_segments(spark, sf_dir)).select("video_id", "event_idx", *six("start_sec", "end_sec"))
+
+
+_SCORED = "SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY us, event_id) - 1 AS f, value, lag(value) OVER (PARTITION BY video_id ORDER BY us, event_id) AS before FROM t_base"
+
+
+@query(_EVENTS_OF.format(cuts=f"SELECT video_id, f / 25.0::DOUBLE AS s FROM ({_SCORED}) WHERE value < 50 AND before >= 50", videos="SELECT video_id, count(*) / 25.0::DOUBLE AS duration FROM t_base GROUP BY ALL"))
+def score_to_cuts(spark, sf_dir):
+    scores = C.t_scores(spark, sf_dir)
+    videos = scores.groupBy("video_id").agg((F.count("*") / F.lit(C.FPS)).alias("duration"))
+    return segment.segment("shots", videos, scores=scores, threshold=50.0).select("video_id", "event_idx", *six("start_sec", "end_sec"))
+
+
+@query("SELECT video_id, event_idx, m FROM t_m")
+def frames_per_event(spark, sf_dir):
+    return C.t_events(spark, sf_dir).select("video_id", "event_idx", frames.frames_per_event(F.col("start_sec"), F.col("end_sec")).alias("m"))
+
+
+@query("SELECT video_id, event_idx, CAST(k AS INTEGER) AS frame_no, round(start_sec + (k + 0.5::DOUBLE) * (end_sec - start_sec) / m, 6) AS t_sec, least(CAST(trunc((start_sec + (k + 0.5::DOUBLE) * (end_sec - start_sec) / m) * fps) AS BIGINT), total_frames - 1) AS frame_id FROM (SELECT *, unnest(range(m)) AS k FROM t_m) JOIN t_videos USING (video_id)")
+def frame_sampling(spark, sf_dir):
+    return frames.frame_sampling(C.t_events(spark, sf_dir), C.t_videos(spark, sf_dir)).select("video_id", "event_idx", "frame_no", *six("t_sec"), "frame_id")
+
+
+@query("SELECT video_id, CAST(k AS INTEGER) AS frame_no, CASE WHEN n < total_frames THEN CAST(round_even((k + 1) * CAST(total_frames - 1 AS DOUBLE) / (n + 1), 0) AS BIGINT) ELSE k END AS frame_id FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT video_id, total_frames, least(56, total_frames) AS n FROM t_videos WHERE total_frames > 0))")
+def uniform_sampling(spark, sf_dir):
+    return frames.uniform_sampling(C.t_videos(spark, sf_dir))
+
+
+@query("SELECT video_id, event_idx, n_frames, cost FROM v_costs")
+def event_costs(spark, sf_dir):
+    return C.v_costs(spark, sf_dir)
+
+
+# Graph
+
+
+@query("SELECT video_id, src, dst, weight FROM v_temporal")
+def temporal_edges(spark, sf_dir):
+    return graph.temporal_edges(C.v_events(spark, sf_dir))
+
+
+@query("SELECT video_id, src, dst, round(weight, 6) AS weight FROM v_adj")
+def adjacency(spark, sf_dir):
+    return graph.adjacency(C.v_events(spark, sf_dir), C.v_semantic(spark, sf_dir)).select("video_id", "src", "dst", *six("weight"))
+
+
+@query("SELECT video_id, src, dst, round(p, 6) AS p FROM v_trans")
+def transition_matrix(spark, sf_dir):
+    return C.v_transitions(spark, sf_dir).select("video_id", "src", "dst", *six("p"))
+
+
+@query("SELECT video_id, src, dst, round(pi, 6) AS pi FROM v_ppr WHERE pi > 0")
+def ppr(spark, sf_dir):
+    return graph.reach_pairs(C.v_reach(spark, sf_dir)).select("video_id", "src", "dst", *six("pi"))
+
+
+# Planner
+
+
+@query("SELECT query_id, video_id, event_idx, round(rel, 6) AS rel FROM v_rel")
+def relevance(spark, sf_dir):
+    return C.v_relevance(spark, sf_dir).select("query_id", "video_id", "event_idx", *six("rel"))
+
+
+@query("SELECT r.query_id, r.video_id, r.event_idx, round((r.rel + sum(t.rel * ln(1 + p.pi))) / c.cost, 6) AS density FROM v_rel r JOIN v_costs c USING (video_id, event_idx) JOIN v_ppr p ON p.video_id = r.video_id AND p.src = r.event_idx JOIN v_rel t ON t.query_id = r.query_id AND t.video_id = r.video_id AND t.event_idx = p.dst GROUP BY r.query_id, r.video_id, r.event_idx, r.rel, c.cost")
+def singleton_density(spark, sf_dir):
+    return planner.singleton_density(C.v_relevance(spark, sf_dir), C.v_costs(spark, sf_dir).select("video_id", "event_idx", "cost"), C.v_reach(spark, sf_dir)).select("query_id", "video_id", "event_idx", *six("density"))
+
+
+@query("SELECT query_id, round(a + b, 6) AS value FROM (SELECT query_id, sum(rel) AS a FROM v_selected JOIN v_rel USING (query_id, video_id, event_idx) GROUP BY ALL) JOIN (SELECT query_id, sum(rel * ln(1 + x)) AS b FROM (SELECT s.query_id, s.video_id, p.dst AS event_idx, sum(p.pi) AS x FROM v_selected s JOIN v_ppr p ON p.video_id = s.video_id AND p.src = s.event_idx GROUP BY ALL) JOIN v_rel USING (query_id, video_id, event_idx) GROUP BY ALL) USING (query_id)")
+def objective_value(spark, sf_dir):
+    return planner.objective_value(C.v_selected(spark, sf_dir), C.v_relevance(spark, sf_dir), C.v_reach(spark, sf_dir)).select("query_id", *six("value"))
+
+
+@query("SELECT query_id, video_id, event_idx, pick_order FROM v_selected")
+def greedy_select(spark, sf_dir):
+    return C.v_selected(spark, sf_dir)
+
+
+@query("SELECT query_id, sum(cost) AS visual_tokens, count(*) AS num_selected FROM v_selected JOIN v_costs USING (video_id, event_idx) GROUP BY ALL")
+def selection_cost(spark, sf_dir):
+    return planner.selection_cost(C.v_selected(spark, sf_dir), C.v_costs(spark, sf_dir))
+
+
+@query("SELECT query_id, video_id, event_idx, pick_order FROM v_fit WHERE taken")
+def random_select(spark, sf_dir):
+    return planner.random_select(C.v_relevance(spark, sf_dir), C.v_costs(spark, sf_dir), C.BUDGET)
+
+
+@query("SELECT query_id, video_id, event_idx FROM v_rel JOIN v_costs USING (video_id, event_idx) WHERE cost <= 2304 AND NOT EXISTS (SELECT 1 FROM v_selected s WHERE s.query_id = v_rel.query_id AND s.query_id % 2 = 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rel, 9) DESC, event_idx) = 1")
+def fallback_select(spark, sf_dir):
+    """For queries of odd numbers, whose selection is left out."""
+    return planner.fallback_select(C.v_relevance(spark, sf_dir), C.v_costs(spark, sf_dir), C.v_selected(spark, sf_dir).filter("query_id % 2 = 0"), C.BUDGET)
+
+
+# Execution
+
+
+@query("SELECT query_id, video_id, src, dst, round(weight, 6) AS weight FROM v_cand")
+def induced_subgraph(spark, sf_dir):
+    return C.v_candidates(spark, sf_dir).select("query_id", "video_id", "src", "dst", *six("weight"))
+
+
+@query("SELECT query_id, src, dst, keep, statement FROM v_parsed")
+def parse_verification(spark, sf_dir):
+    return execute.parse_verification(C.replies(C.v_candidates(spark, sf_dir))).drop("reply")
+
+
+def _verified(spark, sf_dir):
+    candidates = C.v_candidates(spark, sf_dir)
+    return execute.verified_edges(candidates, C.replies(candidates))
+
+
+def _retained(spark, sf_dir):
+    return execute.retained_edges(C.v_selected(spark, sf_dir), _verified(spark, sf_dir))
+
+
+@query("SELECT query_id, video_id, src, dst, round(weight, 6) AS weight FROM v_retained")
+def retained_edges(spark, sf_dir):
+    return _retained(spark, sf_dir).select("query_id", "video_id", "src", "dst", *six("weight"))
+
+
+@query("SELECT query_id, video_id, src, dst, round(weight, 6) AS weight FROM v_cand c WHERE NOT EXISTS (SELECT 1 FROM v_verified v WHERE v.query_id = c.query_id AND v.src = c.src AND v.dst = c.dst)")
+def rejected_edges(spark, sf_dir):
+    return execute.rejected_edges(C.v_candidates(spark, sf_dir), _verified(spark, sf_dir)).select("query_id", "video_id", "src", "dst", *six("weight"))
+
+
+def _path_text(path: Column) -> Column:
+    return F.array_join(path.cast("array<string>"), "-")
+
+
+@query("SELECT query_id, video_id, rank, array_to_string(path, '-') AS path, round(score, 6) AS score FROM v_paths")
+def reasoning_paths(spark, sf_dir):
+    return execute.reasoning_paths(_retained(spark, sf_dir)).select("query_id", "video_id", "rank", _path_text(F.col("path")).alias("path"), *six("score"))
+
+
+@query("SELECT query_id, video_id, array_to_string(list(event_idx ORDER BY event_idx), '-') AS path, 1.0::DOUBLE AS score FROM v_selected s WHERE query_id % 3 <> 0 OR NOT EXISTS (SELECT 1 FROM v_paths p WHERE p.query_id = s.query_id) GROUP BY query_id, video_id")
+def fallback_path(spark, sf_dir):
+    """For queries whose number isn't divisible by 3, whose paths are left out, and those without paths."""
+    paths = execute.reasoning_paths(_retained(spark, sf_dir)).filter("query_id % 3 = 0")
+    return execute.fallback_path(C.v_selected(spark, sf_dir), paths).select("query_id", "video_id", _path_text(F.col("path")).alias("path"), "score")
+
+
+_LABEL = "printf('%.1f', {e} * 25 / 10.0) || 's - ' || printf('%.1f', ({e} + 1) * 25 / 10.0) || 's'"
+
+
+@query(
+    "SELECT query_id, rank, string_agg(line, chr(10) ORDER BY k) AS context FROM (SELECT s.query_id, s.rank, s.k, 'Event ' || s.k || ' (' || " + _LABEL.format(e="s.e") + " || '):' || chr(10) || 'record ' || s.e || CASE WHEN s.nxt IS NULL THEN '' WHEN v.statement IS NOT NULL THEN chr(10) || '[Relation: ' || v.statement || ']' ELSE chr(10) || '[Next in time]' END AS line FROM (SELECT query_id, rank, k, path[k] AS e, path[k + 1] AS nxt FROM (SELECT query_id, rank, path, unnest(range(1, len(path) + 1)) AS k FROM v_paths)) s LEFT JOIN v_verified v ON v.query_id = s.query_id AND v.src = s.e AND v.dst = s.nxt) GROUP BY ALL"
+)
+def path_context(spark, sf_dir):
+    records = C.v_selected(spark, sf_dir).select("query_id", "event_idx", F.concat(F.lit("record "), F.col("event_idx").cast("string")).alias("record"))
+    return execute.path_context(execute.reasoning_paths(_retained(spark, sf_dir)), records, _verified(spark, sf_dir), C.clock(spark, sf_dir))
+
+
+@query("SELECT query_id, string_agg('Event ' || n || ' (' || " + _LABEL.format(e="event_idx") + " || '): ' || n_frames || ' frames', chr(10) ORDER BY event_idx) AS timeline FROM (SELECT s.query_id, s.event_idx, c.n_frames, row_number() OVER (PARTITION BY s.query_id ORDER BY s.event_idx) AS n FROM v_selected s JOIN v_costs c USING (video_id, event_idx)) GROUP BY query_id")
+def cot_timeline(spark, sf_dir):
+    return execute.cot_timeline(C.v_selected(spark, sf_dir), C.clock(spark, sf_dir), C.v_costs(spark, sf_dir).select("video_id", "event_idx", "n_frames"))
+
+
+@query("SELECT query_id, letter AS pred, round(s, 6) AS score FROM (SELECT query_id, chr(CAST(65 + (list_sum(path) + query_id) % 3 AS INTEGER)) AS letter, sum(score) AS s, min(rank) AS r FROM v_paths GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, r) = 1")
+def weighted_vote(spark, sf_dir):
+    paths = execute.reasoning_paths(_retained(spark, sf_dir))
+    letter = F.char((F.lit(65) + (F.aggregate("path", F.lit(0), lambda s, x: s + x) + F.col("query_id")) % 3).cast("int"))
+    return execute.weighted_vote(paths.withColumn("answer", T.extract_answer(F.concat(F.lit("The answer is "), letter, F.lit("."))))).select("query_id", "pred", *six("score"))
+
+
+# Text and evaluation
+
+
+@query("SELECT id, 'A. ' || role || chr(10) || '(B) ' || role || chr(10) || 'C. c. ' || role || chr(10) || 'D) ' || turn || chr(10) || CASE WHEN regexp_matches(trim(text, e' \\t\\r\\n'), '^[(]?E[.):]') THEN trim(text, e' \\t\\r\\n') ELSE 'E. ' || trim(text, e' \\t\\r\\n') END AS formatted FROM q_base")
+def format_options(spark, sf_dir):
+    return C.q_options(spark, sf_dir).select("id", T.format_options(F.col("options")).alias("formatted"))
+
+
+_CLEAN = "trim(reply, e' \\t\\r\\n')"
+
+
+@query(f"SELECT id, upper(coalesce(nullif(regexp_extract({_CLEAN}, '(?i)(?:answer|option)\\s*(?:is|:)\\s*[(]?([A-D])[)]?', 1), ''), nullif(regexp_extract({_CLEAN}, '(?i)(?:^|\\s)[(]?([A-D])[)]?[.\\s]*$', 1), ''), nullif(regexp_extract({_CLEAN}, '(?i)^[(]?([A-D])[)]?[.\\s]', 1), ''))) AS answer FROM q_replies")
+def extract_answer(spark, sf_dir):
+    return C.q_replies(spark, sf_dir).select("id", T.extract_answer(F.col("reply")).alias("answer"))
+
+
+@query("SELECT video_id, event_idx, printf('%.1f', floor(start_sec * 10) / 10) || 's - ' || printf('%.1f', floor(end_sec * 10) / 10) || 's' AS label FROM t_events")
+def time_label(spark, sf_dir):
+    tenths = lambda c: F.floor(F.col(c) * 10) / F.lit(10.0)
+    return C.t_events(spark, sf_dir).select("video_id", "event_idx", T.time_label(tenths("start_sec"), tenths("end_sec")).alias("label"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS video_id, conv_id || '_qa' || turn AS id, CAST(turn AS INTEGER) AS position, text AS question, upper(substr(trim(role), 1, 1)) AS answer FROM conversations")
+def qa_explode(spark, sf_dir):
+    qa = F.struct(F.col("text").alias("question"), F.array("role").alias("options"), F.concat(F.lit(" "), "role").alias("answer"))
+    packed = C.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("qa"), F.col("turn").cast("string")).alias("key"), qa.alias("qa")))).alias("mcq"))
+    return datasets.explode_qa(packed.select(F.col("conv_id").cast("string").alias("video_id"), "mcq")).drop("options")
+
+
+@query("SELECT doc_id, chr(CAST(65 + doc_id % 5 AS INTEGER)) AS letter FROM labels")
+def letter_code(spark, sf_dir):
+    return C.table(spark, sf_dir, "labels").select("doc_id", T.letter_code(F.col("doc_id") % 5).alias("letter"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '[^\\p{L}\\p{N}]', '_', 'g') AS title FROM documents")
+def sanitize_title(spark, sf_dir):
+    return C.table(spark, sf_dir, "documents").select("doc_id", T.sanitized(F.col("text")).alias("title"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN '/a/' || doc_id || '.mp4' WHEN doc_id % 2 = 0 THEN '/b/' || doc_id || '.mkv' WHEN doc_id % 5 = 0 THEN '/c/' || doc_id || '.webm' END AS video_path FROM documents")
+def resolve_first(spark, sf_dir):
+    docs = C.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    named = F.array(*[F.concat(F.lit(f"/{d}/"), F.col("id").cast("string"), F.lit(f".{e}")) for d, e in zip("abc", datasets.EXTENSIONS)])
+    tried = docs.select("id", named.alias("candidates"))
+    there = tried.select(F.explode(F.array(*[F.when(F.col("id") % m == 0, F.col("candidates")[k]) for k, m in enumerate((3, 2, 5))])).alias("path")).filter("path is not null")
+    return datasets.resolve_first(tried, there)
+
+
+@query("SELECT id, position, CAST(position // CAST(ceil(n / 7) AS BIGINT) AS INTEGER) AS chunk FROM (SELECT id, row_number() OVER (ORDER BY coalesce(video_path, ''), id) - 1 AS position, count(*) OVER () AS n FROM q_samples)")
+def chunk_assign(spark, sf_dir):
+    return evaluate.chunk_assign(C.q_samples(spark, sf_dir), 7).select("id", "position", "chunk")
+
+
+@query("SELECT id, 'video not found' AS error, CAST(NULL AS VARCHAR) AS pred, answer AS gt FROM q_samples WHERE video_path IS NULL")
+def error_records(spark, sf_dir):
+    return evaluate.error_records(C.q_samples(spark, sf_dir))
+
+
+@query("SELECT CAST(coalesce(sum(CASE WHEN pred = gt THEN 1 ELSE 0 END), 0) AS BIGINT) AS correct, count(*) AS valid, round(coalesce(sum(CASE WHEN pred = gt THEN 1 ELSE 0 END), 0) / greatest(count(*), 1), 6) AS accuracy FROM q_results WHERE coalesce(gt, '') <> ''")
+def accuracy(spark, sf_dir):
+    return evaluate.accuracy(C.q_results(spark, sf_dir)).select("correct", "valid", *six("accuracy"))
+
+
+@query("SELECT round(avg(value), 6) AS avg_tokens, round(avg(value / 10), 6) AS avg_online, round(avg(nullif(CASE WHEN event_id % 3 = 0 THEN 0 ELSE value END, 0)), 6) AS avg_offline, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events")
+def latency_rollup(spark, sf_dir):
+    rows = C.table(spark, sf_dir, "events").select(F.col("value").alias("visual_tokens"), (F.col("value") / 10).alias("online_time"), F.when(F.col("event_id") % 3 == 0, 0.0).otherwise(F.col("value")).alias("offline_time"), F.when(F.col("event_type") == "error", "failed").alias("error"))
+    return evaluate.latency_rollup(rows).select(*six("avg_tokens", "avg_online", "avg_offline"), "errors")
+
+
+@query()
+def full_pipeline(spark, sf_dir):
+    """Every stage from vectors to votes, with the stub model."""
+    return engine.answers_on_vectors(spark, sf_dir)
