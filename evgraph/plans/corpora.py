@@ -5,12 +5,15 @@ Each function takes (spark, sf_dir) and covers its whole table.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles
-from ..operators import features, frames, graph, planner, segment, simjoin, vocabulary
-from ..operators.execute import induced_subgraph
+from ..operators import execute, features, frames, graph, planner, segment, simjoin, vocabulary
+from ..sources.work import kept
 
 #: Parameters on V: the vectors are random, so edges need a lower threshold; the budget is 16 frames.
 DELTA, RHO, ALPHA, TOKENS, BUDGET, WORDS = 0.25, 50, 0.15, 144, 2304.0, 64
@@ -63,13 +66,13 @@ def v_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simjoin.semantic_edges(simjoin.sparse_similarity(*v_index(spark, sf_dir)), v_vectors(spark, sf_dir), DELTA)
 
 
-def v_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def v_transitions(spark: SparkSession, sf_dir: str, semantic: DataFrame | None = None) -> DataFrame:
     events = v_events(spark, sf_dir)
-    return graph.transition_matrix(events, graph.adjacency(events, v_semantic(spark, sf_dir)))
+    return graph.transition_matrix(events, graph.adjacency(events, v_semantic(spark, sf_dir) if semantic is None else semantic))
 
 
-def v_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.ppr(v_transitions(spark, sf_dir), ALPHA)
+def v_reach(spark: SparkSession, sf_dir: str, semantic: DataFrame | None = None) -> DataFrame:
+    return graph.ppr(v_transitions(spark, sf_dir, semantic), ALPHA)
 
 
 def v_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,12 +88,38 @@ def v_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.relevance(v_queries(spark, sf_dir), v_vectors(spark, sf_dir))
 
 
-def v_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planner.greedy_select(v_relevance(spark, sf_dir), v_costs(spark, sf_dir), v_reach(spark, sf_dir), BUDGET)
+@dataclass
+class Run:
+    """What the steps of a query share, each written once: edges, reachability, relevance, selection, candidates."""
+
+    semantic: DataFrame
+    reach: DataFrame
+    relevance: DataFrame
+    costs: DataFrame
+    selected: DataFrame
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return kept(execute.induced_subgraph(self.selected, self.semantic), "candidates")
+
+    @cached_property
+    def verified(self) -> DataFrame:
+        return kept(execute.verified_edges(self.candidates, replies(self.candidates)), "verified")
+
+    @cached_property
+    def retained(self) -> DataFrame:
+        return execute.retained_edges(self.selected, self.verified)
+
+    @cached_property
+    def paths(self) -> DataFrame:
+        return kept(execute.reasoning_paths(self.retained), "paths")
 
 
-def v_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return induced_subgraph(v_selected(spark, sf_dir), v_semantic(spark, sf_dir))
+def v_run(spark: SparkSession, sf_dir: str) -> Run:
+    semantic = kept(v_semantic(spark, sf_dir), "semantic")
+    reach = kept(v_reach(spark, sf_dir, semantic), "reach")
+    rel, costs = kept(v_relevance(spark, sf_dir), "relevance"), v_costs(spark, sf_dir)
+    return Run(semantic, reach, rel, costs, kept(planner.greedy_select(rel, costs, reach, BUDGET), "selected"))
 
 
 def replies(edges: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from ..functions import models
 from ..functions import text as T
 from ..operators import execute, features, frames, graph, planner, simjoin, vocabulary
 from ..params import Params
+from ..sources.work import kept, new_path
 from . import corpora as C
 
 
@@ -66,35 +66,28 @@ def select_events(index: Index, queries: DataFrame, params: Params) -> DataFrame
     return chosen.unionByName(spare)
 
 
-def _kept(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """df written and read again: replies are asked for once."""
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def answer(index: Index, queries: DataFrame, params: Params, folder: str, model: str = "stub") -> DataFrame:
+def answer(index: Index, queries: DataFrame, params: Params, model: str = "stub") -> DataFrame:
     """query_id, pred, score, response, visual_tokens, num_selected for queries (query_id, video_id, q, question, options)."""
     asked = queries.select("query_id", T.query_text(F.col("question"), F.col("options")).alias("query"))
-    selected = _kept(select_events(index, queries, params), folder, "selected")
+    selected = kept(select_events(index, queries, params), "selected")
     labels = index.events.select("video_id", "event_idx", T.time_label(F.col("start_sec"), F.col("end_sec")).alias("label"))
     told = selected.join(labels, ["video_id", "event_idx"]).join(index.costs, ["video_id", "event_idx"]).join(asked, "query_id")
     if params.execution == "cot":
         lines = execute.cot_timeline(selected, index.events, index.costs.select("video_id", "event_idx", "n_frames")).join(asked, "query_id")
-        said = _kept(lines.select("query_id", models.reply(model, T.timeline_prompt(F.col("timeline"), F.col("query"))).alias("reply")), folder, "replies")
+        said = kept(lines.select("query_id", models.reply(model, T.timeline_prompt(F.col("timeline"), F.col("query"))).alias("reply")), "replies")
         found = said.select("query_id", T.extract_answer(F.col("reply")).alias("pred"), F.lit(1.0).alias("score"))
     elif params.execution == "graph":
-        records = _kept(told.select("query_id", "video_id", "event_idx", "label", models.ground(model, T.grounding_prompt(F.col("label"), F.col("query")), F.col("n_frames")).alias("record")), folder, "records")
+        records = kept(told.select("query_id", "video_id", "event_idx", "label", models.ground(model, T.grounding_prompt(F.col("label"), F.col("query")), F.col("n_frames")).alias("record")), "records")
         candidates = execute.induced_subgraph(selected, index.semantic)
         a = records.select("query_id", F.col("event_idx").alias("src"), F.col("label").alias("label_a"), F.col("record").alias("a"))
         b = records.select("query_id", F.col("event_idx").alias("dst"), F.col("label").alias("label_b"), F.col("record").alias("b"))
         pairs = candidates.join(a, ["query_id", "src"]).join(b, ["query_id", "dst"]).join(asked, "query_id")
-        said = _kept(pairs.select("query_id", "src", "dst", models.reply(model, T.verification_prompt(F.col("label_a"), F.col("a"), F.col("label_b"), F.col("b"), F.col("query"))).alias("reply")), folder, "verification")
+        said = kept(pairs.select("query_id", "src", "dst", models.reply(model, T.verification_prompt(F.col("label_a"), F.col("a"), F.col("label_b"), F.col("b"), F.col("query"))).alias("reply")), "verification")
         verified = execute.verified_edges(candidates, said)
         paths = execute.reasoning_paths(execute.retained_edges(selected, verified), params.max_paths, params.max_path_enum)
-        paths = _kept(paths.unionByName(execute.fallback_path(selected, paths)), folder, "paths")
+        paths = kept(paths.unionByName(execute.fallback_path(selected, paths)), "paths")
         context = execute.path_context(paths, records.select("query_id", "event_idx", "record"), verified, index.events).join(asked, "query_id")
-        replies = _kept(context.select("query_id", "rank", models.reply(model, T.synthesis_prompt(F.col("context"), F.col("query"))).alias("reply")), folder, "answers")
+        replies = kept(context.select("query_id", "rank", models.reply(model, T.synthesis_prompt(F.col("context"), F.col("query"))).alias("reply")), "answers")
         found = execute.weighted_vote(paths.join(replies, ["query_id", "rank"]).withColumn("answer", T.extract_answer(F.col("reply"))))
     else:
         raise ValueError(f"unknown execution {params.execution}")
@@ -103,17 +96,11 @@ def answer(index: Index, queries: DataFrame, params: Params, folder: str, model:
     return out.withColumn("response", T.final_response(F.col("pred")))
 
 
-def work_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names, else one beside the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/evgraph-{uuid.uuid4().hex}"
-
-
 def answers_on_vectors(spark: SparkSession, sf_dir: str, params: Params | None = None) -> DataFrame:
     """The vector corpus indexed once and all its queries answered."""
     params = params or Params(delta=C.DELTA, token_budget=C.BUDGET)
     index = build_index(C.clock(spark, sf_dir), C.v_frames(spark, sf_dir), C.v_patches(spark, sf_dir), params, C.v_codebook(spark, sf_dir))
-    folder = work_folder(spark)
-    index.write(f"{folder}/index")
+    folder = new_path(spark, "index")
+    index.write(folder)
     queries = C.v_queries(spark, sf_dir).withColumns({"question": F.concat(F.lit("What follows vector "), F.col("query_id").cast("string"), F.lit("?")), "options": F.array(*[F.lit(x) for x in ("a man", "a door", "a car", "a dog")])})
-    return answer(Index.read(spark, f"{folder}/index"), queries, params, folder).select("query_id", "pred", F.round("score", 6).alias("score"), "response", "visual_tokens", "num_selected")
+    return answer(Index.read(spark, folder), queries, params).select("query_id", "pred", F.round("score", 6).alias("score"), "response", "visual_tokens", "num_selected")

@@ -217,17 +217,19 @@ def singleton_density(spark, sf_dir):
 
 @query("SELECT query_id, round(a + b, 6) AS value FROM (SELECT query_id, sum(rel) AS a FROM v_selected JOIN v_rel USING (query_id, video_id, event_idx) GROUP BY ALL) JOIN (SELECT query_id, sum(rel * ln(1 + x)) AS b FROM (SELECT s.query_id, s.video_id, p.dst AS event_idx, sum(p.pi) AS x FROM v_selected s JOIN v_ppr p ON p.video_id = s.video_id AND p.src = s.event_idx GROUP BY ALL) JOIN v_rel USING (query_id, video_id, event_idx) GROUP BY ALL) USING (query_id)")
 def objective_value(spark, sf_dir):
-    return planner.objective_value(C.v_selected(spark, sf_dir), C.v_relevance(spark, sf_dir), C.v_reach(spark, sf_dir)).select("query_id", *six("value"))
+    run = C.v_run(spark, sf_dir)
+    return planner.objective_value(run.selected, run.relevance, run.reach).select("query_id", *six("value"))
 
 
 @query("SELECT query_id, video_id, event_idx, pick_order FROM v_selected")
 def greedy_select(spark, sf_dir):
-    return C.v_selected(spark, sf_dir)
+    return C.v_run(spark, sf_dir).selected
 
 
 @query("SELECT query_id, sum(cost) AS visual_tokens, count(*) AS num_selected FROM v_selected JOIN v_costs USING (video_id, event_idx) GROUP BY ALL")
 def selection_cost(spark, sf_dir):
-    return planner.selection_cost(C.v_selected(spark, sf_dir), C.v_costs(spark, sf_dir))
+    run = C.v_run(spark, sf_dir)
+    return planner.selection_cost(run.selected, run.costs)
 
 
 @query("SELECT query_id, video_id, event_idx, pick_order FROM v_fit WHERE taken")
@@ -238,7 +240,8 @@ def random_select(spark, sf_dir):
 @query("SELECT query_id, video_id, event_idx FROM v_rel JOIN v_costs USING (video_id, event_idx) WHERE cost <= 2304 AND NOT EXISTS (SELECT 1 FROM v_selected s WHERE s.query_id = v_rel.query_id AND s.query_id % 2 = 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rel, 9) DESC, event_idx) = 1")
 def fallback_select(spark, sf_dir):
     """For queries of odd numbers, whose selection is left out."""
-    return planner.fallback_select(C.v_relevance(spark, sf_dir), C.v_costs(spark, sf_dir), C.v_selected(spark, sf_dir).filter("query_id % 2 = 0"), C.BUDGET)
+    run = C.v_run(spark, sf_dir)
+    return planner.fallback_select(run.relevance, run.costs, run.selected.filter("query_id % 2 = 0"), C.BUDGET)
 
 
 # Execution
@@ -246,31 +249,23 @@ def fallback_select(spark, sf_dir):
 
 @query("SELECT query_id, video_id, src, dst, round(weight, 6) AS weight FROM v_cand")
 def induced_subgraph(spark, sf_dir):
-    return C.v_candidates(spark, sf_dir).select("query_id", "video_id", "src", "dst", *six("weight"))
+    return C.v_run(spark, sf_dir).candidates.select("query_id", "video_id", "src", "dst", *six("weight"))
 
 
 @query("SELECT query_id, src, dst, keep, statement FROM v_parsed")
 def parse_verification(spark, sf_dir):
-    return execute.parse_verification(C.replies(C.v_candidates(spark, sf_dir))).drop("reply")
-
-
-def _verified(spark, sf_dir):
-    candidates = C.v_candidates(spark, sf_dir)
-    return execute.verified_edges(candidates, C.replies(candidates))
-
-
-def _retained(spark, sf_dir):
-    return execute.retained_edges(C.v_selected(spark, sf_dir), _verified(spark, sf_dir))
+    return execute.parse_verification(C.replies(C.v_run(spark, sf_dir).candidates)).drop("reply")
 
 
 @query("SELECT query_id, video_id, src, dst, round(weight, 6) AS weight FROM v_retained")
 def retained_edges(spark, sf_dir):
-    return _retained(spark, sf_dir).select("query_id", "video_id", "src", "dst", *six("weight"))
+    return C.v_run(spark, sf_dir).retained.select("query_id", "video_id", "src", "dst", *six("weight"))
 
 
 @query("SELECT query_id, video_id, src, dst, round(weight, 6) AS weight FROM v_cand c WHERE NOT EXISTS (SELECT 1 FROM v_verified v WHERE v.query_id = c.query_id AND v.src = c.src AND v.dst = c.dst)")
 def rejected_edges(spark, sf_dir):
-    return execute.rejected_edges(C.v_candidates(spark, sf_dir), _verified(spark, sf_dir)).select("query_id", "video_id", "src", "dst", *six("weight"))
+    run = C.v_run(spark, sf_dir)
+    return execute.rejected_edges(run.candidates, run.verified).select("query_id", "video_id", "src", "dst", *six("weight"))
 
 
 def _path_text(path: Column) -> Column:
@@ -279,14 +274,14 @@ def _path_text(path: Column) -> Column:
 
 @query("SELECT query_id, video_id, rank, array_to_string(path, '-') AS path, round(score, 6) AS score FROM v_paths")
 def reasoning_paths(spark, sf_dir):
-    return execute.reasoning_paths(_retained(spark, sf_dir)).select("query_id", "video_id", "rank", _path_text(F.col("path")).alias("path"), *six("score"))
+    return C.v_run(spark, sf_dir).paths.select("query_id", "video_id", "rank", _path_text(F.col("path")).alias("path"), *six("score"))
 
 
 @query("SELECT query_id, video_id, array_to_string(list(event_idx ORDER BY event_idx), '-') AS path, 1.0::DOUBLE AS score FROM v_selected s WHERE query_id % 3 <> 0 OR NOT EXISTS (SELECT 1 FROM v_paths p WHERE p.query_id = s.query_id) GROUP BY query_id, video_id")
 def fallback_path(spark, sf_dir):
     """For queries whose number isn't divisible by 3, whose paths are left out, and those without paths."""
-    paths = execute.reasoning_paths(_retained(spark, sf_dir)).filter("query_id % 3 = 0")
-    return execute.fallback_path(C.v_selected(spark, sf_dir), paths).select("query_id", "video_id", _path_text(F.col("path")).alias("path"), "score")
+    run = C.v_run(spark, sf_dir)
+    return execute.fallback_path(run.selected, run.paths.filter("query_id % 3 = 0")).select("query_id", "video_id", _path_text(F.col("path")).alias("path"), "score")
 
 
 _LABEL = "printf('%.1f', {e} * 25 / 10.0) || 's - ' || printf('%.1f', ({e} + 1) * 25 / 10.0) || 's'"
@@ -296,18 +291,19 @@ _LABEL = "printf('%.1f', {e} * 25 / 10.0) || 's - ' || printf('%.1f', ({e} + 1)
     "SELECT query_id, rank, string_agg(line, chr(10) ORDER BY k) AS context FROM (SELECT s.query_id, s.rank, s.k, 'Event ' || s.k || ' (' || " + _LABEL.format(e="s.e") + " || '):' || chr(10) || 'record ' || s.e || CASE WHEN s.nxt IS NULL THEN '' WHEN v.statement IS NOT NULL THEN chr(10) || '[Relation: ' || v.statement || ']' ELSE chr(10) || '[Next in time]' END AS line FROM (SELECT query_id, rank, k, path[k] AS e, path[k + 1] AS nxt FROM (SELECT query_id, rank, path, unnest(range(1, len(path) + 1)) AS k FROM v_paths)) s LEFT JOIN v_verified v ON v.query_id = s.query_id AND v.src = s.e AND v.dst = s.nxt) GROUP BY ALL"
 )
 def path_context(spark, sf_dir):
-    records = C.v_selected(spark, sf_dir).select("query_id", "event_idx", F.concat(F.lit("record "), F.col("event_idx").cast("string")).alias("record"))
-    return execute.path_context(execute.reasoning_paths(_retained(spark, sf_dir)), records, _verified(spark, sf_dir), C.clock(spark, sf_dir))
+    run = C.v_run(spark, sf_dir)
+    records = run.selected.select("query_id", "event_idx", F.concat(F.lit("record "), F.col("event_idx").cast("string")).alias("record"))
+    return execute.path_context(run.paths, records, run.verified, C.clock(spark, sf_dir))
 
 
 @query("SELECT query_id, string_agg('Event ' || n || ' (' || " + _LABEL.format(e="event_idx") + " || '): ' || n_frames || ' frames', chr(10) ORDER BY event_idx) AS timeline FROM (SELECT s.query_id, s.event_idx, c.n_frames, row_number() OVER (PARTITION BY s.query_id ORDER BY s.event_idx) AS n FROM v_selected s JOIN v_costs c USING (video_id, event_idx)) GROUP BY query_id")
 def cot_timeline(spark, sf_dir):
-    return execute.cot_timeline(C.v_selected(spark, sf_dir), C.clock(spark, sf_dir), C.v_costs(spark, sf_dir).select("video_id", "event_idx", "n_frames"))
+    return execute.cot_timeline(C.v_run(spark, sf_dir).selected, C.clock(spark, sf_dir), C.v_costs(spark, sf_dir).select("video_id", "event_idx", "n_frames"))
 
 
 @query("SELECT query_id, letter AS pred, round(s, 6) AS score FROM (SELECT query_id, chr(CAST(65 + (list_sum(path) + query_id) % 3 AS INTEGER)) AS letter, sum(score) AS s, min(rank) AS r FROM v_paths GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, r) = 1")
 def weighted_vote(spark, sf_dir):
-    paths = execute.reasoning_paths(_retained(spark, sf_dir))
+    paths = C.v_run(spark, sf_dir).paths
     letter = F.char((F.lit(65) + (F.aggregate("path", F.lit(0), lambda s, x: s + x) + F.col("query_id")) % 3).cast("int"))
     return execute.weighted_vote(paths.withColumn("answer", T.extract_answer(F.concat(F.lit("The answer is "), letter, F.lit("."))))).select("query_id", "pred", *six("score"))
 
