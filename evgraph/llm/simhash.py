@@ -47,15 +47,15 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long), a row for each row of docs."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, keep: tuple[str, ...] = ("doc_id",), name: str = "fp") -> DataFrame:
+    """The columns in keep and the fingerprint as a signed long under the given name, a row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in common.split_batches(batches):
             fp = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(fp)], [*keep, name])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, docs.select(*keep).schema.add(name, "long"))
 
 
 class BKTree:
@@ -175,16 +175,28 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, tree_most: int
     a component's id while another doc_id is there. Repeated rows give repeated results. Copies meet as one fingerprint
     after partial aggregation; they are never expanded into pairs.
     """
-    marked, _ = common.write_work(fingerprints(docs, words), "fingerprints")
+    marked, _ = common.write_work(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words), "fingerprints")
     nodes, _ = common.write_work(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     tied = components(links(nodes, tree_most))
     tied = tied.unionByName(tied.select(F.col("v").alias("u"), "v").distinct())
     own = tied.join(nodes, tied.u == nodes.fp).select("fp", "v", "first")
     smallest = own.groupBy("v").agg(F.min("first").alias("component_id"))
     of_linked = own.join(smallest, "v").select("fp", "component_id")
-    of_all = nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # written, so that a fingerprint of very many copies can be split in the last join
+    of_all, _ = common.write_work(nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "classes")
     return marked.join(of_all, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, tree_most: int = TREE_MOST) -> DataFrame:
+    """The rows of docs, all columns, without near-duplicates: of each component the row with the smallest doc_id stays
+    (a null doc_id only where the component has no other; of rows with one doc_id and fingerprint, one)."""
+    own = "_fingerprint"
+    classes = near_duplicates(docs, words, tree_most)
+    # nulls last, then the smallest doc_id
+    first = classes.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.fp").alias("_fp"))
+    marked = fingerprints(docs, words, tuple(docs.columns), own).dropDuplicates(["doc_id", own])
+    return marked.join(first, marked.doc_id.eqNullSafe(first._id) & (marked[own] == first._fp), "left_semi").select(*docs.columns)
+
+
 def hex_fingerprint(fp: F.Column) -> F.Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
