@@ -9,7 +9,6 @@ row that it lets in is scored exactly.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -179,7 +178,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, query_block: int =
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter("vec_id is not null")
     queries, _ = common.write_work(rows.filter(F.col("vec_id") % every == 0).distinct(), "queries")
-    path = f"{common.work_folder(spark)}/evgraph-tops-{uuid.uuid4().hex}"
+    path = common.new_path(spark, "tops")
     schema = "query int, query_id long, vec_id long, score long"
 
     def search(block: list[tuple[int, int, np.ndarray]]):

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,47 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.work import drop_folder, new_path, work_folder, write_work  # noqa: F401
+
 #: Bytes of text in a batch that stays in Arrow.
 BATCH_BYTES = 8_000_000
 #: Characters of text that one inner batch holds at most (a longer text is a batch of its own).
 BATCH_CHARS = 2_000_000
 
 
-def work_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else None
-    if not base:
-        base = getattr(work_folder, "own", None) or "file://" + tempfile.mkdtemp(prefix="evgraph-")
-        work_folder.own = base
-    return base.rstrip("/")
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Deletes a work table through Spark's own file systems."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def write_work(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
-    """Writes df as Parquet in the shared folder and reads it back, which cuts its lineage. Returns it and its path."""
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/evgraph-{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    atexit.register(_drop_quietly, spark, path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def _drop_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        drop_folder(spark, path)
-    except Exception:  # the session is gone: the cluster's own cleaning removes the folder
-        pass
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

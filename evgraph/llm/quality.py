@@ -29,7 +29,7 @@ SHAPES = 3
 #: Smoothing of the log-count ratios, cost of the hinge loss, passes over the rows.
 SMOOTH, COST, PASSES = 1.0, 1.0, 30
 #: Distinct words whose hashes a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 _RUNS = [(re.compile(r"[^\W\d_]*[a-zà-öø-ÿ][^\W\d_]*"), "a"), (re.compile(r"[^\W\d_a]+"), "A"), (re.compile(r"\d+"), "0"), (re.compile(r"\s*\n\s*"), "\n"), (re.compile(r"[^\S\n]+"), " ")]
 

@@ -12,7 +12,6 @@ Order: part, segment, block. Parts are ranges of doc_id, in a folder each.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -285,6 +284,6 @@ def _read(spark: SparkSession, path: str, schema: str, last) -> DataFrame:
 def encoded_digests(docs: DataFrame, vocabulary: str, end_id: int | None = 0) -> DataFrame:
     """Writes docs as a file set in the shared work folder and reads it back: doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
-    path = f"{common.work_folder(spark)}/evgraph-ids-{uuid.uuid4().hex}"
+    path = common.new_path(spark, "ids")
     write_ids(docs, vocabulary, path, end_id)
     return read_digests(spark, path)

@@ -20,7 +20,7 @@ from . import common
 from .tokens import _Index, segment_sums
 
 #: Distinct pre-tokens whose counts a worker keeps; when full, it starts anew.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 400_000
 LIMIT = 512
 
 _NONE = np.int64(1) << 40

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct units whose ids a worker keeps; when full, it starts anew.
-CACHE_UNITS = 1_200_000
+CACHE_UNITS = 800_000
 
 #: Units that go to the library in one call.
 RUN_UNITS = 500
