@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 from . import common
 
 ORDER = 5
-#: Rows of a model that is broadcast (16 bytes each: 64 MB).
+#: Rows of a model that is broadcast (16 bytes each: 64 MB at most).
 MODEL_MOST = 4_000_000
 #: Interquartile ranges of log perplexity from the quartiles to the ends of the band, and the characters at which a
 #: text's band is the square root of 2 as wide, since the mean of fewer letters varies more.
 FENCE, SHORT_CHARS = 3.0, 500
-#: n-grams that a task holds before it passes its counts on.
-HELD_GRAMS = 2_000_000
+#: n-grams that a task holds before it passes its counts on, and characters that it takes at a time (numbers of 8 bytes
+#: for each, several times over).
+HELD_GRAMS, BATCH_CHARS = 1_000_000, 400_000
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -36,10 +37,10 @@ _BEGIN = 1
 
 def _letters() -> np.ndarray:
     """A 12-bit letter for each code point: those below 2,048 are themselves (digits 0, white space a space), others are hashed into the upper half."""
-    code = np.arange(0x110000, dtype=np.uint64)
-    out = np.where(code < 2048, code, 2048 + ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)))
+    code = np.arange(0x110000, dtype=np.uint32)
+    out = np.where(code < 2048, code, 2048 + ((code * np.uint32(0x9E3779B9)) >> np.uint32(21))).astype(np.uint16)
     out[:9], out[9:14], out[ord("0") : ord("9") + 1] = 2, 32, ord("0")
-    return out.astype(np.int64)
+    return out
 
 
 _LETTERS: list[np.ndarray] = []
@@ -49,7 +50,7 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(n-grams that end at each character, characters of each text); before a text stand ORDER - 1 beginnings."""
     if not _LETTERS:
         _LETTERS.append(_letters())
-    lead = np.full(ORDER - 1, _BEGIN, np.int64)
+    lead = np.full(ORDER - 1, _BEGIN, np.uint16)
     parts, sizes = [], np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -62,10 +63,17 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), sizes
     key = np.zeros(len(row) - ORDER + 1, np.int64)
     for k in range(ORDER):
-        key = (key << 12) | row[k : k + len(key)]
+        key <<= 12
+        key |= row[k : k + len(key)]
     return key[row[ORDER - 1 :] != _BEGIN], sizes
 
 
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    for batch in batches:
+        for first, texts in common.text_batches(batch, chars=BATCH_CHARS):
+            yield batch.slice(first, len(texts)), texts
+
+
 def _by_language(langs: list[str]) -> dict[str, list[int]]:
     found: dict[str, list[int]] = {}
     for k, lang in enumerate(langs):
@@ -90,7 +98,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], ["lang", "gram", "a"])
             held.clear()
 
-        for rows, texts in common.split_batches(batches):
+        for rows, texts in _batches(batches):
             for lang, at in _by_language(rows.column("lang").to_pylist()).items():
                 grams, n = np.unique(_grams([texts[k] for k in at])[0], return_counts=True)
                 mine = held.setdefault(lang, [])
@@ -166,23 +174,32 @@ def _hash(grams: np.ndarray) -> np.ndarray:
 
 
 class HashArray:
-    """Sorted 64-bit hashes with values; a table of leading bits shows where to begin."""
+    """Sorted 64-bit hashes with values; a table of leading bits, made where it is used, shows where to begin."""
 
-    def __init__(self, grams: np.ndarray, values: np.ndarray) -> None:
+    def __init__(self, grams: np.ndarray, logp: np.ndarray, backoff: np.ndarray) -> None:
         h = _hash(grams)
-        order = np.argsort(h, kind="stable")
-        self.hashes = np.concatenate([h[order], np.full(1, np.iinfo(np.uint64).max, np.uint64)])
-        self.values = np.concatenate([values[order], np.zeros((1, values.shape[1]))]).astype(np.float32)
-        bits = max(1, len(h).bit_length())
+        order = np.argsort(h)
+        self.hashes = np.append(h[order], np.iinfo(np.uint64).max)
+        self.logp, self.backoff = np.append(logp[order], np.float32(0)), np.append(backoff[order], np.float32(0))
+        self._start()
+
+    def _start(self) -> None:
+        bits = max(1, (len(self.hashes) - 1).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.begin = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.begin = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def __getstate__(self) -> tuple:
+        return self.hashes, self.logp, self.backoff
+
+    def __setstate__(self, state: tuple) -> None:
+        self.hashes, self.logp, self.backoff = state
+        self._start()
 
     def find(self, grams: np.ndarray) -> np.ndarray:
         """Positions, -1 where a gram isn't held."""
         h = _hash(grams)
         at = self.begin[(h >> self.shift).astype(np.int64)]
-        there = self.hashes[at]
-        more = np.flatnonzero(there < h)
+        more = np.flatnonzero(self.hashes[at] < h)
         while len(more):
             at[more] += 1
             more = more[self.hashes[at[more]] < h[more]]
@@ -195,12 +212,15 @@ class Model:
 
     def __init__(self, rows: pa.Table, order: int = ORDER) -> None:
         self.order, self.tables, self.unseen = order, {}, {}
-        n, langs = rows.column("n").to_numpy(), np.array(rows.column("lang").to_pylist(), object)
+        langs = rows.column("lang").combine_chunks().dictionary_encode()
+        code, n = langs.indices.to_numpy(zero_copy_only=False), rows.column("n").to_numpy()
         gram, logp, backoff = (rows.column(c).to_numpy() for c in ("gram", "logp", "backoff"))
-        for lang in set(langs.tolist()):
-            of = langs == lang
-            self.unseen[lang] = float(logp[of & (n == 0)][0])
-            self.tables[lang] = {k: HashArray(gram[m], np.column_stack([logp[m], backoff[m]])) for k in range(1, order + 1) if (m := of & (n == k)).any()}
+        for k, lang in enumerate(langs.dictionary.to_pylist()):
+            self.unseen[lang] = float(logp[(code == k) & (n == 0)][0])
+            self.tables[lang] = {}
+            for m in range(1, order + 1):
+                of = np.flatnonzero((code == k) & (n == m))
+                self.tables[lang][m] = HashArray(gram[of], logp[of], backoff[of])
 
     def logs(self, lang: str, grams: np.ndarray) -> np.ndarray:
         """The log probability of each gram's last letter after the others."""
@@ -210,13 +230,13 @@ class Model:
             mine = grams[open_] & ((1 << 12 * n) - 1)
             at = tables[n].find(mine)
             hit = at >= 0
-            out[open_[hit]] += tables[n].values[at[hit], 0]
+            out[open_[hit]] += tables[n].logp[at[hit]]
             open_, mine = open_[~hit], mine[~hit]
             if not len(open_):
                 return out
             if n > 1:
                 context = tables[n - 1].find(mine >> 12)
-                out[open_] += np.where(context >= 0, tables[n - 1].values[context, 1], 0)
+                out[open_] += np.where(context >= 0, tables[n - 1].backoff[context], 0)
         out[open_] += self.unseen[lang]
         return out
 
@@ -258,7 +278,7 @@ def _measured(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for rows, texts in common.split_batches(batches):
+        for rows, texts in _batches(batches):
             base = np.array([measures(t) for t in texts], np.int64).reshape(-1, 5)
             failed = (base[:, 0] < LEAST_WORDS) | (100 * base[:, 4] > MOST_REPEATED * base[:, 0])
             langs = rows.column("lang").to_pylist()
@@ -279,7 +299,7 @@ def _joined_log_ppl(docs: DataFrame, model: DataFrame, order: int = ORDER) -> Da
     down: what a join doesn't find takes the context's weight and goes on with the order below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in common.split_batches(batches):
+        for rows, texts in _batches(batches):
             for row, lang, text in zip(rows.column("row").to_pylist(), rows.column("lang").to_pylist(), texts):
                 grams, n = np.unique(_grams([text])[0], return_counts=True)
                 if len(grams):
@@ -316,7 +336,7 @@ def quality_rules(docs: DataFrame, fence: float = FENCE, model_most: int = MODEL
     """
     model, _ = common.write_work(kneser_ney(count_grams(docs)), "model")
     if model.count() <= model_most:
-        measured = _measured(docs, Model(model.toArrow()))
+        measured = _measured(docs, Model(model.select(F.col("n").cast("byte").alias("n"), "lang", "gram", F.col("logp").cast("float").alias("logp"), F.col("backoff").cast("float").alias("backoff")).toArrow()))
     else:
         numbered, _ = common.write_work(docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.monotonically_increasing_id().alias("row")), "numbered")
         measured = _with_rows(numbered).join(_joined_log_ppl(numbered, model), "row", "left").drop("row")
