@@ -15,8 +15,9 @@ def norm(v: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    """v at length 1; a zero vector stays zero."""
-    return F.transform(v, lambda x: x / F.greatest(norm(v), F.lit(1e-12)))
+    """v at length 1; a zero vector stays zero. The length is bound once, not found again for each component."""
+    bound = F.array(F.struct(v.alias("v"), F.greatest(norm(v), F.lit(1e-12)).alias("n")))
+    return F.transform(bound, lambda s: F.transform(s.v, lambda x: x / s.n))[0]
 
 
 def doubles(v: Column) -> Column:

@@ -44,13 +44,14 @@ def event_norms(posts: DataFrame, weights: DataFrame, events: DataFrame) -> Data
 
 
 def sparse_similarity(posts: DataFrame, weights: DataFrame, norms: DataFrame) -> DataFrame:
-    """video_id, src, dst, sim over pairs of events at least two apart that share a retained word. A word joins at most
-    rho postings, so its pairs are bounded; both sides of the join come from one exchange."""
+    """video_id, src, dst, sim over pairs of events at least two apart that share a retained word. A word holds at most
+    rho postings, so they are gathered in one row and paired there: one exchange by word, one by pair after partial sums."""
     useful = weights.filter((F.col("n_z") >= 2) & (F.col("gamma") != 0)).select(*KEY, "gamma")
-    shares = posts.join(useful, KEY).join(norms, ["video_id", "event_idx"]).select(*KEY, "event_idx", (F.col("gamma") / F.col("norm")).alias("share"))
-    a, b = shares.alias("a"), shares.alias("b")
-    pairs = a.join(b, (F.col("a.video_id") == F.col("b.video_id")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.event_idx") + 2 <= F.col("b.event_idx")))
-    return pairs.groupBy(F.col("a.video_id").alias("video_id"), F.col("a.event_idx").alias("src"), F.col("b.event_idx").alias("dst")).agg(F.sum(F.col("a.share") * F.col("b.share")).alias("sim"))
+    shares = posts.join(useful, KEY).join(norms, ["video_id", "event_idx"]).select(*KEY, F.struct("event_idx", (F.col("gamma") / F.col("norm")).alias("share")).alias("e"))
+    held = shares.groupBy(*KEY).agg(F.array_sort(F.collect_list("e")).alias("es"))
+    first = held.select("video_id", "es", F.explode("es").alias("a"))
+    pairs = first.select("video_id", "a", F.explode(F.filter("es", lambda b: b.event_idx >= F.col("a.event_idx") + 2)).alias("b"))
+    return pairs.groupBy("video_id", F.col("a.event_idx").alias("src"), F.col("b.event_idx").alias("dst")).agg(F.sum(F.col("a.share") * F.col("b.share")).alias("sim"))
 
 
 def join_stats(weights: DataFrame, pairs: DataFrame, events: DataFrame) -> DataFrame:

@@ -153,9 +153,9 @@ def d_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 
 def index(words: DataFrame, events: DataFrame, rho: int = RHO, uniform: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """postings, weights and norms of an event corpus."""
-    posts = simjoin.postings(words)
-    weights = simjoin.ief_weights(simjoin.retained(simjoin.event_frequency(posts), rho), events, uniform)
+    """postings, weights and norms of an event corpus; postings and weights are written once, as all that follows reads them."""
+    posts = kept(simjoin.postings(words), "postings")
+    weights = kept(simjoin.ief_weights(simjoin.retained(simjoin.event_frequency(posts), rho), events, uniform), "weights")
     return posts, weights, simjoin.event_norms(posts, weights, events)
 
 
