@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import kept
+
 
 def chunk_assign(samples: DataFrame, num_chunks: int) -> DataFrame:
     """samples (id, video_path) with position (in the order of path, then id; a null path is empty) and chunk, contiguous
@@ -16,14 +18,15 @@ def chunk_assign(samples: DataFrame, num_chunks: int) -> DataFrame:
 
 
 def ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """rows with their place (from 0) in the order of the keys: the place among those of its first key, and the rows of
-    smaller first keys. Only the counts of first keys are ordered in one task."""
-    first = keys[0]
-    sizes = rows.groupBy(first).agg(F.count("*").alias("_n"))
-    # one row for each distinct first key (a video): far fewer than rows
-    before = sizes.select(F.col(first).alias("_first"), F.coalesce(F.sum("_n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy(first).orderBy(*keys)) - 1
-    return rows.withColumn("_own", own).join(before, F.col(first) == F.col("_first")).withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_own", "_first", "_before")
+    """rows with their place (from 0) in the order of the keys. Ranges of rows are sorted apart and written with the place
+    within the range; then only the sizes of the ranges are summed up, so no key's rows need to meet in a task."""
+    placed = kept(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    # the number of the range is in the upper bits, the place within it in the lower 33
+    placed = placed.withColumns({"_range": F.shiftright("_at", 33), "_own": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return placed.join(before, "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_at", "_range", "_own", "_before")
 
 
 def error_records(samples: DataFrame) -> DataFrame:

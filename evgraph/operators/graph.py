@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import kept
+
 
 def temporal_edges(events: DataFrame) -> DataFrame:
     """video_id, src, dst, weight 1 between consecutive events."""
@@ -55,7 +56,7 @@ def ppr(transitions: DataFrame, alpha: float = 0.15, tolerance: float = 1e-6, mo
 
 def ppr_joined(events: DataFrame, transitions: DataFrame, alpha: float = 0.15, times: int | None = None, cut_every: int = 10) -> DataFrame:
     """The same as (video_id, src, dst, pi) by joins of edge lists, for a graph that no task could hold; lineage is cut by
-    checkpoints in the shared folder that the session names."""
+    tables in the shared folder."""
     start = events.select("video_id", F.col("event_idx").alias("src"), F.col("event_idx").alias("dst"), F.lit(alpha).alias("pi"))
     now = start
     edges = transitions.withColumnsRenamed({"src": "mid", "dst": "to"})
@@ -63,7 +64,7 @@ def ppr_joined(events: DataFrame, transitions: DataFrame, alpha: float = 0.15, t
         moved = now.withColumnRenamed("dst", "mid").join(edges, ["video_id", "mid"]).groupBy("video_id", "src", F.col("to").alias("dst")).agg(F.sum((1 - alpha) * F.col("pi") * F.col("p")).alias("pi"))
         now = moved.unionByName(start).groupBy("video_id", "src", "dst").agg(F.sum("pi").alias("pi"))
         if k % cut_every == cut_every - 1:
-            now = now.checkpoint()
+            now = kept(now, "reach")
     return now
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, doubles, normalised
+from ..sources.work import kept
 
 
 def packed_codebook(codebook: DataFrame) -> DataFrame:
@@ -13,13 +18,39 @@ def packed_codebook(codebook: DataFrame) -> DataFrame:
     return codebook.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("word_id", doubles(F.col("centroid")).alias("centroid")))).alias("words"))
 
 
-def quantize(patches: DataFrame, codebook: DataFrame) -> DataFrame:
+#: Largest vocabulary whose dot products are found by column expressions; above it a batch of patches is one matrix
+#: product, where the codebooks fit the number of values that may be broadcast (8 bytes each: 64 MB).
+IN_ROW_WORDS, BROADCAST_VALUES = 128, 8_000_000
+
+
+def quantize(patches: DataFrame, codebook: DataFrame, in_row_words: int = IN_ROW_WORDS, broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
     """video_id, event_idx, frame_no, patch_no, word_id: the word whose centroid has the largest dot product with the normalised patch, the lowest one on ties (to 9 decimals)."""
+    size = codebook.agg(F.max("word_id").alias("last"), F.sum(F.size("centroid")).alias("values")).first()
+    if size.last is not None and size.last >= in_row_words and size.values <= broadcast_values:
+        return _quantize_batches(patches, codebook)
     own = patches.withColumn("unit", normalised(doubles(F.col("p")))).join(packed_codebook(codebook), "video_id")
     scored = F.transform("words", lambda w: F.struct(F.round(dot(F.col("unit"), w.centroid), 9).alias("s"), (-w.word_id).alias("k")))
     return own.select("video_id", "event_idx", "frame_no", "patch_no", (-F.array_max(scored).k).alias("word_id"))
 
 
+def _quantize_batches(patches: DataFrame, codebook: DataFrame) -> DataFrame:
+    spark = patches.sparkSession
+    books = {r.video_id: (np.array([w.word_id for w in r.words]), np.array([w.centroid for w in r.words])) for r in packed_codebook(codebook).collect()}
+    shared = spark.sparkContext.broadcast(books)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for video, own in rows.groupby("video_id", sort=False):
+                if video not in shared.value:
+                    continue
+                ids, centroids = shared.value[video]
+                best = np.round(np.stack(own.unit) @ centroids.T, 9).argmax(1)
+                yield own.drop(columns="unit").assign(word_id=ids[best])
+
+    units = patches.select("video_id", "event_idx", "frame_no", "patch_no", normalised(doubles(F.col("p"))).alias("unit"))
+    return units.mapInPandas(run, units.drop("unit").schema.add("word_id", "integer"))
+
+
 def kmeans_step(patches: DataFrame, codebook: DataFrame) -> DataFrame:
     """video_id, word_id, centroid after one round: the normalised sum of the patches of each word. A word without a
     patch keeps its centroid."""
@@ -33,8 +64,6 @@ def kmeans_step(patches: DataFrame, codebook: DataFrame) -> DataFrame:
 
 def first_patches(patches: DataFrame, vocab_size: int, sample: int = 100_000) -> DataFrame:
     """A start for k-means: the patches of each video whose order of (event, frame, patch) comes first."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("video_id").orderBy("event_idx", "frame_no", "patch_no")
     ranked = patches.withColumn("word_id", (F.row_number().over(order) - 1).cast("int")).filter(F.col("word_id") < min(vocab_size, sample))
     return ranked.select("video_id", "word_id", normalised(doubles(F.col("p"))).alias("centroid"))
@@ -42,11 +71,9 @@ def first_patches(patches: DataFrame, vocab_size: int, sample: int = 100_000) ->
 
 def visual_vocabulary(patches: DataFrame, vocab_size: int = 1024, iterations: int = 20) -> DataFrame:
     """video_id, word_id, centroid by spherical k-means: rounds of kmeans_step from the first patches. Every video is in
-    each round; the rounds' lineage is cut by checkpoints where the cluster names a folder for them."""
+    each round; a round's centroids are written to the shared folder, which cuts their lineage."""
     patches = patches.filter(F.exists(doubles(F.col("p")), lambda x: x != 0))
-    codebook = first_patches(patches, vocab_size)
-    can_cut = patches.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    for k in range(iterations):
-        codebook = kmeans_step(patches, codebook)
-        codebook = codebook.checkpoint() if can_cut and k % 5 == 4 else codebook.persist()
+    codebook = kept(first_patches(patches, vocab_size), "codebook")
+    for _ in range(iterations):
+        codebook = kept(kmeans_step(patches, codebook), "codebook")
     return codebook

@@ -93,7 +93,6 @@ def test_reach_sums_and_closed_form(spark):
     for r in moves.collect():
         step[r.src, r.dst] = r.p
     assert np.abs(pi - 0.15 * np.linalg.inv(np.eye(6) - 0.85 * step)).max() < 1e-5
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     joined = np.zeros((6, 6))
     for r in graph.ppr_joined(events, moves, times=4, cut_every=2).collect():
         joined[r.src, r.dst] = r.pi
@@ -169,6 +168,13 @@ def test_kmeans_needs_no_zero_vectors(spark):
     assert vocabulary.quantize(patches, words).filter("patch_no = 9").first().word_id == 0
 
 
+def test_words_by_matrix_and_in_row(spark, sf_dir):
+    patches, words = corpora.v_patches(spark, sf_dir), corpora.v_codebook(spark, sf_dir)
+    in_row = vocabulary.quantize(patches, words)
+    assert in_row.exceptAll(vocabulary.quantize(patches, words, in_row_words=1)).count() == 0
+    assert in_row.exceptAll(vocabulary.quantize(patches, words, in_row_words=1, broadcast_values=1)).count() == 0
+
+
 def test_chunks_are_contiguous(spark):
     rows = spark.createDataFrame([(str(k), None if k % 3 == 0 else f"p{k % 2}") for k in range(11)], "id string, video_path string")
     found = evaluate.chunk_assign(rows, 3).orderBy("position").collect()
