@@ -235,7 +235,8 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end_id: int | None =
         if doc_ids:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"))
+    ordered = keyed.repartitionByRange(*common.more_partitions(docs), "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
     # already compressed
     ordered.select("doc_id", "text").mapInArrow(run, _SEGMENTS).write.option("compression", "none").partitionBy("part").parquet(path)
 
