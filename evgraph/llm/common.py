@@ -59,7 +59,7 @@ def split_batches(batches: Iterable[pa.RecordBatch], column: str = "text") -> It
 def more_partitions(df: DataFrame, size: int = 128 << 20) -> list[int]:
     """[n] if parts of about `size` bytes of df are more than the session's shuffle partitions, else [], for repartitioning
     calls whose count Spark may otherwise choose and merge."""
-    n = -(-int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()) // size)
+    n = -(-int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // size)
     return [n] if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
 
 
