@@ -49,7 +49,7 @@ CTES: dict[str, str] = {
     "v_ppr": "SELECT video_id, src, dst, 0.15 * sum(x) AS pi FROM v_walk GROUP BY ALL",
     "v_pi": "SELECT a.video_id, a.event_idx AS src, list(coalesce(p.pi, 0.0) ORDER BY b.event_idx) AS pi FROM v_events a JOIN v_events b ON a.video_id = b.video_id LEFT JOIN v_ppr p ON p.video_id = a.video_id AND p.src = a.event_idx AND p.dst = b.event_idx GROUP BY ALL",
     "v_costs": "SELECT video_id, event_idx, count(*) AS n_frames, count(*) * 144.0::DOUBLE AS cost FROM v_frames GROUP BY ALL",
-    "v_queries": f"SELECT vec_id AS query_id, (video_id + 1) % 10 AS video_id, {_UNIT.format(v='vec')} AS q FROM v_ranked WHERE rk < 3",
+    "v_queries": f"SELECT vec_id AS query_id, (video_id + 1) % 10 AS video_id, {_UNIT.format(v='vec')} AS q FROM v_ranked",
     "v_rel": "SELECT query_id, video_id, event_idx, greatest(0.0, list_dot_product(q, u)) AS rel FROM v_queries JOIN v_gu USING (video_id)",
     "v_rels": "SELECT query_id, video_id, list(rel ORDER BY event_idx) AS rels FROM v_rel GROUP BY ALL",
     "v_greedy": """SELECT query_id, video_id, 0 AS pick_order, -1 AS event_idx, 0.0::DOUBLE AS spent, []::INTEGER[] AS taken, list_transform(rels, lambda x: 0.0::DOUBLE) AS r FROM v_rels UNION ALL

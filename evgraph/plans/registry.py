@@ -124,7 +124,7 @@ def kmeans_step(spark, sf_dir):
 
 @query()
 def visual_vocabulary(spark, sf_dir):
-    found = vocabulary.visual_vocabulary(C.v_patches(spark, sf_dir), C.WORDS, iterations=3)
+    found = vocabulary.visual_vocabulary(C.v_patches(spark, sf_dir), C.WORDS, iterations=5)
     return found.select("video_id", "word_id", F.posexplode("centroid").alias("dim", "value")).select("video_id", "word_id", "dim", *six("value"))
 
 
@@ -237,11 +237,11 @@ def random_select(spark, sf_dir):
     return planner.random_select(C.v_relevance(spark, sf_dir), C.v_costs(spark, sf_dir), C.BUDGET)
 
 
-@query("SELECT query_id, video_id, event_idx FROM v_rel JOIN v_costs USING (video_id, event_idx) WHERE cost <= 2304 AND NOT EXISTS (SELECT 1 FROM v_selected s WHERE s.query_id = v_rel.query_id AND s.query_id % 2 = 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rel, 9) DESC, event_idx) = 1")
+@query("SELECT query_id, video_id, event_idx FROM v_rel JOIN v_costs USING (video_id, event_idx) WHERE cost <= 2304 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rel, 9) DESC, event_idx) = 1")
 def fallback_select(spark, sf_dir):
-    """For queries of odd numbers, whose selection is left out."""
-    run = C.v_run(spark, sf_dir)
-    return planner.fallback_select(run.relevance, run.costs, run.selected.filter("query_id % 2 = 0"), C.BUDGET)
+    """For all queries, after a planner that had no budget and so selected nothing."""
+    rel, costs = C.v_relevance(spark, sf_dir), C.v_costs(spark, sf_dir)
+    return planner.fallback_select(rel, costs, planner.random_select(rel, costs, 0.0), C.BUDGET)
 
 
 # Execution
@@ -277,11 +277,11 @@ def reasoning_paths(spark, sf_dir):
     return C.v_run(spark, sf_dir).paths.select("query_id", "video_id", "rank", _path_text(F.col("path")).alias("path"), *six("score"))
 
 
-@query("SELECT query_id, video_id, array_to_string(list(event_idx ORDER BY event_idx), '-') AS path, 1.0::DOUBLE AS score FROM v_selected s WHERE query_id % 3 <> 0 OR NOT EXISTS (SELECT 1 FROM v_paths p WHERE p.query_id = s.query_id) GROUP BY query_id, video_id")
+@query("SELECT query_id, video_id, array_to_string(list(event_idx ORDER BY event_idx), '-') AS path, 1.0::DOUBLE AS score FROM v_selected s WHERE NOT EXISTS (SELECT 1 FROM v_paths p WHERE p.query_id = s.query_id) GROUP BY query_id, video_id")
 def fallback_path(spark, sf_dir):
-    """For queries whose number isn't divisible by 3, whose paths are left out, and those without paths."""
+    """For the queries whose selection has no path."""
     run = C.v_run(spark, sf_dir)
-    return execute.fallback_path(run.selected, run.paths.filter("query_id % 3 = 0")).select("query_id", "video_id", _path_text(F.col("path")).alias("path"), "score")
+    return execute.fallback_path(run.selected, run.paths).select("query_id", "video_id", _path_text(F.col("path")).alias("path"), "score")
 
 
 _LABEL = "printf('%.1f', {e} * 25 / 10.0) || 's - ' || printf('%.1f', ({e} + 1) * 25 / 10.0) || 's'"

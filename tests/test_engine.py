@@ -1,7 +1,5 @@
 """Hand-written cases and invariants of the engine's operators."""
 
-import math
-
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -223,5 +221,5 @@ def test_retries():
 def test_switches(spark, sf_dir, change):
     found = engine.answers_on_vectors(spark, sf_dir, Params(delta=corpora.DELTA, token_budget=corpora.BUDGET, **change))
     rows = found.collect()
-    assert len(rows) == 30 and all(r.visual_tokens <= corpora.BUDGET for r in rows if r.visual_tokens is not None)
-    assert math.isclose(sum(r.pred is not None for r in rows), 30, abs_tol=6)
+    assert len(rows) == corpora.v_queries(spark, sf_dir).count() and all(r.visual_tokens <= corpora.BUDGET for r in rows if r.visual_tokens is not None)
+    assert sum(r.pred is not None for r in rows) > 0.9 * len(rows)
