@@ -57,12 +57,14 @@ def plan(histogram: dict[int, int], room: int = MAX_TOKENS) -> np.ndarray:
             first, many = left[space].pop()
             if not left[space]:
                 del left[space], rooms[at]
-            take = min(n, many)
-            rows.append((length, rank, take, first, room - space))
-            put(space - length, first, take)
+            # one sequence after another is filled with as many as go in; the last may get fewer
+            deep = min(n, space // length)
+            take = min(many, n // deep)
+            rows += [(length, rank + k * take, take, first, room - space + k * length) for k in range(deep)]
+            put(space - deep * length, first, take)
             if take < many:
                 put(space, first + take, many - take)
-            n, rank = n - take, rank + take
+            n, rank = n - deep * take, rank + deep * take
     return np.array(rows, np.int64).reshape(-1, 5)
 
 
