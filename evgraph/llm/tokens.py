@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct units whose ids a worker keeps; when full, it starts anew.
-CACHE_UNITS = 800_000
+CACHE_UNITS = 1_000_000
 
 #: Units that go to the library in one call.
 RUN_UNITS = 500
@@ -95,46 +95,54 @@ class UnitEncoder:
     def _library(self, texts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """(ids, count of each) of units that begin with white space, encoded in long runs, as a call costs more than a unit. The ids' byte lengths show where a unit ends."""
-        runs = ["".join(units[k : k + RUN_UNITS]) for k in range(0, len(units), RUN_UNITS)]
+    def _joined(self, units: list[str], size: np.ndarray, between: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, count of each) of units that begin with white space (`between` stands before each), encoded in long runs,
+        as a call costs more than a unit. The ids' byte lengths show where a unit of so many bytes ends; None if they don't."""
+        if not units:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        runs = [between + between.join(units[k : k + RUN_UNITS]) for k in range(0, len(units), RUN_UNITS)]
         ids = np.concatenate([np.array(x, np.uint32) for x in self._library(runs)])
-        ends = np.cumsum(self.n_bytes[ids])
-        until = np.cumsum(np.fromiter((len(u.encode()) for u in units), np.int64, len(units)))
+        ends, until = np.cumsum(self.n_bytes[ids]), np.cumsum(size)
         last = np.searchsorted(ends, until, side="right")
         if ends[-1] != until[-1] or (ends[last - 1] != until).any():
             return None
         return ids, np.diff(last, prepend=0)
 
-    def _learn(self, units: list[str]) -> None:
-        join = [k for k, u in enumerate(units) if u[:1] in (" ", "\n", "\t") and not u.isspace()]
-        done = self._joined([units[k] for k in join]) if join and self.n_bytes is not None else None
-        if done is None:
-            join, done = [], (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        skip = set(join)
-        alone = [k for k in range(len(units)) if k not in skip]
-        found = self._library([units[k] for k in alone])
-        count, place = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
-        count[join], count[alone] = done[1], np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.concatenate([done[0], np.fromiter(chain.from_iterable(found), np.uint32)])
-        total = len(ids)
-        while self.used + total > len(self.flat):
+    def _alone(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self._library(units)
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _learn(self, keys: list[str], size: np.ndarray | None) -> None:
+        """Notes the ids of new keys; size: their bytes, if they come from a plain split."""
+        wrong = np.zeros(len(keys), bool)
+        # a printable key has no white space in it, and so is a unit after a space
+        spaced = np.zeros(len(keys), bool) if size is None else np.fromiter(map(str.isprintable, keys), bool, len(keys)) & (size > 0)
+        lines, others = [], []
+        for k in np.flatnonzero(~spaced).tolist():
+            wrong[k] = misplaced(keys[k])
+            (lines if size is not None and not wrong[k] and keys[k][0] == "\n" else others).append(k)
+        groups = [(np.flatnonzero(spaced), lambda at: self._joined(keys if len(at) == len(keys) else [keys[k] for k in at], size[at] + 1, " "))]
+        groups.append((np.array(lines, np.int64), lambda at: self._joined([keys[k] for k in at], size[at], "")))
+        groups.append((np.array(others, np.int64), lambda at: self._alone(["" if wrong[k] and not keys[k][:1].isspace() else unit_of_key(keys[k]) for k in at])))
+        count, place, parts, total = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), [], self.used
+        for at, encoded in groups:
+            if len(at):
+                ids, n = encoded(at) or self._alone([unit_of_key(keys[k]) for k in at])
+                count[at], place[at] = n, total + np.cumsum(n) - n
+                parts.append(ids)
+                total += len(ids)
+        while total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = ids
-        for part, start in ((join, 0), (alone, len(done[0]))):
-            place[part] = start + np.cumsum(count[part]) - count[part]
-        self.first = np.concatenate([self.first, self.used + place])
-        self.count = np.concatenate([self.count, count])
-        self.used += total
-
-    def _numbers(self, keys: list[str]) -> np.ndarray:
+        self.flat[self.used : total] = np.concatenate(parts)
+        self.first, self.count = np.concatenate([self.first, place]), np.concatenate([self.count, count])
+        self.wrong, self.used = np.concatenate([self.wrong, wrong]), total
+
+    def _numbers(self, keys: list[str], size: np.ndarray | None = None) -> np.ndarray:
+        """The number of each key; new ones are learned. size: the bytes of each, if they come from a plain split and are distinct."""
+        known = len(self.index)
         numbers = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
         if new := self.index.take():
-            # a printable key has no white space in it
-            plain = [k.isprintable() and k[:1] not in ("", " ") for k in new]
-            wrong = [not p and misplaced(k) for k, p in zip(new, plain)]
-            self.wrong = np.concatenate([self.wrong, np.array(wrong, bool)])
-            self._learn([" " + k if p else "" if x and not k[:1].isspace() else unit_of_key(k) for k, p, x in zip(new, plain, wrong)])
+            self._learn(new, None if size is None else size[numbers >= known])
         return numbers
 
     def encode(self, texts: Sequence[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +157,8 @@ class UnitEncoder:
         keys = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\0"), pc.replace_substring(column, "\n", " \n"), pa.scalar("")), " ")
         sizes = np.diff(np.asarray(keys.offsets)).astype(np.int64)
         coded = keys.flatten().dictionary_encode()
-        numbers = self._numbers(coded.dictionary.to_pylist())
+        size = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
+        numbers = self._numbers(coded.dictionary.to_pylist(), size)
         units = numbers[coded.indices.to_numpy(zero_copy_only=False)]
         ids, count = self._gather(units, sizes)
         if self.wrong[numbers].any():
