@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evgraph.llm import common, packing, quality, simhash, toxicity
+from evgraph.llm import common, jaccard, packing, quality, toxicity
 from evgraph.llm.queries import labels, vocabulary
 
 _SCORE = "_score"
@@ -29,8 +29,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near-duplicates: five-word shingles of a similarity of 0.8 or more."""
+    return jaccard.one_of_each(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
