@@ -22,9 +22,10 @@ from . import common
 ORDER = 5
 #: Rows of a model that is broadcast (16 bytes each: 64 MB at most).
 MODEL_MOST = 4_000_000
-#: Interquartile ranges of log perplexity from the quartiles to the ends of the band, and the characters at which a
-#: text's band is the square root of 2 as wide, since the mean of fewer letters varies more.
-FENCE, SHORT_CHARS = 3.0, 500
+#: Interquartile ranges of log perplexity from the lower and the upper quartile to the ends of the band, and the characters
+#: at which a text's band is the square root of 2 as wide, since the mean of fewer letters varies more. Likewise the
+#: documents of a language, whose quartiles and model vary more where they are few.
+FENCES, SHORT_CHARS, FEW_DOCUMENTS = (1.25, 1.25), 500, 500
 #: n-grams that a task holds before it passes its counts on, and characters that it takes at a time (numbers of 8 bytes
 #: for each, several times over).
 HELD_GRAMS, BATCH_CHARS = 1_000_000, 400_000
@@ -321,14 +322,14 @@ def _joined_log_ppl(docs: DataFrame, model: DataFrame, order: int = ORDER) -> Da
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """lang, q1, q3: the quartiles of log perplexity (in thousandths, exact from a histogram) of the documents that pass
-    the base rules."""
+    """lang, q1, q3, documents: the quartiles of log perplexity (in thousandths, exact from a histogram) of the documents that pass
+    the base rules, and their number."""
     bins = measured.filter(~F.col("base_failed") & F.col("log_ppl").isNotNull()).groupBy("lang", F.round(F.col("log_ppl") * 1000).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     upto = bins.select("lang", "bin", F.sum("n").over(Window.partitionBy("lang").orderBy("bin")).alias("upto"), F.sum("n").over(Window.partitionBy("lang")).alias("all"))
-    return upto.groupBy("lang").agg(*[F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))).alias(name) for q, name in ((0.25, "q1"), (0.75, "q3"))])
+    return upto.groupBy("lang").agg(*[F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))).alias(name) for q, name in ((0.25, "q1"), (0.75, "q3"))], F.max("all").alias("documents"))
 
 
-def quality_rules(docs: DataFrame, fence: float = FENCE, model_most: int = MODEL_MOST) -> DataFrame:
+def quality_rules(docs: DataFrame, fences: tuple[float, float] = FENCES, model_most: int = MODEL_MOST) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_ppl, a row for each row of docs (doc_id, text, lang).
 
     A null text has no words and fails the base rules; its perplexity is null. A null lang is a language of its own. A
@@ -342,8 +343,8 @@ def quality_rules(docs: DataFrame, fence: float = FENCE, model_most: int = MODEL
         measured = _with_rows(numbered).join(_joined_log_ppl(numbered, model), "row", "left").drop("row")
     measured, _ = common.write_work(measured, "measured")
     found = measured.join(bands(measured), "lang", "left")
-    slack = fence * F.greatest(F.col("q3") - F.col("q1"), F.lit(1)) * F.sqrt(1 + F.try_divide(F.lit(float(SHORT_CHARS)), F.col("word_chars")))
-    inside = (F.col("log_ppl") * 1000).between(F.col("q1") - slack, F.col("q3") + slack)
+    wide = F.greatest(F.col("q3") - F.col("q1"), F.lit(1)) * F.sqrt((1 + F.try_divide(F.lit(float(SHORT_CHARS)), F.col("word_chars"))) * (1 + FEW_DOCUMENTS / F.col("documents")))
+    inside = (F.col("log_ppl") * 1000).between(F.col("q1") - fences[0] * wide, F.col("q3") + fences[1] * wide)
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "log_ppl")
 
