@@ -285,6 +285,8 @@ def _measured(docs: DataFrame, model: Model | None) -> DataFrame:
             langs = rows.column("lang").to_pylist()
             log_ppl: list[float | None] = [None] * len(texts)
             for lang, at in _by_language(langs).items() if model else ():
+                if lang not in model.tables:  # no text of it has a letter
+                    continue
                 grams, sizes = _grams([texts[k] for k in at])
                 sums = np.concatenate([[0.0], np.cumsum(model.logs(lang, grams))])
                 ends = np.cumsum(sizes)

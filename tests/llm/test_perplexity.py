@@ -16,3 +16,13 @@ def test_junk_and_good_documents(spark):
     print(len(junk), (~junk.kept).sum(), len(good), (~good.kept).sum())
     assert len(junk) > 10 and (~junk.kept).mean() > 0.4
     assert good.kept.mean() > 0.95
+
+
+@pytest.mark.parametrize("model_most", [perplexity.MODEL_MOST, 0])
+@pytest.mark.parametrize("more", [[(1, "some words here", "en")], []])
+def test_languages_without_letters(spark, more, model_most):
+    rows = [(2, "", "xx"), (3, None, "yy"), (4, None, None), *more]
+    found = {r.doc_id: r for r in perplexity.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model_most=model_most).collect()}
+    assert found.keys() == {r[0] for r in rows}
+    assert all(found[k].log_ppl is None and found[k].base_failed and not found[k].kept for k in (2, 3, 4))
+    assert not more or found[1].log_ppl is not None
