@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..sources.work import drop_folder, new_path, work_folder, write_work  # noqa: F401
 
 #: Bytes of text in a batch that stays in Arrow.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 3_000_000
 #: Characters of text that one inner batch holds at most (a longer text is a batch of its own).
 BATCH_CHARS = 2_000_000
 

@@ -2,28 +2,35 @@
 
 A unit is a run of white space with the run of other characters after it. A pre-token of a byte-level tokenizer
 never goes on from a character that isn't white space to one that is, so the ids of a text are the ids of its units
-in a row. Texts in which the library's white space could differ from Python's go to the library whole.
+in a row. Texts with a NUL, which marks the beginning of a text here, or with a character that the library could take
+otherwise than Python for white space, go to the library whole. Long texts are cut where a unit ends.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct units whose ids a worker keeps; when full, it starts anew.
-CACHE_UNITS = 1_000_000
+#: Bytes of the units and ids that a worker keeps; beyond, those of few uses are dropped.
+CACHE_BYTES = 16 << 20
+#: Bytes that a unit takes besides its key and ids: a row in four arrays.
+_UNIT_BYTES = 13
+#: Characters after which a text is cut where a unit ends.
+PART_CHARS = 1_000_000
 
 #: Units that go to the library in one call.
 RUN_UNITS = 500
 
 _UNIT = re.compile(r"\s*\S+|\s+")
 _ODD = re.compile("[\x00\x1c-\x1f]")
+#: Places at which any byte-level pre-token and any unit ends.
+_BORDER = re.compile(r"(?<=[A-Za-z0-9])(?=[ \n])")
 
 
 def unit_keys(text: str) -> list[str]:
@@ -42,8 +49,17 @@ def misplaced(key: str) -> bool:
     """Whether a key of a plain split at spaces and line ends isn't a unit: white space at its ends, or a character that could be."""
     rest = key[1:] if key[:1] in ("\0", "\n") else key
     if not rest:
-        return key != "\0"  # alone, it begins an empty text
-    return rest[0].isspace() or rest[-1].isspace() or bool(_ODD.search(rest))
+        return key != "\0"  # alone, it begins a text that is empty or goes on with white space
+    return rest[0].isspace() or rest[-1].isspace()
+
+
+def text_parts(text: str, chars: int = PART_CHARS) -> Iterator[str]:
+    """The text in parts whose ids in a row are the ids of the text."""
+    at = 0
+    while len(text) - at > chars and (place := _BORDER.search(text, at + chars)):
+        yield text[at : place.start()]
+        at = place.start()
+    yield text[at:]
 
 
 class _Index(dict):
@@ -88,20 +104,32 @@ class UnitEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index, self.wrong = _Index(), np.zeros(0, bool)
+        self.keys, self.wrong, self.uses = pa.array([], pa.string()), np.zeros(0, bool), np.zeros(0, np.int32)
+        self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _held(self) -> int:
+        return self.keys.nbytes + _UNIT_BYTES * len(self.keys) + 4 * self.used
+
+    def _trim(self) -> None:
+        """Keeps the units of the most uses that take half of the room at most."""
+        size, least = _UNIT_BYTES + pc.binary_length(self.keys).to_numpy() + 4 * self.count, 2
+        while size[self.uses >= least].sum() > CACHE_BYTES // 2:
+            least *= 2
+        at = np.flatnonzero(self.uses >= least)
+        flat = self._gather(at, np.ones(len(at), np.int64))[0]
+        self.keys, self.count, self.wrong, self.uses = self.keys.take(pa.array(at)), self.count[at], self.wrong[at], self.uses[at] // 2
+        self.flat, self.used, self.first = flat, len(flat), np.cumsum(self.count, dtype=np.int32) - self.count
 
     def _library(self, texts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def _joined(self, units: list[str], size: np.ndarray, between: str) -> tuple[np.ndarray, np.ndarray] | None:
+    def _joined(self, units: pa.Array, size: np.ndarray, between: str) -> tuple[np.ndarray, np.ndarray] | None:
         """(ids, count of each) of units that begin with white space (`between` stands before each), encoded in long runs,
         as a call costs more than a unit. The ids' byte lengths show where a unit of so many bytes ends; None if they don't."""
-        if not units:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        runs = [between + between.join(units[k : k + RUN_UNITS]) for k in range(0, len(units), RUN_UNITS)]
-        ids = np.concatenate([np.array(x, np.uint32) for x in self._library(runs)])
+        ends = pa.array(np.append(np.arange(0, len(units), RUN_UNITS), len(units)), pa.int32())
+        runs = pc.binary_join(pa.ListArray.from_arrays(ends, units), between).to_pylist()
+        ids = np.concatenate([np.array(x, np.uint32) for x in self._library([between + run for run in runs])])
         ends, until = np.cumsum(self.n_bytes[ids]), np.cumsum(size)
         last = np.searchsorted(ends, until, side="right")
         if ends[-1] != until[-1] or (ends[last - 1] != until).any():
@@ -112,56 +140,84 @@ class UnitEncoder:
         found = self._library(units)
         return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
-    def _learn(self, keys: list[str], size: np.ndarray | None) -> None:
-        """Notes the ids of new keys; size: their bytes, if they come from a plain split."""
+    def _learn(self, keys: pa.Array, plain: bool) -> None:
+        """Notes the ids of new keys; plain: they come from a plain split."""
+        size = pc.binary_length(keys).to_numpy().astype(np.int64)
         wrong = np.zeros(len(keys), bool)
-        # a printable key has no white space in it, and so is a unit after a space
-        spaced = np.zeros(len(keys), bool) if size is None else np.fromiter(map(str.isprintable, keys), bool, len(keys)) & (size > 0)
-        lines, others = [], []
-        for k in np.flatnonzero(~spaced).tolist():
-            wrong[k] = misplaced(keys[k])
-            (lines if size is not None and not wrong[k] and keys[k][0] == "\n" else others).append(k)
-        groups = [(np.flatnonzero(spaced), lambda at: self._joined(keys if len(at) == len(keys) else [keys[k] for k in at], size[at] + 1, " "))]
-        groups.append((np.array(lines, np.int64), lambda at: self._joined([keys[k] for k in at], size[at], "")))
-        groups.append((np.array(others, np.int64), lambda at: self._alone(["" if wrong[k] and not keys[k][:1].isspace() else unit_of_key(keys[k]) for k in at])))
-        count, place, parts, total = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), [], self.used
+        # a key without white space in it is a unit after a space
+        spaced = (size > 0) & ~pc.match_substring_regex(keys, r"[\s\pZ\pC]").to_numpy(zero_copy_only=False) if plain else np.zeros(len(keys), bool)
+        rest = np.flatnonzero(~spaced)
+        texts = keys.take(pa.array(rest)).to_pylist()
+        units = []
+        for k, key in zip(rest.tolist(), texts):
+            wrong[k] = misplaced(key)
+            units.append("" if wrong[k] and not key[:1].isspace() else unit_of_key(key))
+        lines = np.array([plain and not wrong[k] and key[0] == "\n" for k, key in zip(rest.tolist(), texts)], bool)
+        groups = [
+            (np.flatnonzero(spaced), lambda at: self._joined(keys.take(pa.array(at)), size[at] + 1, " ")),
+            (rest[lines], lambda at: self._joined(keys.take(pa.array(at)), size[at], "")),
+            (rest[~lines], lambda at: self._alone([unit for unit, line in zip(units, lines) if not line])),
+        ]
+        count, place, parts, total = np.zeros(len(keys), np.int32), np.zeros(len(keys), np.int32), [], self.used
         for at, encoded in groups:
             if len(at):
-                ids, n = encoded(at) or self._alone([unit_of_key(keys[k]) for k in at])
+                ids, n = encoded(at) or self._alone([unit_of_key(k) for k in keys.take(pa.array(at)).to_pylist()])
                 count[at], place[at] = n, total + np.cumsum(n) - n
                 parts.append(ids)
                 total += len(ids)
-        while total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        if total > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(total + total // 4 - self.used, np.uint32)])
         self.flat[self.used : total] = np.concatenate(parts)
+        self.keys, self.used = pa.concat_arrays([self.keys, keys]), total
         self.first, self.count = np.concatenate([self.first, place]), np.concatenate([self.count, count])
-        self.wrong, self.used = np.concatenate([self.wrong, wrong]), total
-
-    def _numbers(self, keys: list[str], size: np.ndarray | None = None) -> np.ndarray:
-        """The number of each key; new ones are learned. size: the bytes of each, if they come from a plain split and are distinct."""
-        known = len(self.index)
-        numbers = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
-        if new := self.index.take():
-            self._learn(new, None if size is None else size[numbers >= known])
-        return numbers
+        self.wrong, self.uses = np.concatenate([self.wrong, wrong]), np.concatenate([self.uses, np.zeros(len(keys), np.int32)])
+
+    def _numbers(self, keys: pa.Array, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(the number of each key, the distinct ones among them); new keys are learned."""
+        if self._held() > CACHE_BYTES:
+            self._trim()
+        coded = keys.dictionary_encode()
+        distinct = coded.dictionary
+        found = pc.index_in(distinct, value_set=self.keys)
+        numbers = pc.fill_null(found, -1).to_numpy()
+        if found.null_count:
+            new = numbers < 0
+            numbers = np.where(new, len(self.keys) - 1 + np.cumsum(new), numbers)
+            self._learn(distinct.filter(pa.array(new)), plain)
+        at = coded.indices.to_numpy()
+        self.uses[numbers] += np.bincount(at, minlength=len(numbers)).astype(np.int32)
+        return numbers[at], numbers
 
     def encode(self, texts: Sequence[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         column = pc.fill_null(column, "")
         if not self.by_units or self.crossing:
-            found = self._library(column.to_pylist())
-            return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
-        if len(self.index) > CACHE_UNITS:
-            self._clear()
-        # a plain split, numbered once for each distinct key of the batch
+            return self._alone(column.to_pylist())
+        size = pc.binary_length(column).to_numpy(zero_copy_only=False)
+        apart = set(np.flatnonzero(size > PART_CHARS).tolist()) | set(np.flatnonzero(pc.match_substring_regex(column, _ODD.pattern).to_numpy(zero_copy_only=False)).tolist())
+        if not apart:
+            return self._split(column)
+        # runs of other texts between those that go apart
+        parts, counts, first = [], [], 0
+        for k in [*sorted(apart), len(column)]:
+            if k > first:
+                ids, count = self._split(column.slice(first, k - first))
+                parts.append(ids)
+                counts += count.tolist()
+            if k < len(column):
+                found = [self._apart(part) for part in text_parts(column[k].as_py())]
+                parts += found
+                counts.append(sum(map(len, found)))
+            first = k + 1
+        return np.concatenate(parts), np.array(counts, np.int64)
+
+    def _split(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without a character in _ODD: a plain split, looked up once for each distinct key of the batch."""
         keys = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\0"), pc.replace_substring(column, "\n", " \n"), pa.scalar("")), " ")
         sizes = np.diff(np.asarray(keys.offsets)).astype(np.int64)
-        coded = keys.flatten().dictionary_encode()
-        size = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
-        numbers = self._numbers(coded.dictionary.to_pylist(), size)
-        units = numbers[coded.indices.to_numpy(zero_copy_only=False)]
+        units, distinct = self._numbers(keys.flatten(), True)
         ids, count = self._gather(units, sizes)
-        if self.wrong[numbers].any():
+        if self.wrong[distinct].any():
             redo = set(np.flatnonzero(segment_sums(self.wrong[units], sizes)).tolist())
             ends, parts = np.cumsum(count), []
             for k in range(len(sizes)):
@@ -170,10 +226,10 @@ class UnitEncoder:
         return ids, count
 
     def _apart(self, text: str) -> np.ndarray:
-        """ids of a text that a plain split would misplace."""
+        """ids of a text that a plain split would misplace, or of a part of a long one."""
         if _ODD.search(text):
             return np.array(self._library([text])[0], np.uint32)
-        units = self._numbers(unit_keys(text))
+        units, _ = self._numbers(pa.array(unit_keys(text), pa.string()), False)
         return self._gather(units, np.array([len(units)]))[0]
 
     def _gather(self, units: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

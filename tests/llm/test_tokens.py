@@ -18,6 +18,7 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 HARD = [
     "", " ", "a", "  a　　 b", "a\x1c b", "\0abc \0d", "<|endoftext|> x<|endoftext|>", "a" * 3001, "it's'll don't 'sx '' 's", "\n\n\n x\t\ty  z  ", "日本語 テキスト、です。𐥀𐥁 abcՠ՘x",
     " a \u0085 b", "a\nb \n c\n d\n", "🎉🎉👍🏽 ok‍", "'" * 500, "a1b2c3" * 9000 + " b" * 20000, "é è y z　 w", " " * 3000 + "x", "word " * 30_000,
+    "a \0 b", " \0", "a \0b", "x \0", "\0", "a\n\0\nb", "one \x1f two",
 ]
 
 
@@ -50,8 +51,22 @@ def test_unit_encoder(library, wanted):
         assert count.tolist() == [len(w) for w in wanted] and ids.tolist() == [i for w in wanted for i in w]
 
 
+def test_unit_cache_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 4000)
+    monkeypatch.setattr(tokens, "PART_CHARS", 300)
+    encoder, random = tokens.UnitEncoder(JSON), np.random.default_rng(1)
+    for _ in range(20):
+        texts = [" ".join(["the", "of", *("".join(random.choice(list("abcdé"), 6)) for _ in range(30 + 30 * (k == 3))), "x\ny  z", "\0"[k % 3 :]]) for k in range(5)]
+        ids, count = encoder.encode(texts)
+        wanted = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert count.tolist() == [len(w) for w in wanted] and ids.tolist() == [i for w in wanted for i in w]
+        # what a batch learns stays until the next one
+        assert encoder._held() < 4000 + 60 * sum(len(t.split()) for t in texts)
+    assert {"of", " of"} <= set(encoder.keys.to_pylist())
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab 1.'\n\t é　\u0085\x1c日!s<|endoftext|>"), max_size=40))
+@given(st.text(alphabet=st.sampled_from("ab 1.'\n\t é　\u0085\x1c\0日!s<|endoftext|>"), max_size=40))
 def test_any_text(text):
     from tokenizers import Tokenizer
 
