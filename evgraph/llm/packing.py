@@ -68,10 +68,32 @@ def plan(histogram: dict[int, int], room: int = MAX_TOKENS) -> np.ndarray:
     return np.array(rows, np.int64).reshape(-1, 5)
 
 
+def cuts(count: np.ndarray, room: int = MAX_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, piece, start, length) of the pieces of documents of count ids: only a longer one is cut, its first piece
+    is the shorter."""
+    first = np.where(count <= room, count, (count - 1) % room + 1)
+    n = np.where(count > 0, 1 + (count - first) // room, 0)
+    of = np.repeat(np.arange(len(count)), n)
+    piece = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    start = np.where(piece > 0, first[of] + (piece - 1) * room, 0)
+    return of, piece, start, np.where(piece > 0, room, first[of])
+
+
 def cut(count: int, room: int = MAX_TOKENS) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document of count ids: only a longer one is cut, its first piece is the shorter."""
-    first = count if count <= room else (count % room or room)
-    return [(0, first), *((at, room) for at in range(first, count, room))] if count else []
+    """(start, length) of the pieces of a document of count ids."""
+    _, _, start, length = cuts(np.array([count]), room)
+    return list(zip(start.tolist(), length.tolist()))
+
+
+def places(length: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The rank of each piece among those of its length, those in seen (counts by length) before it; adds them to seen."""
+    order = np.argsort(length, kind="stable")
+    ordered = length[order]
+    n = np.bincount(length, minlength=len(seen))
+    place = np.empty(len(length), np.int64)
+    place[order] = np.arange(len(length)) - (np.cumsum(n) - n)[ordered] + seen[ordered]
+    seen += n
+    return place
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, room: int = MAX_TOKENS) -> DataFrame:
@@ -82,17 +104,12 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, room: int = MAX_TO
         seen = np.zeros(room + 1, np.int64)
         for rows in common.sliced_batches(batches):
             ids, count = encode(rows.column("text"))
-            ids = np.insert(ids, np.cumsum(count), np.uint32(end_id))
-            data, at = memoryview(ids.astype("<u4").tobytes()), 0
-            out: list[tuple] = []
-            for doc_id, n in zip(rows.column("doc_id").to_pylist(), (count + 1).tolist()):
-                for k, (start, length) in enumerate(cut(n, room)):
-                    begin = at + start
-                    out.append((doc_id, k, start, length, zlib.crc32(data[4 * begin : 4 * (begin + length)]), part, int(seen[length])))
-                    seen[length] += 1
-                at += n
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], [c.split()[0] for c in _PIECES.split(", ")])
+            ids, count = np.insert(ids, np.cumsum(count), np.uint32(end_id)), count + 1
+            of, piece, start, length = cuts(count, room)
+            data, begin = memoryview(ids.astype("<u4", copy=False)).cast("B"), 4 * ((np.cumsum(count) - count)[of] + start)
+            crc = [zlib.crc32(data[a:b]) for a, b in zip(begin.tolist(), (begin + 4 * length).tolist())]
+            columns = [rows.column("doc_id").take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(np.full(len(of), part), pa.int32()), pa.array(places(length, seen))]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _PIECES.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES)
 
@@ -102,27 +119,18 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, room: int = MAX_TOKE
 
     A null text is empty and still a piece, of end_id alone; a null doc_id stays null; repeated rows are packed each for
     itself; an empty table gives no rows. Equal lengths are ranked in the order of the tasks that read them. The pieces
-    are written once to the shared folder, so that ranks stand whatever is run again.
+    are written once to the shared folder, so that ranks stand whatever is run again. Both joins have a small side that
+    the corpus doesn't widen: a row for each task and length, and the plan.
     """
+    spark = docs.sparkSession
     found, _ = common.write_work(pieces(docs, vocabulary, end_id, room), "pieces")
     counts = found.groupBy("part", "length").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `room` rows
-    rows = plan(histogram, room)
-    # by (length, first rank): one key that grows along both
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    planned = plan(histogram, room)
+    slots = spark.createDataFrame(pa.Table.from_arrays([pa.array(planned[:, k]) for k in range(5)], ["of_length", "from_rank", "ranks", "from_sequence", "offset"]))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    ranked = found.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place")).alias("rank"))
-    first_of = np.searchsorted(rows[:, 0], np.arange(room + 2))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = int(rows[:, 1:3].sum(1).max()) + 1 if len(rows) else 1
-        keys = rows[:, 0] * most + rows[:, 1]
-        for batch in batches:
-            length, rank = batch.column("length").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("rank").to_numpy(zero_copy_only=False)
-            at = np.searchsorted(keys, length * most + rank, side="right") - 1
-            assert (at >= first_of[length]).all()
-            sequence = rows[at, 3] + rank - rows[at, 1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start")), pa.array(length), batch.column("ids_crc32"), pa.array(sequence), pa.array(rows[at, 4])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = found.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("place"))
+    inside = (F.col("length") == F.col("of_length")) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("from_rank") + F.col("ranks"))
+    taken = ranked.join(F.broadcast(slots), inside)
+    return taken.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", (F.col("from_sequence") + F.col("rank") - F.col("from_rank")).alias("sequence_id"), "offset")
