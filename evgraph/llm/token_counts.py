@@ -2,11 +2,13 @@
 
 Texts are cut into pre-tokens; the distinct ones of a batch are held as one ragged array of symbols. In each round
 every sequence that still has a mergeable pair applies its lowest-ranked pair at all its places at once; when no
-sequence has one, the surviving symbols are counted.
+sequence has one, the surviving symbols are counted. A sequence of many symbols takes many rounds, so it goes by itself
+and keeps the places of each rank: a round then looks at what stands beside its merges only.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -22,6 +24,8 @@ from .tokens import _Index, segment_sums
 #: Distinct pre-tokens whose counts a worker keeps; when full, it starts anew.
 CACHE_PIECES = 400_000
 LIMIT = 512
+#: Symbols of a sequence that goes by itself.
+LONG = 2048
 
 _NONE = np.int64(1) << 40
 
@@ -42,6 +46,7 @@ class RankMerger:
         self.width = np.int64(max(vocabulary.values()) + 1)
         pairs = np.array([vocabulary[a] * int(self.width) + vocabulary[b] for a, b in merges], np.int64)
         made = np.array([vocabulary[a + b] for a, b in merges], np.int64)
+        self.by_rank = made
         # pairs in an open-addressed table: a lookup is a few gathers, whatever the number of merges
         bits = max(4, int(len(pairs) * 4 - 1).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
@@ -78,7 +83,9 @@ class RankMerger:
         """Symbols left of each piece (0 of an empty one)."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         out = sizes.copy()
-        live = np.flatnonzero(sizes > 1)
+        for k in np.flatnonzero(sizes > LONG).tolist():
+            out[k] = self.count_long(pieces[k])
+        live = np.flatnonzero((sizes > 1) & (sizes <= LONG))
         if not len(live):
             return out
         symbols = self.of_byte[np.frombuffer(b"".join(pieces[k] for k in live), np.uint8)]
@@ -110,6 +117,52 @@ class RankMerger:
         return out
 
 
+    def count_long(self, piece: bytes) -> int:
+        """The same of one long piece."""
+        symbols = self.of_byte[np.frombuffer(piece, np.uint8)]
+        n, gone = len(symbols), 0
+        before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
+        rank = np.full(n, _NONE)  # of the pair that begins at a place
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            rank[at] = _NONE
+            at = at[after[at] < n]
+            found, _ = self._find(symbols[at], symbols[after[at]])
+            rank[at] = found
+            at, found = at[found < _NONE], found[found < _NONE]
+            order = np.argsort(found, kind="stable")
+            at, found = at[order], found[order]
+            edges = np.flatnonzero(np.diff(found, prepend=-1, append=-1))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                own = int(found[a])
+                if own not in places:
+                    places[own] = []
+                    heapq.heappush(ranks, own)
+                places[own].append(at[a:b])
+
+        look(np.arange(n))
+        while ranks:
+            lowest = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(places.pop(lowest)))
+            at = at[rank[at] == lowest]
+            if not len(at):
+                continue
+            # of overlapping places every second one from the left
+            joined = np.concatenate([[False], after[at[:-1]] == at[1:]])
+            number = np.arange(len(at))
+            at = at[(number - np.maximum.accumulate(np.where(joined, 0, number))) % 2 == 0]
+            right = after[at]
+            behind = after[right]
+            symbols[at], rank[right], after[at] = self.by_rank[lowest], _NONE, behind
+            before[behind[behind < n]] = at[behind < n]
+            gone += len(at)
+            ahead = before[at]
+            look(np.unique(np.concatenate([at, ahead[ahead >= 0]])))
+        return n - gone
+
+
 def _leftmost(merge: np.ndarray) -> np.ndarray:
     """Of overlapping places (a run of one repeated symbol), every second one from the left."""
     at = np.flatnonzero(merge)

@@ -1,6 +1,7 @@
 """Operators 1, 3, 4 and 5 against the tokenizer libraries."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -95,6 +96,23 @@ def test_merging_is_simultaneous():
     assert merger.count([b"", b"a", b"aa", b"aaa", b"aaaa", b"aaaab", b"abab", b"xyz"]).tolist() == [0, 1, 1, 2, 1, 2, 2, 3]
 
 
+def test_long_pieces(library, monkeypatch):
+    """One by one as together, as the library counts, and a million letters in seconds."""
+    counter, random = token_counts.PieceCounter(JSON), np.random.default_rng(3)
+    texts = ["".join(random.choice(list(letters), 3000)) for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "a", "é日aB")] + ["a" * 4001, "the" * 900]
+    wanted = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert counter.count(texts).tolist() == wanted
+    merger = counter.merger
+    short = [t.encode()[:500] for t in texts]
+    assert [merger.count_long(p) for p in short] == merger.count(short).tolist()
+    monkeypatch.setattr(token_counts, "LONG", 10**9)
+    assert token_counts.PieceCounter(JSON).count(texts).tolist() == wanted
+    began = time.time()
+    letters = "".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), 1_000_000))
+    assert merger.count_long(letters.encode()) == len(library.encode(letters, add_special_tokens=False).ids)
+    assert time.time() - began < 60
+
+
 def test_codec(docs):
     codec = bpe.RankCodec(RANKS)
     found = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(docs, RANKS).collect()}
