@@ -65,6 +65,14 @@ def more_partitions(df: DataFrame, size: int = 128 << 20) -> list[int]:
     return [n] if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name of a column that df doesn't have, whatever the case of letters."""
+    taken, name = {c.lower() for c in df.columns}, f"_{name}"
+    while any(c.startswith(name) for c in taken):
+        name = f"_{name}"
+    return name
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     """crc32 of the decimal text of an id (null: null)."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
+from test_jaccard import plain_groups
 from evgraph.llm import bitsliced, common, packing, quality, queries, simhash, toxicity
 
 
@@ -78,6 +79,18 @@ def test_links_and_components(spark, tree_most):
     assert found == {signed[k]: signed[r] for k, r in enumerate(roots) if r != k}
 
 
+def test_masks_hold_all_neighbours():
+    """However often shards are dealt, two fingerprints of 2 bits apart share one; the last ones share 56 bits."""
+    draw, masks = random.Random(9), [0]
+    for level in range(simhash.LEVELS):
+        masks = sorted({f for m in masks for f in simhash._finer(m)})
+        assert {m.bit_count() for m in masks} == {(32, 48, 56)[level]}
+    for _ in range(200):
+        apart, mask = sum(1 << b for b in draw.sample(range(64), 2)), 0
+        for _ in range(simhash.LEVELS):
+            mask = next(m for m in simhash._finer(mask) if not m & apart)
+
+
 def copies(spark):
     draw = random.Random(3)
     words = [f"w{k}" for k in range(500)]
@@ -172,7 +185,7 @@ def test_pipeline_against_plain_version(spark):
     rows = rows[[model.scores(np.array([model.margin(of(t))]))[0] >= 0.5 for t in rows.text]]
     lexicon = toxicity.fit_documents(spark.createDataFrame(rows), labels)
     rows = rows[lexicon.scores(list(rows.text)) < 0.5].sort_values("doc_id")
-    rows = rows[[r == k for k, r in enumerate(plain_components([plain_fingerprint(t) for t in rows.text]))]]
+    rows = rows[[r == k for k, r in enumerate(plain_groups(list(rows.text)))]]
     found = corpus_pipeline.run(spark, folder).toPandas()
     assert set(found.doc_id) == set(rows.doc_id)
     pieces = Counter(found.doc_id)
@@ -185,7 +198,8 @@ def test_pipeline_against_plain_version(spark):
 
 def test_pipeline_stages_take_odd_rows(spark):
     folder = "/root/testdata/sf0.001"
-    odd = spark.createDataFrame([(None, None, None, None, None, 1.0), (1, "", "en", "s", 0, 2.0), (1, "", "en", "s", 0, 2.0), (2, "calm words in a row " * 20_000, None, None, 5, None)], "doc_id long, text string, lang string, source string, n_chars long, score double")
+    odd = spark.createDataFrame([(None, None, None, None, None, 1.0), (1, "", "en", "s", 0, 2.0), (1, "", "en", "s", 0, 2.0), (2, "calm words in a row " * 20_000, None, None, 5, None)], "doc_id long, text string, lang string, source string, n_chars long, _score double")
+    odd = odd.selectExpr("*", "1 AS _hits", "2 AS _fingerprint", "3 AS _fp", "4 AS _id", "5 AS unsure", "6 AS _SCORE_HITS")
     for name, stage in corpus_pipeline.STAGES:
         found = stage(spark, odd, folder)
         assert name == "packing" or found.columns == odd.columns
