@@ -9,7 +9,7 @@ row that it lets in is scored exactly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,9 @@ SEGMENT_ROWS = 65_536
 SLICES = 7
 #: Queries that are broadcast at once (8,192 x 64 components x 8 bytes = 4 MB); more go in further passes.
 QUERY_BLOCK = 8192
-#: Integers beyond this could overflow a sum of products; their scores are added without limit and cut to a long.
-_LARGE = 1 << 26
+#: Integers from this on could overflow a sum of products; their scores are added without limit and cut to a long. Rows
+#: with such a component are kept apart from a segment's bitmaps; queries with one are scored limb by limb.
+_LARGE, _LIMB = 1 << 26, 24
 
 
 def quantised(vectors: list) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -134,7 +135,8 @@ class Segment:
         own = self.ids == query_id
         among = self.all & ~self._map(own) if own.any() else self.all
         if self.slices and query.any() and self.n > k:
-            slack = int(np.abs(query).sum()) * ((1 << self.shift) - 1)
+            # what the bits below the coarse values can add to one row and take from another, in units of a coarse sum
+            slack = (int(np.abs(query).sum()) * ((1 << self.shift) - 1) >> self.shift) + 1
             rows = self.front(self.sums(query), k, among, slack)
         else:
             rows = among
@@ -144,11 +146,24 @@ class Segment:
         return self.ids[at[best]], scores[best]
 
 
-def _plain_top(ids: np.ndarray, values: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same without bitmaps, in integers of any size, for components too large for a sum of longs."""
-    scores = [max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(v, query)))) for v in values]
-    best = sorted((k for k in range(len(ids)) if ids[k] != query_id), key=lambda r: (-scores[r], ids[r]))[:k]
-    return ids[best], np.array([scores[r] for r in best], np.int64)
+def _cut(scores: list[int]) -> np.ndarray:
+    return np.array([max(-(1 << 63), min((1 << 63) - 1, int(s))) for s in scores], np.int64)
+
+
+def wide_scores(values: np.ndarray, query: Sequence[int]) -> np.ndarray:
+    """Inner products, cut to a long, of rows of components under _LARGE with a query of integers of any size."""
+    signs, rest, total, place = np.array([1 if q >= 0 else -1 for q in query], np.int64), [abs(int(q)) for q in query], 0, 0
+    while any(rest):
+        limb = np.array([q & (1 << _LIMB) - 1 for q in rest], np.int64) * signs
+        total = total + (values @ limb).astype(object) * (1 << place)
+        rest, place = [q >> _LIMB for q in rest], place + _LIMB
+    return _cut(total) if place else np.zeros(len(values), np.int64)
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(ids != query_id)
+    at = at[np.lexsort((ids[at], ~scores[at]))[:k]]  # the complement falls as the score rises, without overflow
+    return ids[at], scores[at]
 
 
 def _query_blocks(queries: DataFrame, block: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
@@ -185,15 +200,25 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, query_block: int =
         shared = spark.sparkContext.broadcast(block)
 
         def segment(ids: list[np.ndarray], values: list[np.ndarray]) -> pa.RecordBatch:
-            ids, values = np.concatenate(ids), np.array(values)
-            large = values.dtype == object or bool(np.abs(values).max() >= _LARGE)
-            index = None if large else Segment(ids, values)
-            found = [[], [], [], []]
+            ids = np.concatenate(ids)
+            large = np.array([v.dtype == object or bool(np.abs(v).max() >= _LARGE) for v in values])
+            apart, others = np.flatnonzero(large), np.flatnonzero(~large)
+            index = Segment(ids[others], np.array([values[k] for k in others])) if len(others) else None
+            size, found = len(values[0]), [[], [], [], []]
             for number, query_id, query in shared.value:
-                if len(query) != values.shape[1]:
+                if len(query) != size:
                     continue
-                plain = large or query.dtype == object or bool(np.abs(query).max() >= _LARGE)
-                near, scores = _plain_top(ids, values, query_id, query, k) if plain else index.top(query_id, query, k)
+                near, scores = [], []
+                if index is not None:
+                    wide = query.dtype == object or bool(np.abs(query).max() >= _LARGE)
+                    some = _best(index.ids, wide_scores(index.values, query), query_id, k) if wide else index.top(query_id, query, k)
+                    near.append(some[0])
+                    scores.append(some[1])
+                if len(apart):
+                    some = _best(ids[apart], _cut([sum(int(a) * int(b) for a, b in zip(values[r], query)) for r in apart]), query_id, k)
+                    near.append(some[0])
+                    scores.append(some[1])
+                near, scores = np.concatenate(near), np.concatenate(scores)
                 for column, value in zip(found, (np.full(len(near), number), np.full(len(near), query_id), near, scores)):
                     column.append(value)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c or [np.zeros(0, np.int64)]), t) for c, t in zip(found, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["query", "query_id", "vec_id", "score"])

@@ -170,9 +170,25 @@ def test_segment(n, dims, k, seed, width):
 
 
 def test_large_components(spark):
-    table = spark.createDataFrame([(0, [3e30, 1.0]), (1, [2.0, 2.0]), (2, [-1e25, 5.0])], "vec_id long, embedding array<double>")
+    table = spark.createDataFrame([(0, [3e30, 1.0]), (1, [2.0, 2.0]), (2, [-1e25, 5.0]), (100, [0.5, 0.25])], "vec_id long, embedding array<double>")
     rows = bitsliced.top_k(table).collect()
-    assert [(r.query_id, r.rank, r.vec_id) for r in rows] == [(0, 1, 1), (0, 2, 2)] and rows[1].score == -(1 << 63)
+    assert [(r.query_id, r.rank, r.vec_id) for r in rows if r.query_id == 0] == [(0, 1, 1), (0, 2, 100), (0, 3, 2)] and min(r.score for r in rows) == -(1 << 63)
+    assert [(r.vec_id, r.score) for r in rows if r.query_id == 100] == [(0, (1 << 63) - 1), (1, 512 * 2048 + 256 * 2048), (2, -(1 << 63))]
+
+
+def test_outliers_stay_apart():
+    """Scores of large integers, and few rows that coarse sums let in."""
+    draw = np.random.default_rng(4)
+    values = draw.integers(-(1 << 26) + 1, 1 << 26, (50, 5))
+    for query in ([3, -(1 << 40), 1 << 90, 0, -7], [0] * 5, [1 << 30, 2, 3, -4, 5]):
+        exact = [max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * q for a, q in zip(v, query)))) for v in values]
+        assert bitsliced.wide_scores(values, query).tolist() == exact
+    x = draw.standard_normal((4000, 64))
+    x = np.floor(1024 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    segment = bitsliced.Segment(np.arange(4000), x)
+    slack = (int(np.abs(x[0]).sum()) * ((1 << segment.shift) - 1) >> segment.shift) + 1
+    let_in = segment.front(segment.sums(x[0]), 10, segment.all, slack)
+    assert segment.shift and np.bitwise_count(let_in).sum() < 400
 
 
 def test_pipeline_against_plain_version(spark):
