@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import time
 import zlib
 from collections.abc import Callable, Iterator, Sequence
@@ -27,6 +28,21 @@ class Encoder(Protocol):
     def text(self, text: str) -> np.ndarray: ...
 
 
+class RuleModel:
+    """Replies by the length of the prompt, a rule that SQL can follow."""
+
+    def count_image_tokens(self, size: tuple[int, int]) -> int:
+        return (size[0] // 28) * (size[1] // 28)
+
+    def generate(self, frames: Sequence[bytes], prompt: str) -> str:
+        return self.generate_text(prompt) if "<letter>" in prompt else f"seen in {len(frames)} frames: {len(prompt) % 11}"
+
+    def generate_text(self, prompt: str) -> str:
+        if "Begin with Yes or No" in prompt:
+            return f"Yes\nTied by {len(prompt) % 7}." if len(prompt) % 4 else "No"
+        return f"The answer is {'ABCDE'[len(prompt) % 5]}."
+
+
 class StubModel:
     """Replies that depend on the prompt alone, in the forms that the steps ask for."""
 
@@ -35,7 +51,7 @@ class StubModel:
         return (size[0] // 28) * (size[1] // 28)
 
     def generate(self, frames: Sequence[bytes], prompt: str) -> str:
-        return f"record {zlib.crc32(prompt.encode()):08x} of {len(frames)} frames"
+        return self.generate_text(prompt) if "<letter>" in prompt else f"record {zlib.crc32(prompt.encode()):08x} of {len(frames)} frames"
 
     def generate_text(self, prompt: str) -> str:
         draw = zlib.crc32(prompt.encode())
@@ -61,7 +77,7 @@ class StubEncoder:
         return self._draw(text.encode(), 1)[0]
 
 
-MODELS: dict[str, Callable[[], LanguageModel]] = {"stub": StubModel}
+MODELS: dict[str, Callable[[], LanguageModel]] = {"stub": StubModel, "rule": RuleModel}
 ENCODERS: dict[str, Callable[[], Encoder]] = {"stub": StubEncoder}
 
 
@@ -77,31 +93,56 @@ def with_retries(call: Callable[[], str], attempts: int = 5, wait: float = 5.0)
     raise AssertionError
 
 
-def reply(model: str, prompt: Column, attempts: int = 5) -> Column:
-    """A model's replies to prompts; the model is loaded once for each batch iterator. Replies can differ when asked for
-    again, so results should be written before they are used twice."""
+@functools.cache
+def image_tokens(model: str, size: int) -> int:
+    """The tokens that a model needs for a square picture of so many pixels a side; asked once for each."""
+    return MODELS[model]().count_image_tokens((size, size))
+
+
+def _answered(call: Callable[[], str], attempts: int, wait: float) -> tuple[str | None, str | None]:
+    try:
+        return with_retries(call, attempts, wait), None
+    except Exception as e:
+        return None, f"{type(e).__name__}: {e}"
+
+
+_REPLY = "text string, error string"
+
+
+def reply(model: str, prompt: Column, images: Column | None = None, attempts: int = 5, wait: float = 5.0) -> Column:
+    """(text, error): a model's reply to each prompt, or what its last attempt failed with; with images (array<binary>), one
+    that looks at them. The model is loaded once for each run of batches. Replies can differ when asked for again, so
+    they should be written before they are used twice."""
     make = MODELS[model]
 
-    @F.pandas_udf("string")
-    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(_REPLY)
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         lmm = make()
         for prompts in batches:
-            yield prompts.map(lambda p: None if p is None else with_retries(lambda: lmm.generate_text(p), attempts))
+            yield pd.DataFrame([(None, None) if p is None else _answered(lambda p=p: lmm.generate_text(p), attempts, wait) for p in prompts], columns=["text", "error"], dtype=object)
 
-    return ask.asNondeterministic()(prompt)
+    @F.pandas_udf(_REPLY)
+    def look(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        lmm = make()
+        for prompts, frames in batches:
+            rows = [(None, None) if p is None else _answered(lambda p=p, own=own: lmm.generate([bytes(x) for x in own], p), attempts, wait) for p, own in zip(prompts, frames)]
+            yield pd.DataFrame(rows, columns=["text", "error"], dtype=object)
 
+    return ask.asNondeterministic()(prompt) if images is None else look.asNondeterministic()(prompt, images)
 
-def ground(model: str, prompt: Column, n_frames: Column, attempts: int = 5) -> Column:
-    """A model's records of events; frames are named by their number until decoded images are plugged in."""
-    make = MODELS[model]
 
-    @F.pandas_udf("string")
-    def ask(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        lmm = make()
-        for prompts, counts in batches:
-            yield pd.Series([with_retries(lambda p=p, n=n: lmm.generate([b""] * int(n), p), attempts) for p, n in zip(prompts, counts)])
+def encode_images(encoder: str, image: Column) -> Column:
+    """(vec, patches): the global vector of a picture and those of its patches."""
+    make = ENCODERS[encoder]
+
+    @F.pandas_udf("vec array<double>, patches array<array<double>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        found = make()
+        for images in batches:
+            rows = [found.image(bytes(x)) for x in images]
+            yield pd.DataFrame({"vec": [list(v) for v, _ in rows], "patches": [[list(p) for p in own] for _, own in rows]})
 
-    return ask.asNondeterministic()(prompt, n_frames)
+    return run(image)
 
 
 def encode_text(encoder: str, text: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: the white space that is stripped.
-SPACE = " \t\r\n"
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_S = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
 def strip(text: Column) -> Column:
@@ -38,17 +39,23 @@ def query_text(question: Column, options: Column) -> Column:
     return F.concat_ws("\n", question, format_options(options))
 
 
-def extract_answer(text: Column, n_options: int = 4) -> Column:
-    """The option letter that a reply states, or null. Three ways of stating it are tried in turn."""
-    last = chr(64 + max(n_options, 1))
+def number_of_options(options: Column) -> Column:
+    """The number of options, 4 where there are none."""
+    return F.when(F.size(options) > 0, F.size(options)).otherwise(4)
+
+
+def extract_answer(text: Column, n_options: int | Column = 4) -> Column:
+    """The option letter, of so many, that a reply states, or null. Three ways of stating it are tried in turn."""
+    last = letter_code(F.greatest(n_options, F.lit(1)) - 1) if isinstance(n_options, Column) else F.lit(chr(64 + max(n_options, 1)))
     # Fixed values: "answer is X" / "option: X"; a letter at the end; a letter at the start.
     patterns = [
-        rf"(?i)(?:answer|option)\s*(?:is|:)\s*[(]?([A-{last}])[)]?",
-        rf"(?i)(?:^|\s)[(]?([A-{last}])[)]?[.\s]*$",
-        rf"(?i)^[(]?([A-{last}])[)]?[.\s]",
+        (rf"(?i)(?:answer|option){_S}*(?:is|:){_S}*[(]?([A-", "])[)]?"),
+        (rf"(?i)(?:^|{_S})[(]?([A-", rf"])[)]?(?:[.]|{_S})*$"),
+        ("(?i)^[(]?([A-", rf"])[)]?(?:[.]|{_S})"),
     ]
     clean = strip(text)
-    return F.upper(F.coalesce(*[F.nullif(F.regexp_extract(clean, p, 1), F.lit("")) for p in patterns]))
+    found = [F.call_function("regexp_extract", clean, F.concat(F.lit(a), last, F.lit(b)), F.lit(1)) for a, b in patterns]
+    return F.upper(F.coalesce(*[F.nullif(x, F.lit("")) for x in found]))
 
 
 def reply_lines(reply: Column) -> Column:
@@ -108,5 +115,8 @@ def timeline_prompt(timeline: Column, query: Column) -> Column:
     return F.concat(F.lit("The pictures belong to these stretches of a film:\n"), timeline, F.lit("\nReason step by step, then end with: The answer is <letter>.\n"), query)
 
 
+DIRECT = "Look at the pictures and pick an option. End with: The answer is <letter>.\n"
+
+
 def direct_prompt(query: Column) -> Column:
-    return F.concat(F.lit("Look at the pictures and pick an option. End with: The answer is <letter>.\n"), query)
+    return F.concat(F.lit(DIRECT), query)

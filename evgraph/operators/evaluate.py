@@ -17,6 +17,12 @@ def chunk_assign(samples: DataFrame, num_chunks: int) -> DataFrame:
     return ordered.join(F.broadcast(total)).withColumn("chunk", F.floor(F.col("position") / size).cast("int")).drop("total")
 
 
+def chunk_of(samples: DataFrame, num_chunks: int = 1, chunk_idx: int = 0, max_samples: int | None = None, order: tuple[str, ...] = ("row",)) -> DataFrame:
+    """The samples of one chunk: the first max_samples in the order of the file, divided by chunk_assign."""
+    taken = samples if max_samples is None else samples.orderBy(*order).limit(max_samples)
+    return chunk_assign(taken, num_chunks).filter(F.col("chunk") == chunk_idx)
+
+
 def ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """rows with their place (from 0) in the order of the keys. Ranges of rows are sorted apart and written with the place
     within the range; then only the sizes of the ranges are summed up, so no key's rows need to meet in a task."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,12 +18,10 @@ def relevance(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return queries.join(vectors, "video_id").select("query_id", "video_id", "event_idx", score.alias("rel"))
 
 
-def _gathered(rel: DataFrame, costs: DataFrame, reach: DataFrame | None) -> DataFrame:
-    """A row for each query: idx, rel and cost of the events in order, and rows of reachability; bounded by one video."""
+def _gathered(rel: DataFrame, costs: DataFrame) -> DataFrame:
+    """A row for each query: event_idx, rel and cost of the events in order; bounded by one video."""
     own = rel.join(costs.select("video_id", "event_idx", "cost"), ["video_id", "event_idx"])
-    if reach is not None:
-        own = own.join(reach.select("video_id", F.col("src").alias("event_idx"), "pi"), ["video_id", "event_idx"])
-    fields = ["event_idx", "rel", "cost"] + (["pi"] if reach is not None else [])
+    fields = ["event_idx", "rel", "cost"]
     packed = own.groupBy("query_id", "video_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
     return packed.select("query_id", "video_id", *[F.col(f"rows.{f}").alias(f) for f in fields])
 
@@ -76,18 +73,33 @@ def lazy_greedy(rel: np.ndarray, cost: np.ndarray, pi: np.ndarray, budget: float
     return picked
 
 
-def greedy_select(rel: DataFrame, costs: DataFrame, reach: DataFrame, budget: float, lam: float = 1.0, use_relevance: bool = True) -> DataFrame:
-    """query_id, video_id, event_idx, pick_order (from 1), a row for each event picked."""
+#: Queries of a video that one task answers.
+QUERIES_A_TASK = 256
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for r in rows.itertuples():
-                picked = lazy_greedy(np.array(r.rel), np.array(r.cost), np.stack(r.pi), budget, lam, use_relevance)
-                out += [(r.query_id, r.video_id, int(r.event_idx[v]), k + 1) for k, v in enumerate(picked)]
-            yield pd.DataFrame(out, columns=["query_id", "video_id", "event_idx", "pick_order"])
 
-    return _gathered(rel, costs, reach).mapInPandas(run, _picked(rel))
+def greedy_select(rel: DataFrame, costs: DataFrame, reach: DataFrame, budget: float, lam: float = 1.0, use_relevance: bool = True, queries_a_task: int = QUERIES_A_TASK) -> DataFrame:
+    """query_id, video_id, event_idx, pick_order (from 1), a row for each event picked.
+
+    A query is a row of its events' relevance and costs. The queries of a video are dealt to tasks of about queries_a_task;
+    each meets one copy of the video's reachability there, instead of carrying one with it.
+    """
+    asked = _gathered(rel, costs)
+    tasks = asked.groupBy("video_id").agg(F.ceil(F.count("*") / queries_a_task).cast("int").alias("tasks"))
+    asked = asked.join(tasks, "video_id").withColumn("task", F.pmod(F.xxhash64("query_id"), F.col("tasks")).cast("int")).drop("tasks")
+    copies = reach.select("video_id", "src", "pi").join(tasks, "video_id").select("video_id", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "src", "pi")
+
+    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows):
+            matrix = np.zeros((int(rows.src.max()) + 1, len(rows.pi.iloc[0])))
+            matrix[rows.src.to_numpy()] = np.stack(rows.pi)
+            for r in queries.itertuples():
+                events = np.array(r.event_idx)
+                picked = lazy_greedy(np.array(r.rel), np.array(r.cost), matrix[np.ix_(events, events)] if len(events) != len(matrix) else matrix, budget, lam, use_relevance)
+                out += [(r.query_id, r.video_id, int(events[v]), k + 1) for k, v in enumerate(picked)]
+        return pd.DataFrame(out, columns=["query_id", "video_id", "event_idx", "pick_order"])
+
+    return asked.groupBy("video_id", "task").cogroup(copies.groupBy("video_id", "task")).applyInPandas(run, _picked(rel))
 
 
 def _picked(rel: DataFrame) -> str:

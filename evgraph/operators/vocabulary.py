@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,16 +27,21 @@ IN_ROW_WORDS, BROADCAST_VALUES = 128, 8_000_000
 
 def quantize(patches: DataFrame, codebook: DataFrame, in_row_words: int = IN_ROW_WORDS, broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
     """video_id, event_idx, frame_no, patch_no, word_id: the word whose centroid has the largest dot product with the normalised patch, the lowest one on ties (to 9 decimals)."""
+    return assigned(patches, codebook, in_row_words, broadcast_values).drop("unit")
+
+
+def assigned(patches: DataFrame, codebook: DataFrame, in_row_words: int = IN_ROW_WORDS, broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
+    """The columns of quantize and unit, the normalised patch."""
+    units = patches.select("video_id", "event_idx", "frame_no", "patch_no", normalised(doubles(F.col("p"))).alias("unit"))
     size = codebook.agg(F.max("word_id").alias("last"), F.sum(F.size("centroid")).alias("values")).first()
     if size.last is not None and size.last >= in_row_words and size.values <= broadcast_values:
-        return _quantize_batches(patches, codebook)
-    own = patches.withColumn("unit", normalised(doubles(F.col("p")))).join(packed_codebook(codebook), "video_id")
+        return _assigned_batches(units, codebook)
     scored = F.transform("words", lambda w: F.struct(F.round(dot(F.col("unit"), w.centroid), 9).alias("s"), (-w.word_id).alias("k")))
-    return own.select("video_id", "event_idx", "frame_no", "patch_no", (-F.array_max(scored).k).alias("word_id"))
+    return units.join(packed_codebook(codebook), "video_id").withColumn("word_id", -F.array_max(scored).k).drop("words")
 
 
-def _quantize_batches(patches: DataFrame, codebook: DataFrame) -> DataFrame:
-    spark = patches.sparkSession
+def _assigned_batches(units: DataFrame, codebook: DataFrame) -> DataFrame:
+    spark = units.sparkSession
     books = {r.video_id: (np.array([w.word_id for w in r.words]), np.array([w.centroid for w in r.words])) for r in packed_codebook(codebook).collect()}
     shared = spark.sparkContext.broadcast(books)
 
@@ -45,35 +52,59 @@ def _quantize_batches(patches: DataFrame, codebook: DataFrame) -> DataFrame:
                     continue
                 ids, centroids = shared.value[video]
                 best = np.round(np.stack(own.unit) @ centroids.T, 9).argmax(1)
-                yield own.drop(columns="unit").assign(word_id=ids[best])
+                yield own.assign(word_id=ids[best])
+
+    return units.mapInPandas(run, units.select("*").schema.add("word_id", "integer"))
 
-    units = patches.select("video_id", "event_idx", "frame_no", "patch_no", normalised(doubles(F.col("p"))).alias("unit"))
-    return units.mapInPandas(run, units.drop("unit").schema.add("word_id", "integer"))
 
+_PLACE = ["event_idx", "frame_no", "patch_no"]
 
-def kmeans_step(patches: DataFrame, codebook: DataFrame) -> DataFrame:
-    """video_id, word_id, centroid after one round: the normalised sum of the patches of each word. A word without a
-    patch keeps its centroid."""
-    words = quantize(patches, codebook)
-    units = patches.select("video_id", "event_idx", "frame_no", "patch_no", F.posexplode(normalised(doubles(F.col("p")))).alias("dim", "x"))
-    sums = units.join(words, ["video_id", "event_idx", "frame_no", "patch_no"]).groupBy("video_id", "word_id", "dim").agg(F.sum("x").alias("x"))
-    rows = sums.groupBy("video_id", "word_id").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("xs"))
-    moved = rows.select("video_id", "word_id", normalised(F.transform("xs", lambda s: s.x)).alias("moved"))
-    return codebook.join(moved, ["video_id", "word_id"], "left").select("video_id", "word_id", F.coalesce("moved", doubles(F.col("centroid"))).alias("centroid"))
 
+def drawn(patches: DataFrame, seed: str, most: int) -> DataFrame:
+    """video_id, number (from 0), unit: so many patches of each video in an order drawn from the seed and their place."""
+    draw = F.md5(F.concat_ws("-", F.lit(seed), *[F.col(c).cast("string") for c in _PLACE]))
+    order = Window.partitionBy("video_id").orderBy("draw", *_PLACE)
+    ranked = patches.select("video_id", *_PLACE, draw.alias("draw"), "p").withColumn("number", F.row_number().over(order) - 1).filter(F.col("number") < most)
+    return ranked.select("video_id", F.col("number").cast("int").alias("number"), normalised(doubles(F.col("p"))).alias("unit"))
 
-def first_patches(patches: DataFrame, vocab_size: int, sample: int = 100_000) -> DataFrame:
-    """A start for k-means: the patches of each video whose order of (event, frame, patch) comes first."""
+
+def kmeans_step(patches: DataFrame, codebook: DataFrame, seed: str | None = None) -> DataFrame:
+    """video_id, word_id, centroid after one round: the normalised sum of the patches of each word. Words without a patch
+    take patches drawn from the seed, the first of them the first one; without a seed they keep their centroid. One shuffle,
+    of a sum for each word and task."""
+    rows = assigned(patches, codebook)
+    sums = rows.groupBy("video_id", "word_id").agg(Summarizer.sum(array_to_vector("unit")).alias("sum"))
+    moved = sums.select("video_id", "word_id", normalised(vector_to_array("sum")).alias("moved"))
+    after = codebook.join(moved, ["video_id", "word_id"], "left")
+    if seed is None:
+        return after.select("video_id", "word_id", F.coalesce("moved", doubles(F.col("centroid"))).alias("centroid"))
+    empty = F.row_number().over(Window.partitionBy("video_id", F.col("moved").isNull()).orderBy("word_id")) - 1
+    after = after.withColumn("number", F.when(F.col("moved").isNull(), empty))
+    words = codebook.agg(F.max("word_id")).first()[0]
+    spare = drawn(patches, seed, (words or 0) + 1)
+    return after.join(spare, ["video_id", "number"], "left").select("video_id", "word_id", F.coalesce("moved", "unit", doubles(F.col("centroid"))).alias("centroid"))
+
+
+def first_patches(patches: DataFrame, vocab_size: int) -> DataFrame:
+    """A codebook of the patches of each video whose order of (event, frame, patch) comes first."""
     order = Window.partitionBy("video_id").orderBy("event_idx", "frame_no", "patch_no")
-    ranked = patches.withColumn("word_id", (F.row_number().over(order) - 1).cast("int")).filter(F.col("word_id") < min(vocab_size, sample))
+    ranked = patches.withColumn("word_id", (F.row_number().over(order) - 1).cast("int")).filter(F.col("word_id") < vocab_size)
     return ranked.select("video_id", "word_id", normalised(doubles(F.col("p"))).alias("centroid"))
 
 
-def visual_vocabulary(patches: DataFrame, vocab_size: int = 1024, iterations: int = 20) -> DataFrame:
-    """video_id, word_id, centroid by spherical k-means: rounds of kmeans_step from the first patches. Every video is in
-    each round; a round's centroids are written to the shared folder, which cuts their lineage."""
-    patches = patches.filter(F.exists(doubles(F.col("p")), lambda x: x != 0))
-    codebook = kept(first_patches(patches, vocab_size), "codebook")
-    for _ in range(iterations):
-        codebook = kept(kmeans_step(patches, codebook), "codebook")
+def sampled(patches: DataFrame, most: int, seed: str) -> DataFrame:
+    """The patches of videos of at most so many; of the others so many, those of the smallest draws, as drawn gives them."""
+    draw = F.md5(F.concat_ws("-", F.lit(seed), *[F.col(c).cast("string") for c in _PLACE]))
+    number = F.row_number().over(Window.partitionBy("video_id").orderBy(draw, *_PLACE))
+    return patches.withColumn("_n", number).filter(F.col("_n") <= most).drop("_n")
+
+
+def visual_vocabulary(patches: DataFrame, vocab_size: int = 1024, iterations: int = 20, sample: int = 100_000, seed: int = 0) -> DataFrame:
+    """video_id, word_id, centroid by spherical k-means over at most `sample` patches of each video: from patches drawn from the
+    seed, rounds of kmeans_step in which words without a patch are drawn anew. Every video is in each round; a round's
+    centroids are written to the shared folder, which cuts their lineage."""
+    patches = kept(sampled(patches.filter(F.exists(doubles(F.col("p")), lambda x: x != 0)), sample, f"sample-{seed}"), "patches")
+    codebook = kept(drawn(patches, f"start-{seed}", vocab_size).select("video_id", F.col("number").alias("word_id"), F.col("unit").alias("centroid")), "codebook")
+    for k in range(iterations):
+        codebook = kept(kmeans_step(patches, codebook, f"{k}-{seed}"), "codebook")
     return codebook

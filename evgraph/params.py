@@ -16,7 +16,7 @@ class Params:
     frame_interval: float = 4.0
     max_frames_per_event: int = 4
     frame_size: int = 336
-    tokens_per_frame: int = 144
+    tokens_per_frame: int | None = None  # None: what the model needs for a picture of frame_size
     planner: str = "celf"  # or random
     use_relevance: bool = True
     execution: str = "graph"  # or cot
@@ -29,6 +29,7 @@ class Params:
     segmentation: str = "uniform"
     window: float = 5.0
     shot_threshold: float = 0.5
+    content_threshold: float = 27.0
     num_chunks: int = 1
     chunk_idx: int = 0
     max_samples: int | None = None
@@ -37,3 +38,5 @@ class Params:
     kmeans_sample: int = 100_000
     ppr_tolerance: float = 1e-6
     ppr_rounds: int = 200
+    attempts: int = 5
+    retry_wait: float = 5.0

@@ -5,6 +5,7 @@ Each function takes (spark, sf_dir) and covers its whole table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles
-from ..operators import execute, features, frames, graph, planner, segment, simjoin, vocabulary
+from ..operators import evaluate, execute, features, frames, graph, planner, segment, simjoin, vocabulary
 from ..sources.work import kept
 
 #: Parameters on V: the vectors are random, so edges need a lower threshold; the budget is 16 frames.
@@ -20,6 +21,18 @@ DELTA, RHO, ALPHA, TOKENS, BUDGET, WORDS = 0.25, 50, 0.15, 144, 2304.0, 64
 FPS, HOUR = 25.0, 3_600_000_000.0
 
 
+#: Tables that queries share, by session, folder and name: an index is built once and read by all that follows.
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make gives, written the first time that it is asked for in this session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SHARED:
+        _SHARED[key] = kept(make(), name)
+    return _SHARED[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,9 +40,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # V
 
 
+def within(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """rows (key, order) with rank, their place (from 0) among those of the key; no key's rows need to meet in a task."""
+    placed = evaluate.ranked(rows.select(key, order), [key, order], "place")
+    first = placed.groupBy(key).agg(F.min("place").alias("first"))
+    return placed.join(first, key).select(key, order, (F.col("place") - F.col("first")).cast("int").alias("rank"))
+
+
 def v_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("video_id"), doubles(F.col("embedding")).alias("vec"), rank.alias("rank"))
+    rows = table(spark, sf_dir, "embeddings")
+    ranks = once(spark, sf_dir, "v_ranks", lambda: within(rows, "label", "vec_id")).select("vec_id", "rank")
+    return rows.join(ranks, "vec_id").select("vec_id", F.col("label").alias("video_id"), doubles(F.col("embedding")).alias("vec"), "rank")
 
 
 def v_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +80,8 @@ def v_quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """postings, weights, norms"""
-    return index(v_quantized(spark, sf_dir).select("video_id", "event_idx", F.col("word_id").alias("word")), v_events(spark, sf_dir))
+    words = v_quantized(spark, sf_dir).select("video_id", "event_idx", F.col("word_id").alias("word"))
+    return shared_index(spark, sf_dir, "v", words, v_events(spark, sf_dir))
 
 
 def v_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,11 +137,18 @@ class Run:
         return kept(execute.reasoning_paths(self.retained), "paths")
 
 
+_RUNS: dict[tuple[str, str], Run] = {}
+
+
 def v_run(spark: SparkSession, sf_dir: str) -> Run:
-    semantic = kept(v_semantic(spark, sf_dir), "semantic")
-    reach = kept(v_reach(spark, sf_dir, semantic), "reach")
-    rel, costs = kept(v_relevance(spark, sf_dir), "relevance"), v_costs(spark, sf_dir)
-    return Run(semantic, reach, rel, costs, kept(planner.greedy_select(rel, costs, reach, BUDGET), "selected"))
+    """The run over V, once for each session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RUNS:
+        semantic = once(spark, sf_dir, "semantic", lambda: v_semantic(spark, sf_dir))
+        reach = once(spark, sf_dir, "reach", lambda: v_reach(spark, sf_dir, semantic))
+        rel, costs = kept(v_relevance(spark, sf_dir), "relevance"), v_costs(spark, sf_dir)
+        _RUNS[key] = Run(semantic, reach, rel, costs, kept(planner.greedy_select(rel, costs, reach, BUDGET), "selected"))
+    return _RUNS[key]
 
 
 def replies(edges: DataFrame) -> DataFrame:
@@ -139,8 +168,9 @@ def clock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("video_id"), rank.alias("event_idx"), "text")
+    rows = table(spark, sf_dir, "documents")
+    ranks = once(spark, sf_dir, "d_ranks", lambda: within(rows, "source", "doc_id")).select("doc_id", "rank")
+    return rows.join(ranks, "doc_id").select(F.col("source").alias("video_id"), F.col("rank").alias("event_idx"), "text")
 
 
 def d_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +179,14 @@ def d_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return index(d_words(spark, sf_dir), d_events(spark, sf_dir))
+    return shared_index(spark, sf_dir, "d", d_words(spark, sf_dir), d_events(spark, sf_dir))
+
+
+def shared_index(spark: SparkSession, sf_dir: str, name: str, words: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """index, its postings and weights written once for each session and folder."""
+    posts = once(spark, sf_dir, f"{name}_postings", lambda: simjoin.postings(words))
+    weights = once(spark, sf_dir, f"{name}_weights", lambda: simjoin.ief_weights(simjoin.retained(simjoin.event_frequency(posts), RHO), events))
+    return posts, weights, simjoin.event_norms(posts, weights, events)
 
 
 def index(words: DataFrame, events: DataFrame, rho: int = RHO, uniform: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -222,3 +259,10 @@ def q_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     pred = F.when(F.col("doc_id") % 10 != 0, F.char(F.lit(65) + F.col("quality")))
     gt = F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.char(F.lit(65) + F.col("toxic")))
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), pred.alias("pred"), gt.alias("gt"))
+
+
+def posting_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """capped, uncapped: postings that the sparse join over D visits, with stop words left out and without (one row)."""
+    n_z = simjoin.event_frequency(d_index(spark, sf_dir)[0])
+    squares = F.col("n_z") * F.col("n_z")
+    return n_z.agg(F.sum(F.when(F.col("n_z").between(2, RHO), squares)).alias("capped"), F.sum(squares).alias("uncapped"))

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluate, execute, features, frames, graph, planner, segment, simjoin, vocabulary
+from ..params import Params
 from ..sources import datasets
 from . import corpora as C
 from . import engine
-from .oracles import sql
+from .oracles import sql, vocabulary_rounds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,9 +123,9 @@ def kmeans_step(spark, sf_dir):
     return moved.select("video_id", "word_id", F.posexplode("centroid").alias("dim", "value")).select("video_id", "word_id", "dim", *six("value"))
 
 
-@query()
+@query(vocabulary_rounds(words=64, rounds=20))
 def visual_vocabulary(spark, sf_dir):
-    found = vocabulary.visual_vocabulary(C.v_patches(spark, sf_dir), C.WORDS, iterations=5)
+    found = vocabulary.visual_vocabulary(C.v_patches(spark, sf_dir), C.WORDS)
     return found.select("video_id", "word_id", F.posexplode("centroid").alias("dim", "value")).select("video_id", "word_id", "dim", *six("value"))
 
 
@@ -159,6 +160,32 @@ def score_to_cuts(spark, sf_dir):
     return segment.segment("shots", videos, scores=scores, threshold=50.0).select("video_id", "event_idx", *six("start_sec", "end_sec"))
 
 
+@query(_EVENTS_OF.format(cuts=f"SELECT video_id, f / 25.0::DOUBLE AS s FROM ({_SCORED}) WHERE value > 27 AND before <= 27", videos="SELECT video_id, count(*) / 25.0::DOUBLE AS duration FROM t_base GROUP BY ALL"))
+def content_cuts(spark, sf_dir):
+    """Cuts where the change of a frame rises over the content threshold."""
+    scores = C.t_scores(spark, sf_dir)
+    videos = scores.groupBy("video_id").agg((F.count("*") / F.lit(C.FPS)).alias("duration"))
+    return segment.segment("content", videos, scores=scores, threshold=27.0).select("video_id", "event_idx", *six("start_sec", "end_sec"))
+
+
+@query(
+    """
+    SELECT video_id, event_idx, CAST(k AS INTEGER) AS frame_no, round(s + (k + 0.5::DOUBLE) * (e - s) / m, 6) AS t_sec,
+        least(CAST(trunc((s + (k + 0.5::DOUBLE) * (e - s) / m) * fps) AS BIGINT), total_frames - 1) AS frame_id
+    FROM (
+        SELECT *, unnest(range(m)) AS k FROM (
+            SELECT *, CAST(least(greatest(ceil((e - s) / 3.0::DOUBLE), 1), 2) AS INTEGER) AS m FROM (
+                SELECT video_id, fps, total_frames, CAST(k AS INTEGER) AS event_idx, k * 7.0::DOUBLE AS s, CASE WHEN k = n - 1 THEN d ELSE (k + 1) * 7.0::DOUBLE END AS e
+                FROM (SELECT video_id, fps, total_frames, d, n, unnest(range(n)) AS k FROM (
+                    SELECT video_id, fps, total_frames, CASE WHEN duration > 0 THEN duration ELSE 1.0 END AS d,
+                        CASE WHEN duration > 0 THEN CAST(greatest(ceil(duration / 7.0::DOUBLE), 1) AS INTEGER) ELSE 1 END AS n FROM t_videos)))))"""
+)
+def planned_frames(spark, sf_dir):
+    """Segmentation and sampling as the parameters ask for."""
+    params = Params(segmentation="uniform", window=7.0, frame_interval=3.0, max_frames_per_event=2)
+    return engine.planned_frames(C.t_videos(spark, sf_dir), params)[1].select("video_id", "event_idx", "frame_no", *six("t_sec"), "frame_id")
+
+
 @query("SELECT video_id, event_idx, m FROM t_m")
 def frames_per_event(spark, sf_dir):
     return C.t_events(spark, sf_dir).select("video_id", "event_idx", frames.frames_per_event(F.col("start_sec"), F.col("end_sec")).alias("m"))
@@ -324,6 +351,52 @@ def extract_answer(spark, sf_dir):
     return C.q_replies(spark, sf_dir).select("id", T.extract_answer(F.col("reply")).alias("answer"))
 
 
+_BY_OPTIONS = " ".join(
+    f"WHEN {n} THEN coalesce(nullif(regexp_extract(r, '(?i)(?:answer|option)\\s*(?:is|:)\\s*[(]?([A-{chr(64 + n)}])[)]?', 1), ''), "
+    f"nullif(regexp_extract(r, '(?i)(?:^|\\s)[(]?([A-{chr(64 + n)}])[)]?[.\\s]*$', 1), ''), nullif(regexp_extract(r, '(?i)^[(]?([A-{chr(64 + n)}])[)]?[.\\s]', 1), ''))"
+    for n in (2, 3, 4, 5)
+)
+
+
+@query(f"SELECT id, n, upper(CASE n {_BY_OPTIONS} END) AS answer FROM (SELECT id, CAST(2 + id % 4 AS INTEGER) AS n, {_CLEAN} AS r FROM q_replies)")
+def answers_by_options(spark, sf_dir):
+    """Answers among two to five options, another number for each reply."""
+    rows = C.q_replies(spark, sf_dir).withColumn("n", (2 + F.col("id") % 4).cast("int"))
+    return rows.select("id", "n", T.extract_answer(F.col("reply"), F.col("n")).alias("answer"))
+
+
+@query("SELECT id, text || chr(10) || 'A. ' || role || chr(10) || 'B. x' AS query, 'AB' AS letters, CASE WHEN turn % 2 = 0 THEN 'The answer is A.' ELSE '' END AS response FROM q_base")
+def query_text(spark, sf_dir):
+    """What is asked, the letters of its options, and the response for an answer or none."""
+    rows = C.table(spark, sf_dir, "conversations")
+    options = F.array(F.col("role"), F.lit("x"))
+    pred = F.when(F.col("turn") % 2 == 0, F.lit("A"))
+    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), T.query_text(F.col("text"), options).alias("query"), T.option_letters(F.size(options)).alias("letters"), T.final_response(pred).alias("response"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_extract(url, '[^/]*$'), '(.)\\.[^.]*$', '\\1') AS name FROM pages")
+def base_name(spark, sf_dir):
+    return C.table(spark, sf_dir, "pages").select("page_id", T.base_name(F.col("url")).alias("name"))
+
+
+_ASKED = "SELECT video_id, total_frames, 'What does user ' || video_id || ' do next?' || chr(10) || 'A. a' || chr(10) || 'B. b' || chr(10) || 'C. c' || chr(10) || 'D. d' || CASE WHEN video_id % 3 = 0 THEN chr(10) || 'E. e' ELSE '' END AS query, CASE WHEN video_id % 3 = 0 THEN 5 ELSE 4 END AS n FROM t_videos"
+
+
+@query(
+    f"""
+    SELECT query_id, CASE WHEN k < n THEN chr(CAST(65 + k AS INTEGER)) END AS pred, coalesce(CASE WHEN k < n THEN 'The answer is ' || chr(CAST(65 + k AS INTEGER)) || '.' END, '') AS response,
+        CASE WHEN total_frames > 0 THEN least(56, total_frames) * 144.0::DOUBLE END AS visual_tokens
+    FROM (SELECT video_id AS query_id, total_frames, n, CASE WHEN total_frames > 0 THEN (length(query) + {len(T.DIRECT)}) % 5 ELSE 99 END AS k FROM ({_ASKED}))"""
+)
+def uniform_method(spark, sf_dir):
+    """The plain method over the videos of the events, with the model that replies by rule."""
+    videos = C.t_videos(spark, sf_dir)
+    options = F.when(F.col("video_id") % 3 == 0, F.array(*map(F.lit, "abcde"))).otherwise(F.array(*map(F.lit, "abcd")))
+    question = F.concat(F.lit("What does user "), F.col("video_id").cast("string"), F.lit(" do next?"))
+    queries = videos.select(F.col("video_id").alias("query_id"), "video_id", question.alias("question"), options.alias("options"))
+    return engine.METHODS["uniform"](videos, queries, Params(), "rule").select("query_id", "pred", "response", "visual_tokens")
+
+
 @query("SELECT video_id, event_idx, printf('%.1f', floor(start_sec * 10) / 10) || 's - ' || printf('%.1f', floor(end_sec * 10) / 10) || 's' AS label FROM t_events")
 def time_label(spark, sf_dir):
     tenths = lambda c: F.floor(F.col(c) * 10) / F.lit(10.0)
@@ -361,6 +434,13 @@ def chunk_assign(spark, sf_dir):
     return evaluate.chunk_assign(C.q_samples(spark, sf_dir), 7).select("id", "position", "chunk")
 
 
+@query("SELECT id, position, chunk FROM (SELECT *, CAST(position // CAST(ceil(n / 3) AS BIGINT) AS INTEGER) AS chunk FROM (SELECT id, row_number() OVER (ORDER BY coalesce(video_path, ''), id) - 1 AS position, count(*) OVER () AS n FROM (SELECT * FROM q_samples ORDER BY CAST(id AS BIGINT) LIMIT 100))) WHERE chunk = 1")
+def limited_chunk(spark, sf_dir):
+    """The second of three chunks of the first hundred samples of the file."""
+    samples = C.q_samples(spark, sf_dir).withColumn("row", F.col("id").cast("long"))
+    return evaluate.chunk_of(samples, num_chunks=3, chunk_idx=1, max_samples=100).select("id", "position", "chunk")
+
+
 @query("SELECT id, 'video not found' AS error, CAST(NULL AS VARCHAR) AS pred, answer AS gt FROM q_samples WHERE video_path IS NULL")
 def error_records(spark, sf_dir):
     return evaluate.error_records(C.q_samples(spark, sf_dir))

@@ -13,6 +13,19 @@ SAMPLE = ["id", "video_path", "question", "options", "answer"]
 EXTENSIONS = ("mp4", "mkv", "webm")
 
 
+def plain_path(path: Column) -> Column:
+    """A path without its scheme and doubled slashes, by which listed files and candidates are compared."""
+    return F.regexp_replace(F.regexp_replace(path, r"^\w+:(?://[^/]*)?", ""), "//+", "/")
+
+
+def resolved(samples: DataFrame, existing: DataFrame) -> DataFrame:
+    """samples with video_path, the first of their candidates that is among existing (path), else null, for candidates."""
+    keyed = samples.select(F.col("candidates").alias("_tried")).distinct().select(F.xxhash64("_tried").alias("id"), F.transform("_tried", plain_path).alias("candidates"), "_tried")
+    first = resolve_first(keyed.select("id", "candidates"), existing.select(plain_path(F.col("path")).alias("path")))
+    of = keyed.join(first, "id").select("_tried", "video_path")
+    return samples.join(of, F.col("candidates") == F.col("_tried"), "left").drop("candidates", "_tried")
+
+
 def resolve_first(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """id, video_path: of (id, candidates array<string>) the first that is among existing (path), else null."""
     tried = candidates.select("id", F.posexplode("candidates").alias("pos", "path")).join(existing.select("path").distinct(), "path", "left_semi")
@@ -21,7 +34,10 @@ def resolve_first(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path of the files under root, without their contents."""
+    """path of the files under root, without their contents (none, if there is no such folder)."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], "path string")
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
 
 
@@ -38,30 +54,37 @@ def letter_options(options: Column) -> Column:
     return F.transform(F.array_sort(F.map_entries(options)), lambda e: F.concat(e.key, F.lit(". "), e.value))
 
 
-def video_mme(spark: SparkSession, root: str, split: str = "test") -> DataFrame:
-    """Samples of one Parquet file of annotations."""
-    rows = spark.read.parquet(f"{root}/videomme/{split}-00000-of-00001.parquet")
-    names = F.transform(F.array(*[F.lit(e) for e in EXTENSIONS]), lambda e: F.concat(F.lit(f"{root}/data/"), F.col("videoID"), F.lit("."), e))
-    return rows.select(F.col("question_id").alias("id"), F.col("videoID").alias("video_id"), names.alias("candidates"), "question", "options", "answer", *[c for c in ("duration", "task_type") if c in rows.columns])
+def video_mme(spark: SparkSession, root: str, split: str = "test", existing: DataFrame | None = None) -> DataFrame:
+    """Samples of one Parquet file of annotations, with row, their place in the file; a video is an mp4 or mkv file in videos."""
+    rows = spark.read.parquet(f"{root}/videomme/{split}-00000-of-00001.parquet").withColumn("row", F.monotonically_increasing_id())
+    names = F.transform(F.array(F.lit("mp4"), F.lit("mkv")), lambda e: F.concat(F.lit(f"{root}/videos/"), F.col("videoID"), F.lit("."), e))
+    samples = rows.select(F.col("question_id").alias("id"), "row", F.col("videoID").alias("video_id"), names.alias("candidates"), "question", "options", "answer", *[c for c in ("duration", "task_type") if c in rows.columns])
+    return resolved(samples, listing(spark, f"{root}/videos") if existing is None else existing)
 
 
-def vr_bench(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of a JSON-lines file; a missing file is an error, blank lines and rows without questions are passed over.
-    Options may be a list or a map."""
+def vr_bench(spark: SparkSession, root: str, existing: DataFrame | None = None) -> DataFrame:
+    """Samples of a JSON-lines file, with row, the place of their video in the file; a missing file is an error, blank lines
+    and rows without questions are passed over. Options may be a list or a map. A video lies in videos, in videos/v001,
+    or at its own video_path."""
     as_list = "struct<video_id:string,video_path:string,mcq:map<string,struct<question:string,options:array<string>,answer:string>>>"
     as_map = as_list.replace("options:array<string>", "options:map<string,string>")
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    lines = spark.read.text(f"{root}/VRBench_eval.jsonl").withColumn("row", F.monotonically_increasing_id()).filter(F.trim("value") != "")
     listed, mapped = F.from_json("value", as_list), F.from_json("value", as_map)
-    both = lines.select(listed.alias("l"), mapped.alias("m"))
+    both = lines.select("row", listed.alias("l"), mapped.alias("m"))
     merged = F.transform_values("l.mcq", lambda k, q: F.struct(q.question.alias("question"), F.coalesce(q.options, letter_options(F.try_element_at(F.col("m.mcq"), k).options)).alias("options"), q.answer.alias("answer")))
-    rows = both.select(F.coalesce("l.video_id", "m.video_id").alias("video_id"), F.coalesce("l.video_path", "m.video_path").alias("video_path"), merged.alias("mcq"))
-    return explode_qa(rows.filter("mcq is not null")).join(rows.select("video_id", "video_path").distinct(), "video_id")
-
-
-def cine_pile(rows: DataFrame, split: str = "test") -> DataFrame:
-    """Samples of clips (yt_clip_title, yt_clip_link, question, choices, answer_key_position, and row, their place in the
-    source); fetching clips is left to a step before the scan."""
-    return rows.select(F.concat(F.lit(f"cinepile_{split}_"), F.col("row").cast("string")).alias("id"), T.sanitized(F.col("yt_clip_title")).alias("video_id"), F.col("yt_clip_link").alias("url"), "question", F.col("choices").alias("options"), T.letter_code(F.col("answer_key_position").cast("int")).alias("answer"))
+    rows = both.select("row", F.coalesce("l.video_id", "m.video_id").alias("video_id"), F.coalesce("l.video_path", "m.video_path").alias("own_path"), merged.alias("mcq"))
+    own = F.when(F.col("own_path") != "", F.array(F.concat(F.lit(f"{root}/"), "own_path"))).otherwise(F.array().cast("array<string>"))
+    names = F.concat(F.transform(F.array(F.lit("videos"), F.lit("videos/v001")), lambda d: F.concat(F.lit(f"{root}/"), d, F.lit("/"), F.col("video_id"), F.lit(".mp4"))), own)
+    asked = explode_qa(rows.filter("mcq is not null")).join(rows.select("video_id", "row", names.alias("candidates")), "video_id")
+    return resolved(asked, listing(spark, root) if existing is None else existing)
+
+
+def cine_pile(rows: DataFrame, split: str = "test", root: str = "") -> DataFrame:
+    """Samples of clips (movie_name, yt_clip_title, yt_clip_link, question, choices, answer_key_position, and row, their place
+    in the source); fetching clips is left to a step before the scan."""
+    title = T.sanitized(F.col("yt_clip_title"))
+    path = F.concat(F.lit(f"{root}/yt_videos/"), F.col("movie_name"), F.lit("_"), title, F.lit(".mp4"))
+    return rows.select(F.concat(F.lit(f"cinepile_{split}_"), F.col("row").cast("string")).alias("id"), "row", title.alias("video_id"), path.alias("video_path"), F.col("yt_clip_link").alias("url"), "question", F.col("choices").alias("options"), T.letter_code(F.col("answer_key_position").cast("int")).alias("answer"))
 
 
 def without_failed(clips: DataFrame, failed: DataFrame) -> DataFrame:

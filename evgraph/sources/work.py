@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one of this machine, if all of Spark runs
+    in one process here; on a cluster other machines couldn't read it, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
+    if not base and not re.match(r"local(\[[^]]*\])?$", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     if not base:
         base = getattr(work_folder, "own", None) or "file://" + tempfile.mkdtemp(prefix="evgraph-")
         work_folder.own = base

@@ -193,15 +193,96 @@ def test_results_round_trip(spark, tmp_path):
 
 
 def test_question_scans(spark, tmp_path):
-    (tmp_path / "vr.jsonl").write_text('{"video_id": "v", "mcq": {"qa10": {"question": "q", "options": {"B": "y", "A": "x"}, "answer": " b. y"}, "qa2": {"question": "r", "options": ["x"], "answer": "a"}}}\n\n{"video_id": "w", "mcq": null}\n')
-    found = datasets.vr_bench(spark, f"file://{tmp_path}/vr.jsonl").orderBy("position").collect()
-    assert [(r.id, r.options, r.answer) for r in found] == [("v_qa2", ["x"], "A"), ("v_qa10", ["A. x", "B. y"], "B")]
+    root = f"file://{tmp_path}"
+    (tmp_path / "VRBench_eval.jsonl").write_text('{"video_id": "v", "mcq": {"qa10": {"question": "q", "options": {"B": "y", "A": "x"}, "answer": " b. y"}, "qa2": {"question": "r", "options": ["x"], "answer": "a"}}}\n\n{"video_id": "w", "mcq": null}\n{"video_id": "u", "video_path": "own/u.mp4", "mcq": {"qa1": {"question": "q", "options": ["x"], "answer": "A"}}}\n')
+    for name in ("videos/v001/v.mp4", "own/u.mp4", "videos/a.mkv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    found = datasets.vr_bench(spark, root).orderBy("row", "position").collect()
+    assert [(r.id, r.options, r.answer, r.video_path) for r in found] == [("v_qa2", ["x"], "A", f"{tmp_path}/videos/v001/v.mp4"), ("v_qa10", ["A. x", "B. y"], "B", f"{tmp_path}/videos/v001/v.mp4"), ("u_qa1", ["x"], "A", f"{tmp_path}/own/u.mp4")]
+    (tmp_path / "videomme").mkdir()
+    spark.createDataFrame([("a", "q1", "why", ["x"], "A"), ("b", "q2", "who", ["y"], "B")], "videoID string, question_id string, question string, options array<string>, answer string").toPandas().to_parquet(tmp_path / "videomme/test-00000-of-00001.parquet")
+    found = {r.id: r for r in datasets.video_mme(spark, root).collect()}
+    assert found["q1"].video_path == f"{tmp_path}/videos/a.mkv" and found["q2"].video_path is None and found["q1"].row < found["q2"].row
+    assert {r.error for r in evaluate.error_records(datasets.video_mme(spark, root)).collect()} == {"video not found"}
     (tmp_path / "cuts").mkdir()
     (tmp_path / "cuts/v.json").write_text("[[0, 1.5], [2, 3]]")
-    assert datasets.boundaries(spark, f"file://{tmp_path}/cuts").first()[:] == ("v", [[0.0, 1.5], [2.0, 3.0]])
-    clips = spark.createDataFrame([("A b!", "u", "q", ["x", "y"], "1", 4)], "yt_clip_title string, yt_clip_link string, question string, choices array<string>, answer_key_position string, row long")
-    row = datasets.cine_pile(clips).first()
-    assert (row.id, row.video_id, row.answer) == ("cinepile_test_4", "A_b_", "B")
+    assert datasets.boundaries(spark, f"{root}/cuts").first()[:] == ("v", [[0.0, 1.5], [2.0, 3.0]])
+    clips = spark.createDataFrame([("m", "A b!", "u", "q", ["x", "y"], "1", 4)], "movie_name string, yt_clip_title string, yt_clip_link string, question string, choices array<string>, answer_key_position string, row long")
+    row = datasets.cine_pile(clips, root="/d").first()
+    assert (row.id, row.video_id, row.answer, row.video_path) == ("cinepile_test_4", "A_b_", "B", "/d/yt_videos/m_A_b_.mp4")
+    assert datasets.without_failed(datasets.cine_pile(clips), spark.createDataFrame([("u",)], "url string")).count() == 0
+
+
+@pytest.mark.parametrize("reply, n, letter", [("The answer is E.", 5, "E"), ("The answer is E.", 4, None), ("B\u00a0", 4, "B"), ("\u3000(c)\u2028", 4, "C"), ("option\u00a0:\u2003D", 4, "D"), ("The answer is F", 6, "F"), ("C", 2, None)])
+def test_answers_of_any_number_and_space(spark, reply, n, letter):
+    row = spark.createDataFrame([(reply, n)], "r string, n int").select(T.extract_answer(F.col("r"), F.col("n")), T.extract_answer(F.col("r"), n)).first()
+    assert tuple(row) == (letter, letter)
+
+
+def test_failed_calls_become_errors(spark, sf_dir, monkeypatch):
+    class Fails(models.RuleModel):
+        def generate_text(self, prompt):
+            if "vector 3?" in prompt and "Begin with" not in prompt:
+                raise OSError("no answer")
+            return super().generate_text(prompt)
+
+    monkeypatch.setitem(models.MODELS, "fails", Fails)
+    params = Params(delta=corpora.DELTA, token_budget=corpora.BUDGET, attempts=2, retry_wait=0.0)
+    index = engine.build_index(corpora.clock(spark, sf_dir), corpora.v_frames(spark, sf_dir), corpora.v_patches(spark, sf_dir), params, corpora.v_codebook(spark, sf_dir))
+    queries = corpora.v_queries(spark, sf_dir).filter("query_id in (3, 4, 5)").withColumns({"question": F.concat(F.lit("What follows vector "), F.col("query_id").cast("string"), F.lit("?")), "options": F.array(*map(F.lit, "abcde"))})
+    found = {r.query_id: r for r in engine.answer(index, queries, params, "fails").collect()}
+    assert found.keys() == {3, 4, 5} and found[3].pred is None and found[3].error == "OSError: no answer" and found[3].response == ""
+    assert all(found[k].error is None and found[k].pred in "ABCDE" for k in (4, 5))
+
+
+def test_index_of_videos(spark, tmp_path):
+    """Segmentation, sampling, encoding and edges by parameters; videos added to an index, and looked up."""
+    videos = spark.createDataFrame([(1, 2.0, 40, 20.0), (2, 2.0, 24, 12.0)], "video_id int, fps double, total_frames long, duration double")
+    images = videos.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames") - 1)).alias("frame_id")).withColumn("image", F.concat_ws("-", F.col("video_id").cast("string"), (F.col("frame_id") % 7).cast("string")).cast("binary"))
+    params = Params(segmentation="uniform", window=4.0, frame_interval=2.0, max_frames_per_event=2, vocab_size=8, kmeans_iterations=2, delta=0.1, token_budget=600)
+    first = engine.index_videos(videos.filter("video_id = 1"), images, params)
+    assert [(r.start_sec, r.end_sec) for r in first.events.orderBy("event_idx").collect()] == [(4.0 * k, 4.0 * k + 4) for k in range(5)]
+    assert {(r.n_frames, r.cost) for r in first.costs.collect()} == {(2, 288.0)}
+    assert all(len(r.images) == 2 and bytes(r.images[0]).startswith(b"1-") for r in first.images.collect())
+    folder = f"file://{tmp_path}/index"
+    first.write(folder)
+    engine.index_videos(videos.join(engine.Index.known(spark, folder), "video_id", "left_anti"), images, params).add(folder)
+    first.add(folder)  # known already
+    whole = engine.Index.read(spark, folder)
+    assert {(r.video_id, r["count"]) for r in whole.events.groupBy("video_id").count().collect()} == {(1, 5), (2, 3)}
+    assert whole.of(videos.filter("video_id = 2")).reach.count() == 3
+    queries = engine.with_query_vectors(spark.createDataFrame([(7, 2, "what?", ["x", "y"])], "query_id long, video_id int, question string, options array<string>"))
+    assert engine.answer(whole, queries, params, "rule").first().num_selected >= 1
+    with pytest.raises(ValueError):
+        engine.planned_frames(videos, Params(segmentation="none"))
+
+
+def test_greedy_tasks_and_subsets(spark, sf_dir):
+    rel, costs, reach = corpora.v_relevance(spark, sf_dir), corpora.v_costs(spark, sf_dir), corpora.v_reach(spark, sf_dir)
+    whole = planner.greedy_select(rel, costs, reach, corpora.BUDGET)
+    assert whole.exceptAll(planner.greedy_select(rel, costs, reach, corpora.BUDGET, queries_a_task=3)).count() == 0 and whole.count() > 0
+
+
+def test_empty_words_are_drawn_anew(spark):
+    rows = [("v", 0, 0, k, [1.0, float(k % 3)]) for k in range(9)]
+    patches = spark.createDataFrame(rows, "video_id string, event_idx int, frame_no int, patch_no int, p array<double>")
+    words = spark.createDataFrame([("v", 0, [1.0, 0.0]), ("v", 1, [-1.0, 0.0]), ("v", 2, [-1.0, -1.0])], "video_id string, word_id int, centroid array<double>")
+    kept = {r.word_id: r.centroid for r in vocabulary.kmeans_step(patches, words).collect()}
+    anew = {r.word_id: r.centroid for r in vocabulary.kmeans_step(patches, words, "seed").collect()}
+    assert kept[1] == [-1.0, 0.0] and anew[0] == kept[0] and all(anew[k][0] > 0 for k in (1, 2))
+    assert vocabulary.sampled(patches, 4, "s").count() == 4
+
+
+def test_work_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from evgraph.sources import work
+
+    empty = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: empty)))
+    with pytest.raises(RuntimeError):
+        work.work_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
 
 
 def test_retries():
@@ -214,7 +295,7 @@ def test_retries():
         return "x"
 
     assert models.with_retries(fails_twice, wait=0) == "x" and len(calls) == 3
-    assert models.StubModel().count_image_tokens((336, 336)) == 144
+    assert models.StubModel().count_image_tokens((336, 336)) == models.image_tokens("stub", 336) == 144
 
 
 @pytest.mark.parametrize("change", [{"execution": "cot"}, {"planner": "random"}, {"edge_construction": "pairwise"}, {"uniform_word_weight": True, "use_relevance": False, "lambda_param": 0.5}])
