@@ -3,8 +3,11 @@
 A modified Kneser-Ney model of characters, a model for each language, is counted over all documents: tasks count the
 n-grams of their rows, Spark sums them, and the lower orders, discounts, probabilities and back-off weights are joins and
 aggregates over those counts. An n-gram is a number of ORDER * 12 bits; scoring holds sorted arrays of hashes of them with
-log probabilities. A model of more than MODEL_MOST rows isn't broadcast: the n-grams of the documents are then joined with
-it. A document is rejected where its perplexity lies outside its language's band, which the quartiles of all documents give.
+log probabilities. They are dealt to shards of about SHARD_ROWS rows by the two letters before the last: all that the
+back-off for a character looks up lies in the shard of the two letters before it. Shards are broadcast one by one, and a
+task takes each batch of texts through one shard after another, so that neither the driver nor a worker holds the whole
+model, whatever its size. Log probabilities are summed as whole numbers, which gives the same for any number of shards.
+A document is rejected where its perplexity lies outside its language's band, which the quartiles of all documents give.
 """
 
 from __future__ import annotations
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 from . import common
 
 ORDER = 5
-#: Rows of a model that is broadcast (16 bytes each: 64 MB at most).
-MODEL_MOST = 4_000_000
+#: Rows of a shard of the model, about (16 bytes each).
+SHARD_ROWS = 1_000_000
+#: Log probabilities are whole numbers of this share of 1 when they are summed.
+UNIT = 1 << 24
 #: Interquartile ranges of log perplexity from the lower and the upper quartile to the ends of the band, and the characters
 #: at which a text's band is the square root of 2 as wide, since the mean of fewer letters varies more. Likewise the
 #: documents of a language, whose quartiles and model vary more where they are few.
@@ -175,27 +180,17 @@ def _hash(grams: np.ndarray) -> np.ndarray:
 
 
 class HashArray:
-    """Sorted 64-bit hashes with values; a table of leading bits, made where it is used, shows where to begin."""
+    """Sorted 64-bit hashes with values; a table of leading bits shows where to begin."""
 
     def __init__(self, grams: np.ndarray, logp: np.ndarray, backoff: np.ndarray) -> None:
         h = _hash(grams)
         order = np.argsort(h)
         self.hashes = np.append(h[order], np.iinfo(np.uint64).max)
         self.logp, self.backoff = np.append(logp[order], np.float32(0)), np.append(backoff[order], np.float32(0))
-        self._start()
-
-    def _start(self) -> None:
         bits = max(1, (len(self.hashes) - 1).bit_length())
         self.shift = np.uint64(64 - bits)
         self.begin = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
-    def __getstate__(self) -> tuple:
-        return self.hashes, self.logp, self.backoff
-
-    def __setstate__(self, state: tuple) -> None:
-        self.hashes, self.logp, self.backoff = state
-        self._start()
-
     def find(self, grams: np.ndarray) -> np.ndarray:
         """Positions, -1 where a gram isn't held."""
         h = _hash(grams)
@@ -208,6 +203,11 @@ class HashArray:
         return at
 
 
+def shard_of(letters: np.ndarray | F.Column, shards: int) -> np.ndarray | F.Column:
+    """The shard of two letters (24 bits)."""
+    return letters * 40503 % 65521 % shards
+
+
 class Model:
     """Log probabilities of texts of each language, with back-off for n-grams that aren't held."""
 
@@ -274,55 +274,49 @@ def measures(text: str) -> tuple[int, int, int, int, int]:
 _MEASURED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_ppl double"
 
 
-def _measured(docs: DataFrame, model: Model | None) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
+def broadcast_shards(model: DataFrame, shard_rows: int = SHARD_ROWS) -> list:
+    """Broadcasts of the shards of a model (n, lang, gram, logp, backoff). A row is held where its last letter is looked
+    up and, below the highest order, where it is a context; orders up to 2 are in all shards. The driver holds one at a time."""
+    spark = model.sparkSession
+    rows = {r.n: r.rows for r in model.groupBy("n").agg(F.count("*").alias("rows")).collect()}
+    shards = max(1, -(-sum(v * (1 if n == ORDER else 2) for n, v in rows.items()) // shard_rows))
+    two = F.lit((1 << 24) - 1)
+    as_gram, as_context = shard_of(F.shiftright("gram", 12).bitwiseAND(two), shards), shard_of(F.col("gram").bitwiseAND(two), shards)
+    held = []
+    for k in range(shards):
+        own = model.filter((F.col("n") <= 2) | (as_gram == k) | (F.col("n") < ORDER) & (as_context == k))
+        found = own.select(F.col("n").cast("byte").alias("n"), "lang", "gram", F.col("logp").cast("float").alias("logp"), F.col("backoff").cast("float").alias("backoff")).toArrow()
+        held.append(spark.sparkContext.broadcast(Model(found)))
+        held[-1].__dict__.pop("_value", None)  # it stays in the broadcast's file
+    return held
+
+
+def _measured(docs: DataFrame, shards: list) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for rows, texts in _batches(batches):
             base = np.array([measures(t) for t in texts], np.int64).reshape(-1, 5)
             failed = (base[:, 0] < LEAST_WORDS) | (100 * base[:, 4] > MOST_REPEATED * base[:, 0])
-            langs = rows.column("lang").to_pylist()
+            langs = [(lang, at, *_grams([texts[k] for k in at])) for lang, at in _by_language(rows.column("lang").to_pylist()).items()]
+            logs = [np.zeros(len(grams), np.int64) for _, _, grams, _ in langs]
+            for k, shard in enumerate(shards):
+                model = shard.value
+                for (lang, _, grams, _), own in zip(langs, logs):
+                    if lang in model.tables:  # else no text of it has a letter
+                        here = np.flatnonzero(shard_of((grams >> 12) & ((1 << 24) - 1), len(shards)) == k)
+                        own[here] = np.rint(model.logs(lang, grams[here]) * UNIT)
+                if len(shards) > 1:
+                    del model
+                    shard.__dict__.pop("_value", None)  # it is read again from the broadcast's file
             log_ppl: list[float | None] = [None] * len(texts)
-            for lang, at in _by_language(langs).items() if model else ():
-                if lang not in model.tables:  # no text of it has a letter
-                    continue
-                grams, sizes = _grams([texts[k] for k in at])
-                sums = np.concatenate([[0.0], np.cumsum(model.logs(lang, grams))])
-                ends = np.cumsum(sizes)
-                for k, total, size in zip(at, sums[ends] - sums[ends - sizes], sizes):
-                    log_ppl[k] = -float(total) / float(size) if size else None
+            for (_, at, _, sizes), own in zip(langs, logs):
+                sums, ends = np.concatenate([[0], np.cumsum(own)]), np.cumsum(sizes)
+                for k, total, size in zip(at, (sums[ends] - sums[ends - sizes]).tolist(), sizes.tolist()):
+                    log_ppl[k] = -total / UNIT / size if size else None
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("lang"), *(pa.array(base[:, k]) for k in range(5)), pa.array(failed), pa.array(log_ppl, pa.float64())], [c.split()[0] for c in _MEASURED.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text").mapInArrow(run, _MEASURED)
 
 
-def _joined_log_ppl(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """row, log_ppl of docs (row, lang, text) by joins of their n-grams with a model of any size, from the highest order
-    down: what a join doesn't find takes the context's weight and goes on with the order below."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in _batches(batches):
-            for row, lang, text in zip(rows.column("row").to_pylist(), rows.column("lang").to_pylist(), texts):
-                grams, n = np.unique(_grams([text])[0], return_counts=True)
-                if len(grams):
-                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(grams), pa.int64()), pa.array([lang] * len(grams)), pa.array(grams), pa.array(n.astype(np.int64))], ["row", "lang", "gram", "times"])
-
-    open_ = docs.select("row", "lang", "text").mapInArrow(run, "row long, lang string, gram long, times long").withColumn("so_far", F.lit(0.0))
-    done = None
-    for n in range(order, 0, -1):
-        mine = open_.withColumn("gram", F.col("gram").bitwiseAND(F.lit((1 << 12 * n) - 1)))
-        found, _ = common.write_work(mine.join(model.filter(F.col("n") == n).select("lang", "gram", "logp"), ["lang", "gram"], "left"), "joined")
-        hit = found.filter("logp is not null").select("row", "times", (F.col("so_far") + F.col("logp")).alias("log"))
-        done = hit if done is None else done.unionByName(hit)
-        open_ = found.filter("logp is null").drop("logp")
-        if n > 1:
-            weight = model.filter(F.col("n") == n - 1).select("lang", F.col("gram").alias("context"), "backoff")
-            open_ = open_.withColumn("context", F.shiftright("gram", 12)).join(weight, ["lang", "context"], "left").select("row", "lang", "gram", "times", (F.col("so_far") + F.coalesce("backoff", F.lit(0.0))).alias("so_far"))
-    rest = open_.join(model.filter("n = 0").select("lang", "logp"), "lang").select("row", "times", (F.col("so_far") + F.col("logp")).alias("log"))
-    return done.unionByName(rest).groupBy("row").agg((-F.sum(F.col("times") * F.col("log")) / F.sum("times")).alias("log_ppl"))
-
-
 def bands(measured: DataFrame) -> DataFrame:
     """lang, q1, q3, documents: the quartiles of log perplexity (in thousandths, exact from a histogram) of the documents that pass
     the base rules, and their number."""
@@ -331,27 +325,20 @@ def bands(measured: DataFrame) -> DataFrame:
     return upto.groupBy("lang").agg(*[F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))).alias(name) for q, name in ((0.25, "q1"), (0.75, "q3"))], F.max("all").alias("documents"))
 
 
-def quality_rules(docs: DataFrame, fences: tuple[float, float] = FENCES, model_most: int = MODEL_MOST) -> DataFrame:
+def quality_rules(docs: DataFrame, fences: tuple[float, float] = FENCES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_ppl, a row for each row of docs (doc_id, text, lang).
 
     A null text has no words and fails the base rules; its perplexity is null. A null lang is a language of its own. A
     null doc_id stays null; repeated rows count each time, in the model too. Counts cover all texts, whole.
     """
-    model, _ = common.write_work(kneser_ney(count_grams(docs)), "model")
-    if model.count() <= model_most:
-        measured = _measured(docs, Model(model.select(F.col("n").cast("byte").alias("n"), "lang", "gram", F.col("logp").cast("float").alias("logp"), F.col("backoff").cast("float").alias("backoff")).toArrow()))
-    else:
-        numbered, _ = common.write_work(docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.monotonically_increasing_id().alias("row")), "numbered")
-        measured = _with_rows(numbered).join(_joined_log_ppl(numbered, model), "row", "left").drop("row")
-    measured, _ = common.write_work(measured, "measured")
+    model, path = common.write_work(kneser_ney(count_grams(docs)), "model")
+    shards = broadcast_shards(model, shard_rows)
+    common.drop_folder(docs.sparkSession, path)
+    measured, _ = common.write_work(_measured(docs, shards), "measured")
+    for shard in shards:
+        shard.unpersist()
     found = measured.join(bands(measured), "lang", "left")
     wide = F.greatest(F.col("q3") - F.col("q1"), F.lit(1)) * F.sqrt((1 + F.try_divide(F.lit(float(SHORT_CHARS)), F.col("word_chars"))) * (1 + FEW_DOCUMENTS / F.col("documents")))
     inside = (F.col("log_ppl") * 1000).between(F.col("q1") - fences[0] * wide, F.col("q3") + fences[1] * wide)
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "log_ppl")
-
-
-def _with_rows(numbered: DataFrame) -> DataFrame:
-    """The measures of each row under its number."""
-    named = _measured(numbered.select(F.col("row").alias("doc_id"), "text", "lang"), None).drop("log_ppl").withColumnRenamed("doc_id", "row")
-    return named.join(numbered.select("row", "doc_id"), "row")
