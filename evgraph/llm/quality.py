@@ -31,7 +31,7 @@ SMOOTH, COST, PASSES = 1.0, 1.0, 30
 #: Distinct words whose hashes a worker keeps.
 CACHE_WORDS = 250_000
 
-_RUNS = [(re.compile(r"[^\W\d_]*[a-zà-öø-ÿ][^\W\d_]*"), "a"), (re.compile(r"[^\W\d_a]+"), "A"), (re.compile(r"\d+"), "0"), (re.compile(r"\s*\n\s*"), "\n"), (re.compile(r"[^\S\n]+"), " ")]
+_RUNS = [(re.compile(r"[^\W\d_]+"), lambda m: "a" if any(map(str.islower, m[0])) else "A"), (re.compile(r"\d+"), "0"), (re.compile(r"\s*\n\s*"), "\n"), (re.compile(r"[^\S\n]+"), " ")]
 
 
 def shape(unit: str) -> str:
