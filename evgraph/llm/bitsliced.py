@@ -10,6 +10,7 @@ row that it lets in is scored exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ SCALE = 1024
 #: Candidates in a segment of the index, bits of a component's coarse value.
 SEGMENT_ROWS = 65_536
 SLICES = 7
-#: Queries that are broadcast at once (8,192 x 64 components x 8 bytes = 4 MB); more go in further passes.
-QUERY_BLOCK = 8192
+#: Queries in a broadcast (8,192 x 64 components x 8 bytes = 4 MB), and broadcasts for which a segment is built once.
+QUERY_BLOCK, BLOCKS_A_PASS = 8192, 16
 #: Integers from this on could overflow a sum of products; their scores are added without limit and cut to a long. Rows
 #: with such a component are kept apart from a segment's bitmaps; queries with one are scored limb by limb.
 _LARGE, _LIMB = 1 << 26, 24
@@ -188,7 +189,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, query_block: int =
     Vectors that are null, empty, or hold a null or non-finite component take no part, and neither do rows without a
     vec_id. Vectors of different lengths don't meet. A repeated candidate row counts each time; repeated query rows (same
     id and vector) are one query. The queries, a stated set, are broadcast in blocks of bounded size; a task holds one
-    segment of the index at a time.
+    segment of the index and one block at a time, and a pass over the rows answers BLOCKS_A_PASS blocks.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter("vec_id is not null")
@@ -196,8 +197,12 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, query_block: int =
     path = common.new_path(spark, "tops")
     schema = "query int, query_id long, vec_id long, score long"
 
-    def search(block: list[tuple[int, int, np.ndarray]]):
-        shared = spark.sparkContext.broadcast(block)
+    def search(shared: list):
+        def asked() -> Iterator[tuple[int, int, np.ndarray]]:
+            for block in shared:
+                yield from block.value
+                if len(shared) > 1:  # a worker holds one block at a time
+                    block.__dict__.pop("_value", None)
 
         def segment(ids: list[np.ndarray], values: list[np.ndarray]) -> pa.RecordBatch:
             ids = np.concatenate(ids)
@@ -205,7 +210,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, query_block: int =
             apart, others = np.flatnonzero(large), np.flatnonzero(~large)
             index = Segment(ids[others], np.array([values[k] for k in others])) if len(others) else None
             size, found = len(values[0]), [[], [], [], []]
-            for number, query_id, query in shared.value:
+            for number, query_id, query in asked():
                 if len(query) != size:
                     continue
                 near, scores = [], []
@@ -244,8 +249,11 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, query_block: int =
         return rows.mapInArrow(run, schema)
 
     spark.createDataFrame([], schema).write.parquet(path)
-    for block in _query_blocks(queries, query_block):
-        search(block).write.mode("append").parquet(path)
+    blocks = _query_blocks(queries, query_block)
+    while shared := [spark.sparkContext.broadcast(block) for block in islice(blocks, BLOCKS_A_PASS)]:
+        search(shared).write.mode("append").parquet(path)
+        for block in shared:
+            block.unpersist()
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     found = spark.read.schema(schema).parquet(path)
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
