@@ -126,7 +126,8 @@ def _curve(x: np.ndarray) -> np.ndarray:
 
 
 def _learn_entries(texts: list[str], y: np.ndarray) -> tuple[dict[str, float], list[str]]:
-    folded = [fold(t).split() for t in texts]
+    names: dict[str, str] = {}  # each word is held once
+    folded = [[names.setdefault(w, w) for w in fold(t).split()] for t in texts]
     toxic, n_toxic = [w for w, v in zip(folded, y) if v], int(y.sum())
     clean = [w for w, v in zip(folded, y) if not v]
     n_clean = len(clean)
