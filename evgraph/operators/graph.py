@@ -35,23 +35,34 @@ def rounds(alpha: float = 0.15, tolerance: float = 1e-6, most: int = 200) -> int
     return min(most, math.floor(math.log(tolerance / alpha) / math.log(1 - alpha)) + 1)
 
 
-def ppr(transitions: DataFrame, alpha: float = 0.15, tolerance: float = 1e-6, most: int = 200) -> DataFrame:
+#: Sources whose rows one task finds.
+SOURCES_A_TASK = 512
+
+
+def ppr(transitions: DataFrame, alpha: float = 0.15, tolerance: float = 1e-6, most: int = 200, sources: int = SOURCES_A_TASK) -> DataFrame:
     """video_id, src, pi: personalised PageRank of each source over the video's events, as an array in order of events.
-    A video's graph is one group; its matrix is bounded by the events of one video."""
+    The sources of a video are dealt to tasks, each of which holds the video's edges, as lists, and its own rows."""
     times = rounds(alpha, tolerance, most)
+    size = transitions.groupBy("video_id").agg((F.greatest(F.max("src"), F.max("dst")) + 1).alias("n"))
+    parts = size.select("video_id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / sources).cast("int"))).alias("part"))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        n = int(max(rows.src.max(), rows.dst.max())) + 1
-        step = np.zeros((n, n))
-        step[rows.src, rows.dst] = rows.p
-        start = alpha * np.eye(n)
-        pi = start.copy()
+        n, first = int(rows.n.iloc[0]), int(rows.part.iloc[0]) * sources
+        own = np.arange(first, min(n, first + sources))
+        rows = rows.sort_values(["dst", "src"])
+        src, p = rows.src.to_numpy(), (1 - alpha) * rows.p.to_numpy()
+        reached, begins = np.unique(rows.dst.to_numpy(), return_index=True)
+        start = np.zeros((len(own), n))
+        start[np.arange(len(own)), own] = alpha
+        pi = start
         for _ in range(times):
-            pi = start + (1 - alpha) * pi @ step
-        return pd.DataFrame({"video_id": rows.video_id.iloc[0], "src": np.arange(n, dtype=np.int32), "pi": list(pi)})
+            after = start.copy()
+            after[:, reached] += np.add.reduceat(pi[:, src] * p, begins, axis=1)
+            pi = after
+        return pd.DataFrame({"video_id": rows.video_id.iloc[0], "src": own.astype(np.int32), "pi": list(pi)})
 
     kind = transitions.schema["video_id"].dataType.simpleString()
-    return transitions.groupBy("video_id").applyInPandas(one, f"video_id {kind}, src int, pi array<double>")
+    return transitions.join(parts, "video_id").groupBy("video_id", "part").applyInPandas(one, f"video_id {kind}, src int, pi array<double>")
 
 
 def ppr_joined(events: DataFrame, transitions: DataFrame, alpha: float = 0.15, times: int | None = None, cut_every: int = 10) -> DataFrame:

@@ -91,6 +91,8 @@ def test_reach_sums_and_closed_form(spark):
     for r in moves.collect():
         step[r.src, r.dst] = r.p
     assert np.abs(pi - 0.15 * np.linalg.inv(np.eye(6) - 0.85 * step)).max() < 1e-5
+    dealt = np.stack([r.pi for r in graph.ppr(moves, sources=4).orderBy("src").collect()])
+    assert np.allclose(dealt, pi, atol=1e-15)
     joined = np.zeros((6, 6))
     for r in graph.ppr_joined(events, moves, times=4, cut_every=2).collect():
         joined[r.src, r.dst] = r.pi
