@@ -99,16 +99,26 @@ def final_response(answer: Column) -> Column:
 # Prompts. A model gets what a step needs: what to look at, the question, the form of the reply.
 
 
+GROUNDING = ("These pictures show one stretch of a film, ", ". Write down, in short, what can be seen there that bears on the question. Don't answer it.\n")
+VERIFICATION = ("First stretch (", "): ", "\nSecond stretch (", "): ", "\nFor the question below, is the second tied to the first? Begin with Yes or No; after Yes, name the tie in one sentence on a new line.\n")
+SYNTHESIS = ("Evidence in order of time:\n", "\nAnswer by the evidence. End with: The answer is <letter>.\n")
+
+
+def _filled(parts: tuple[str, ...], *values: Column) -> Column:
+    """The parts, each with a value after it."""
+    return F.concat(*[x for part, value in zip(parts, values) for x in (F.lit(part), value)])
+
+
 def grounding_prompt(label: Column, query: Column) -> Column:
-    return F.concat(F.lit("These pictures show one stretch of a film, "), label, F.lit(". Write down, in short, what can be seen there that bears on the question. Don't answer it.\n"), query)
+    return _filled(GROUNDING, label, query)
 
 
 def verification_prompt(label_a: Column, a: Column, label_b: Column, b: Column, query: Column) -> Column:
-    return F.concat(F.lit("First stretch ("), label_a, F.lit("): "), a, F.lit("\nSecond stretch ("), label_b, F.lit("): "), b, F.lit("\nFor the question below, is the second tied to the first? Begin with Yes or No; after Yes, name the tie in one sentence on a new line.\n"), query)
+    return _filled(VERIFICATION, label_a, a, label_b, b, query)
 
 
 def synthesis_prompt(context: Column, query: Column) -> Column:
-    return F.concat(F.lit("Evidence in order of time:\n"), context, F.lit("\nAnswer by the evidence. End with: The answer is <letter>.\n"), query)
+    return _filled(SYNTHESIS, context, query)
 
 
 def timeline_prompt(timeline: Column, query: Column) -> Column:

@@ -200,13 +200,16 @@ def vector_index(spark: SparkSession, sf_dir: str, params: Params = VECTORS) ->
     return build_index(C.clock(spark, sf_dir), C.v_frames(spark, sf_dir), C.v_patches(spark, sf_dir), params)
 
 
+OPTIONS = ["a man", "a door", "a car", "a dog"]
+
+
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.v_queries(spark, sf_dir).withColumns({"question": F.concat(F.lit("What follows vector "), F.col("query_id").cast("string"), F.lit("?")), "options": F.array(*[F.lit(x) for x in ("a man", "a door", "a car", "a dog")])})
+    return C.v_queries(spark, sf_dir).withColumns({"question": F.concat(F.lit("What follows vector "), F.col("query_id").cast("string"), F.lit("?")), "options": F.array(*map(F.lit, OPTIONS))})
 
 
-def answers_on_vectors(spark: SparkSession, sf_dir: str, params: Params = VECTORS) -> DataFrame:
+def answers_on_vectors(spark: SparkSession, sf_dir: str, params: Params = VECTORS, model: str = "stub") -> DataFrame:
     """The vector corpus indexed once, its vocabulary learned, and all its queries answered."""
     folder = new_path(spark, "index")
     vector_index(spark, sf_dir, params).write(folder)
-    found = answer(Index.read(spark, folder), vector_queries(spark, sf_dir), params)
+    found = answer(Index.read(spark, folder), vector_queries(spark, sf_dir), params, model)
     return found.select("query_id", "pred", F.round("score", 6).alias("score"), "response", "visual_tokens", "num_selected")

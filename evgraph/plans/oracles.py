@@ -85,24 +85,24 @@ CTES: dict[str, str] = {
 }
 
 
-def sql(body: str) -> str:
-    """body after the expressions that it needs."""
-    order: list[str] = []
+def sql(body: str, instead: dict[str, str] | None = None) -> str:
+    """body after the expressions that it needs; instead: others, some in the place of those here."""
+    tables, order = CTES | (instead or {}), []
 
     def need(text: str, inside: str = "") -> None:
         for name in re.findall(r"\b[dvtq]_[a-z]+\b", text):
-            if name in CTES and name != inside and name not in order:
-                need(CTES[name], name)
+            if name in tables and name != inside and name not in order:
+                need(tables[name], name)
                 if name not in order:
                     order.append(name)
 
     need(body)
-    kept = ", ".join(f"{name} AS ({CTES[name]})" for name in order)
+    kept = ", ".join(f"{name} AS ({tables[name]})" for name in order)
     return f"WITH RECURSIVE {kept} {body}" if order else body
 
 
-def vocabulary_rounds(words: int, rounds: int) -> str:
-    """Rounds of spherical k-means over v_patches, one table of centroids after the other."""
+def vocabulary_rounds(words: int, rounds: int, packed: bool = False) -> str:
+    """Rounds of spherical k-means over v_patches, one table of centroids after the other; packed: as lists."""
     place = "event_idx || '-' || frame_no || '-' || patch_no"
     order = "PARTITION BY video_id ORDER BY md5('{seed}-' || " + place + "), event_idx, frame_no, patch_no"
     unit = _UNIT.format(v="total")
@@ -118,4 +118,42 @@ def vocabulary_rounds(words: int, rounds: int) -> str:
             f"d{k} AS (SELECT video_id, u, row_number() OVER ({order.format(seed=f'{k}-0')}) - 1 AS n FROM p QUALIFY n < {words})",
             f"b{k + 1} AS MATERIALIZED (SELECT video_id, word_id, CASE WHEN total IS NOT NULL THEN {unit} ELSE coalesce(u, c) END AS c FROM e{k} LEFT JOIN d{k} USING (video_id, n))",
         ]
+    if packed:
+        return f"SELECT * FROM (WITH {', '.join(tables)} SELECT video_id, word_id, c AS centroid FROM b{rounds})"
     return f"SELECT * FROM (WITH {', '.join(tables)} SELECT video_id, word_id, CAST(d AS INTEGER) AS dim, round(c[d + 1], 6) AS value FROM b{rounds}, (SELECT unnest(range(8)) AS d))"
+
+
+def label(event: str) -> str:
+    """The time label of an event of V."""
+    return f"printf('%.1f', {event} * 25 / 10.0) || 's - ' || printf('%.1f', ({event} + 1) * 25 / 10.0) || 's'"
+
+
+def context(record: str) -> str:
+    """query_id, rank, context of the paths in v_paths; record: an expression of s.query_id and s.e."""
+    return f"""
+        SELECT query_id, rank, string_agg(line, chr(10) ORDER BY k) AS context
+        FROM (
+            SELECT s.query_id, s.rank, s.k, 'Event ' || s.k || ' (' || {label("s.e")} || '):' || chr(10) || {record} || CASE
+                WHEN s.nxt IS NULL THEN '' WHEN v.statement IS NOT NULL THEN chr(10) || '[Relation: ' || v.statement || ']' ELSE chr(10) || '[Next in time]' END AS line
+            FROM (SELECT query_id, rank, k, path[k] AS e, path[k + 1] AS nxt FROM (SELECT query_id, rank, path, unnest(range(1, len(path) + 1)) AS k FROM v_paths)) s
+            LEFT JOIN v_verified v ON v.query_id = s.query_id AND v.src = s.e AND v.dst = s.nxt)
+        GROUP BY ALL"""
+
+
+def rule_answers(words: int, rounds: int, question: str, options: list[str], grounding: int, verification: int, synthesis: int, rest: str) -> str:
+    """The whole method over V with the model that replies by the length of prompts. question: an expression of query_id;
+    the numbers are the lengths of the prompts without what is filled in; rest: the columns, from v_voted."""
+    formatted = "".join(f"{chr(10)}{chr(65 + k)}. {x}" for k, x in enumerate(options))
+    single = CTES["v_paths"]
+    tables = {
+        "v_codebook": vocabulary_rounds(words, rounds, packed=True),
+        "v_asked": f"SELECT query_id, length({question}) + {len(formatted)} AS size FROM v_queries",
+        "v_record": f"SELECT query_id, event_idx, {label('event_idx')} AS label, 'seen in ' || n_frames || ' frames: ' || ({grounding} + length({label('event_idx')}) + size) % 11 AS record FROM v_selected JOIN v_costs USING (video_id, event_idx) JOIN v_asked USING (query_id)",
+        "v_verified": f"SELECT * EXCLUDE (n), 'Tied by ' || n % 7 || '.' AS statement FROM (SELECT c.*, {verification} + length(a.label) + length(a.record) + length(b.label) + length(b.record) + size AS n FROM v_cand c JOIN v_record a ON a.query_id = c.query_id AND a.event_idx = c.src JOIN v_record b ON b.query_id = c.query_id AND b.event_idx = c.dst JOIN v_asked q ON q.query_id = c.query_id) WHERE n % 4 <> 0",
+        "v_best": single,
+        "v_paths": "SELECT * FROM v_best UNION ALL SELECT query_id, video_id, 1, list(event_idx ORDER BY event_idx), 1.0::DOUBLE FROM v_selected s WHERE NOT EXISTS (SELECT 1 FROM v_best p WHERE p.query_id = s.query_id) GROUP BY query_id, video_id",
+        "v_told": context("(SELECT record FROM v_record r WHERE r.query_id = s.query_id AND r.event_idx = s.e)"),
+        "v_heard": f"SELECT query_id, rank, ({synthesis} + length(context) + size) % 5 AS k FROM v_told JOIN v_asked USING (query_id)",
+        "v_voted": f"SELECT query_id, chr(CAST(65 + k AS INTEGER)) AS pred, sum(score) AS score FROM v_heard JOIN v_paths USING (query_id, rank) WHERE k < {len(options)} GROUP BY query_id, k QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sum(score), 9) DESC, min(rank)) = 1",
+    }
+    return sql(rest, tables)

@@ -13,7 +13,7 @@ from ..params import Params
 from ..sources import datasets
 from . import corpora as C
 from . import engine
-from .oracles import sql, vocabulary_rounds
+from .oracles import context, label, rule_answers, sql, vocabulary_rounds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -311,19 +311,14 @@ def fallback_path(spark, sf_dir):
     return execute.fallback_path(run.selected, run.paths).select("query_id", "video_id", _path_text(F.col("path")).alias("path"), "score")
 
 
-_LABEL = "printf('%.1f', {e} * 25 / 10.0) || 's - ' || printf('%.1f', ({e} + 1) * 25 / 10.0) || 's'"
-
-
-@query(
-    "SELECT query_id, rank, string_agg(line, chr(10) ORDER BY k) AS context FROM (SELECT s.query_id, s.rank, s.k, 'Event ' || s.k || ' (' || " + _LABEL.format(e="s.e") + " || '):' || chr(10) || 'record ' || s.e || CASE WHEN s.nxt IS NULL THEN '' WHEN v.statement IS NOT NULL THEN chr(10) || '[Relation: ' || v.statement || ']' ELSE chr(10) || '[Next in time]' END AS line FROM (SELECT query_id, rank, k, path[k] AS e, path[k + 1] AS nxt FROM (SELECT query_id, rank, path, unnest(range(1, len(path) + 1)) AS k FROM v_paths)) s LEFT JOIN v_verified v ON v.query_id = s.query_id AND v.src = s.e AND v.dst = s.nxt) GROUP BY ALL"
-)
+@query(context("'record ' || s.e"))
 def path_context(spark, sf_dir):
     run = C.v_run(spark, sf_dir)
     records = run.selected.select("query_id", "event_idx", F.concat(F.lit("record "), F.col("event_idx").cast("string")).alias("record"))
     return execute.path_context(run.paths, records, run.verified, C.clock(spark, sf_dir))
 
 
-@query("SELECT query_id, string_agg('Event ' || n || ' (' || " + _LABEL.format(e="event_idx") + " || '): ' || n_frames || ' frames', chr(10) ORDER BY event_idx) AS timeline FROM (SELECT s.query_id, s.event_idx, c.n_frames, row_number() OVER (PARTITION BY s.query_id ORDER BY s.event_idx) AS n FROM v_selected s JOIN v_costs c USING (video_id, event_idx)) GROUP BY query_id")
+@query("SELECT query_id, string_agg('Event ' || n || ' (' || " + label("event_idx") + " || '): ' || n_frames || ' frames', chr(10) ORDER BY event_idx) AS timeline FROM (SELECT s.query_id, s.event_idx, c.n_frames, row_number() OVER (PARTITION BY s.query_id ORDER BY s.event_idx) AS n FROM v_selected s JOIN v_costs c USING (video_id, event_idx)) GROUP BY query_id")
 def cot_timeline(spark, sf_dir):
     return execute.cot_timeline(C.v_run(spark, sf_dir).selected, C.clock(spark, sf_dir), C.v_costs(spark, sf_dir).select("video_id", "event_idx", "n_frames"))
 
@@ -457,7 +452,19 @@ def latency_rollup(spark, sf_dir):
     return evaluate.latency_rollup(rows).select(*six("avg_tokens", "avg_online", "avg_offline"), "errors")
 
 
+def _full_pipeline_sql() -> str:
+    rest = """
+        SELECT q.query_id, pred, round(score, 6) AS score, coalesce('The answer is ' || pred || '.', '') AS response, visual_tokens, num_selected
+        FROM v_queries q LEFT JOIN v_voted USING (query_id)
+        LEFT JOIN (SELECT query_id, sum(cost) AS visual_tokens, count(*) AS num_selected FROM v_selected JOIN v_costs USING (video_id, event_idx) GROUP BY ALL) USING (query_id)"""
+    sizes = (sum(map(len, prompt)) for prompt in (T.GROUNDING, T.VERIFICATION, T.SYNTHESIS))
+    return rule_answers(C.WORDS, Params().kmeans_iterations, "'What follows vector ' || query_id || '?'", engine.OPTIONS, *sizes, rest)
+
+
 @query()
 def full_pipeline(spark, sf_dir):
-    """Every stage from vectors to votes, with the stub model."""
-    return engine.answers_on_vectors(spark, sf_dir)
+    """Every stage from vectors to votes, with the model that replies by rule."""
+    return engine.answers_on_vectors(spark, sf_dir, model="rule")
+
+
+ORACLES["full_pipeline"] = _full_pipeline_sql()
