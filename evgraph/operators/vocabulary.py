@@ -30,11 +30,17 @@ def quantize(patches: DataFrame, codebook: DataFrame, in_row_words: int = IN_ROW
     return assigned(patches, codebook, in_row_words, broadcast_values).drop("unit")
 
 
-def assigned(patches: DataFrame, codebook: DataFrame, in_row_words: int = IN_ROW_WORDS, broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
-    """The columns of quantize and unit, the normalised patch."""
+def shape(codebook: DataFrame) -> tuple[int, int]:
+    """(words of the largest codebook, values of all)."""
+    found = codebook.agg(F.max("word_id").alias("last"), F.sum(F.size("centroid")).alias("values")).first()
+    return (found.last + 1, found["values"]) if found.last is not None else (0, 0)
+
+
+def assigned(patches: DataFrame, codebook: DataFrame, in_row_words: int = IN_ROW_WORDS, broadcast_values: int = BROADCAST_VALUES, known: tuple[int, int] | None = None) -> DataFrame:
+    """The columns of quantize and unit, the normalised patch; known: the codebook's shape."""
     units = patches.select("video_id", "event_idx", "frame_no", "patch_no", normalised(doubles(F.col("p"))).alias("unit"))
-    size = codebook.agg(F.max("word_id").alias("last"), F.sum(F.size("centroid")).alias("values")).first()
-    if size.last is not None and size.last >= in_row_words and size.values <= broadcast_values:
+    words, values = known or shape(codebook)
+    if words > in_row_words and values <= broadcast_values:
         return _assigned_batches(units, codebook)
     scored = F.transform("words", lambda w: F.struct(F.round(dot(F.col("unit"), w.centroid), 9).alias("s"), (-w.word_id).alias("k")))
     return units.join(packed_codebook(codebook), "video_id").withColumn("word_id", -F.array_max(scored).k).drop("words")
@@ -68,20 +74,19 @@ def drawn(patches: DataFrame, seed: str, most: int) -> DataFrame:
     return ranked.select("video_id", F.col("number").cast("int").alias("number"), normalised(doubles(F.col("p"))).alias("unit"))
 
 
-def kmeans_step(patches: DataFrame, codebook: DataFrame, seed: str | None = None) -> DataFrame:
+def kmeans_step(patches: DataFrame, codebook: DataFrame, spare: DataFrame | None = None, turn: int = 0, known: tuple[int, int] | None = None) -> DataFrame:
     """video_id, word_id, centroid after one round: the normalised sum of the patches of each word. Words without a patch
-    take patches drawn from the seed, the first of them the first one; without a seed they keep their centroid. One shuffle,
-    of a sum for each word and task."""
-    rows = assigned(patches, codebook)
+    take the video's spare ones (as drawn gives them) in turn, from number `turn` on; without any they keep their
+    centroid. One shuffle, of a sum for each word and task."""
+    rows = assigned(patches, codebook, known=known)
     sums = rows.groupBy("video_id", "word_id").agg(Summarizer.sum(array_to_vector("unit")).alias("sum"))
     moved = sums.select("video_id", "word_id", normalised(vector_to_array("sum")).alias("moved"))
     after = codebook.join(moved, ["video_id", "word_id"], "left")
-    if seed is None:
+    if spare is None:
         return after.select("video_id", "word_id", F.coalesce("moved", doubles(F.col("centroid"))).alias("centroid"))
     empty = F.row_number().over(Window.partitionBy("video_id", F.col("moved").isNull()).orderBy("word_id")) - 1
-    after = after.withColumn("number", F.when(F.col("moved").isNull(), empty))
-    words = codebook.agg(F.max("word_id")).first()[0]
-    spare = drawn(patches, seed, (words or 0) + 1)
+    sizes = spare.groupBy("video_id").agg(F.count("*").alias("spares"))
+    after = after.join(sizes, "video_id", "left").withColumn("number", F.when(F.col("moved").isNull(), ((empty + turn) % F.col("spares")).cast("int")))
     return after.join(spare, ["video_id", "number"], "left").select("video_id", "word_id", F.coalesce("moved", "unit", doubles(F.col("centroid"))).alias("centroid"))
 
 
@@ -101,10 +106,11 @@ def sampled(patches: DataFrame, most: int, seed: str) -> DataFrame:
 
 def visual_vocabulary(patches: DataFrame, vocab_size: int = 1024, iterations: int = 20, sample: int = 100_000, seed: int = 0) -> DataFrame:
     """video_id, word_id, centroid by spherical k-means over at most `sample` patches of each video: from patches drawn from the
-    seed, rounds of kmeans_step in which words without a patch are drawn anew. Every video is in each round; a round's
-    centroids are written to the shared folder, which cuts their lineage."""
+    seed, rounds of kmeans_step in which words without a patch take spare ones drawn beforehand. Every video is in each round;
+    a round's centroids are written to the shared folder, which cuts their lineage."""
     patches = kept(sampled(patches.filter(F.exists(doubles(F.col("p")), lambda x: x != 0)), sample, f"sample-{seed}"), "patches")
     codebook = kept(drawn(patches, f"start-{seed}", vocab_size).select("video_id", F.col("number").alias("word_id"), F.col("unit").alias("centroid")), "codebook")
+    spare, known = kept(drawn(patches, f"spare-{seed}", vocab_size), "spare"), shape(codebook)
     for k in range(iterations):
-        codebook = kept(kmeans_step(patches, codebook, f"{k}-{seed}"), "codebook")
+        codebook = kept(kmeans_step(patches, codebook, spare, k, known), "codebook")
     return codebook

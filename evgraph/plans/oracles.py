@@ -109,14 +109,14 @@ def vocabulary_rounds(words: int, rounds: int, packed: bool = False) -> str:
     tables = [
         "p AS MATERIALIZED (SELECT * FROM v_patches WHERE list_dot_product(u, u) > 0)",
         f"b0 AS MATERIALIZED (SELECT video_id, CAST(row_number() OVER ({order.format(seed='start-0')}) - 1 AS INTEGER) AS word_id, u AS c FROM p QUALIFY word_id < {words})",
+        f"d AS MATERIALIZED (SELECT video_id, u, row_number() OVER ({order.format(seed='spare-0')}) - 1 AS n, least({words}, count(*) OVER (PARTITION BY video_id)) AS spares FROM p QUALIFY n < {words})",
     ]
     for k in range(rounds):
         tables += [
             f"a{k} AS MATERIALIZED (SELECT p.video_id, word_id, u FROM p JOIN b{k} USING (video_id) QUALIFY row_number() OVER (PARTITION BY video_id, event_idx, frame_no, patch_no ORDER BY round(list_dot_product(u, c), 9) DESC, word_id) = 1)",
             f"s{k} AS (SELECT video_id, word_id, list(x ORDER BY d) AS total FROM (SELECT video_id, word_id, d, sum(u[d + 1]) AS x FROM a{k}, (SELECT unnest(range(8)) AS d) GROUP BY ALL) GROUP BY ALL)",
             f"e{k} AS (SELECT video_id, word_id, c, total, row_number() OVER (PARTITION BY video_id, total IS NULL ORDER BY word_id) - 1 AS n FROM b{k} LEFT JOIN s{k} USING (video_id, word_id))",
-            f"d{k} AS (SELECT video_id, u, row_number() OVER ({order.format(seed=f'{k}-0')}) - 1 AS n FROM p QUALIFY n < {words})",
-            f"b{k + 1} AS MATERIALIZED (SELECT video_id, word_id, CASE WHEN total IS NOT NULL THEN {unit} ELSE coalesce(u, c) END AS c FROM e{k} LEFT JOIN d{k} USING (video_id, n))",
+            f"b{k + 1} AS MATERIALIZED (SELECT e.video_id, word_id, CASE WHEN total IS NOT NULL THEN {unit} ELSE coalesce(u, c) END AS c FROM e{k} e LEFT JOIN d ON d.video_id = e.video_id AND d.n = (e.n + {k}) % d.spares)",
         ]
     if packed:
         return f"SELECT * FROM (WITH {', '.join(tables)} SELECT video_id, word_id, c AS centroid FROM b{rounds})"

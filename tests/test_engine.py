@@ -271,7 +271,7 @@ def test_empty_words_are_drawn_anew(spark):
     patches = spark.createDataFrame(rows, "video_id string, event_idx int, frame_no int, patch_no int, p array<double>")
     words = spark.createDataFrame([("v", 0, [1.0, 0.0]), ("v", 1, [-1.0, 0.0]), ("v", 2, [-1.0, -1.0])], "video_id string, word_id int, centroid array<double>")
     kept = {r.word_id: r.centroid for r in vocabulary.kmeans_step(patches, words).collect()}
-    anew = {r.word_id: r.centroid for r in vocabulary.kmeans_step(patches, words, "seed").collect()}
+    anew = {r.word_id: r.centroid for r in vocabulary.kmeans_step(patches, words, vocabulary.drawn(patches, "seed", 2), 1).collect()}
     assert kept[1] == [-1.0, 0.0] and anew[0] == kept[0] and all(anew[k][0] > 0 for k in (1, 2))
     assert vocabulary.sampled(patches, 4, "s").count() == 4
 
