@@ -12,7 +12,7 @@ from ..functions import models
 from ..functions import text as T
 from ..operators import execute, features, frames, graph, planner, segment, simjoin, vocabulary
 from ..params import Params
-from ..sources.work import kept, new_path
+from ..sources.work import exists, kept, new_path
 from . import corpora as C
 
 
@@ -54,9 +54,7 @@ class Index:
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> Index:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/images")
-        there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-        return cls(*(spark.read.parquet(f"{folder}/{name}") for name in cls.NAMES if name != "images" or there))
+        return cls(*(spark.read.parquet(f"{folder}/{name}") for name in cls.NAMES if name != "images" or exists(spark, f"{folder}/images")))
 
 
 def tokens_per_frame(params: Params, model: str = "stub") -> int:

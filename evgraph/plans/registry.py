@@ -13,7 +13,7 @@ from ..params import Params
 from ..sources import datasets
 from . import corpora as C
 from . import engine
-from .oracles import context, label, rule_answers, sql, vocabulary_rounds
+from .oracles import CTES, context, label, rule_answers, sql, vocabulary_rounds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -304,6 +304,16 @@ def reasoning_paths(spark, sf_dir):
     return C.v_run(spark, sf_dir).paths.select("query_id", "video_id", "rank", _path_text(F.col("path")).alias("path"), *six("score"))
 
 
+@query()
+def capped_paths(spark, sf_dir):
+    """The best paths of the first two that are found of each query."""
+    paths = execute.reasoning_paths(C.v_run(spark, sf_dir).retained, max_enum=2)
+    return paths.select("query_id", "video_id", "rank", _path_text(F.col("path")).alias("path"), *six("score"))
+
+
+ORACLES["capped_paths"] = sql("SELECT query_id, video_id, rank, array_to_string(path, '-') AS path, round(score, 6) AS score FROM v_paths", {"v_full": CTES["v_full"].replace("<= 1000", "<= 2")})
+
+
 @query("SELECT query_id, video_id, array_to_string(list(event_idx ORDER BY event_idx), '-') AS path, 1.0::DOUBLE AS score FROM v_selected s WHERE NOT EXISTS (SELECT 1 FROM v_paths p WHERE p.query_id = s.query_id) GROUP BY query_id, video_id")
 def fallback_path(spark, sf_dir):
     """For the queries whose selection has no path."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .work import exists
 
 SAMPLE = ["id", "video_path", "question", "options", "answer"]
 EXTENSIONS = ("mp4", "mkv", "webm")
@@ -35,8 +36,7 @@ def resolve_first(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """path of the files under root, without their contents (none, if there is no such folder)."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    if not exists(spark, root):
         return spark.createDataFrame([], "path string")
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
 

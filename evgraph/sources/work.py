@@ -25,6 +25,12 @@ def work_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a path, in whatever store it lies."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Deletes a work table through Spark's own file systems."""
     jvm = spark.sparkContext._jvm

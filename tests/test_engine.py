@@ -1,5 +1,7 @@
 """Hand-written cases and invariants of the engine's operators."""
 
+import json
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -190,10 +192,29 @@ def test_results_round_trip(spark, tmp_path):
     assert sorted(r.id for r in done.collect()) == ["a", "b", "c", "d"]
     row = results.merge(spark, folder).first()
     assert (row.correct, row.valid, row.errors) == (1, 3, 1)
+    merged = [json.loads(line)["id"] for part in sorted((tmp_path / "merged.json").glob("part-*")) for line in part.read_text().splitlines()]
+    assert merged == ["a", "b", "c", "d"]  # in order of the files
     left = results.unfinished(spark.createDataFrame([("a",), ("z",)], "id string"), done)
     assert [r.id for r in left.collect()] == ["z"]
 
 
+def test_chunk_goes_on_where_it_broke_off(spark, tmp_path):
+    folder, samples, seen = f"file://{tmp_path}", spark.createDataFrame([(str(k),) for k in range(20)], "id string"), []
+
+    def answer(rows, fail=False):
+        if fail and len(seen) >= 8:
+            raise OSError("stopped")
+        seen.extend(r.id for r in rows.collect())
+        return rows.select("id", F.lit("A").alias("pred"), F.lit("A").alias("gt"))
+
+    with pytest.raises(OSError):
+        results.run_chunk(samples, lambda rows: answer(rows, True), folder, 3, parts=5)
+    assert results.scan_chunks(spark, folder).count() == 0 and 8 <= len(seen) < 20
+    results.run_chunk(samples, answer, folder, 3, parts=5)
+    assert sorted(seen, key=int) == [str(k) for k in range(20)]
+    assert sorted(int(r.id) for r in results.scan_chunks(spark, folder).collect()) == list(range(20)) and not (tmp_path / "results_chunk3.partial.json").exists()
+
+
 def test_question_scans(spark, tmp_path):
     root = f"file://{tmp_path}"
     (tmp_path / "VRBench_eval.jsonl").write_text('{"video_id": "v", "mcq": {"qa10": {"question": "q", "options": {"B": "y", "A": "x"}, "answer": " b. y"}, "qa2": {"question": "r", "options": ["x"], "answer": "a"}}}\n\n{"video_id": "w", "mcq": null}\n{"video_id": "u", "video_path": "own/u.mp4", "mcq": {"qa1": {"question": "q", "options": ["x"], "answer": "A"}}}\n')
