@@ -11,30 +11,35 @@ from pyspark.sql import DataFrame, SparkSession
 from evgraph.llm import common, jaccard, packing, quality, toxicity
 from evgraph.llm.queries import labels, vocabulary
 
-_SCORE = "_score"
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores at 0.5 or more."""
+    """Documents that the quality classifier scores at 0.5 or more. A null text is an empty one; repeated rows share their
+    fate; rows with a null doc_id are scored like any other; an empty table gives no rows; columns may have any names."""
     model = quality.fit_documents(docs, labels(spark, sf_dir))
-    found = quality.score(docs, model, docs.columns, _SCORE)
-    return found.filter(found[_SCORE] >= 0.5).select(*docs.columns)
+    score = common.fresh(docs, "score")
+    found = quality.score(docs, model, docs.columns, score)
+    return found.filter(found[score] >= 0.5).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon scores under 0.5."""
+    """Documents that the lexicon scores under 0.5. Null texts, repeated rows, null doc_ids, empty tables and names of
+    columns as in quality_stage."""
     lexicon = toxicity.fit_documents(docs, labels(spark, sf_dir))
-    found = toxicity.score(docs, lexicon, docs.columns, (_SCORE, "_hits"))
-    return found.filter(found[_SCORE] < 0.5).select(*docs.columns)
+    score = common.fresh(docs, "score")
+    found = toxicity.score(docs, lexicon, docs.columns, (score, f"{score}_hits"))
+    return found.filter(found[score] < 0.5).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles of a similarity of 0.8 or more."""
+    """One document of each group of near-duplicates (five-word shingles of a similarity of 0.8 or more): the smallest doc_id,
+    a null one only where there is no other. Texts without words, null ones too, are one group; of repeated rows one
+    stays; an empty table gives no rows; columns may have any names."""
     return jaccard.one_of_each(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1,024 tokens."""
+    """The pieces of all documents in sequences of 1,024 tokens. A null text is empty and still a piece; repeated rows are
+    packed each for itself; null doc_ids stay null; an empty table gives no rows; other columns are ignored."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=2)
 
 

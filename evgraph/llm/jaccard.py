@@ -1,16 +1,24 @@
-"""Near-duplicates of the pipeline: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-Candidates share a band of MinHash values: with BANDS of BAND_ROWS, a pair of similarity 0.8 shares none with a chance of
-(1 - 0.8 ** 5) ** 40, about 1e-7. SimHash has no such bands: pairs of 0.8 lie up to 18 of 64 bits apart. Each candidate is
-confirmed exactly by its sets, and components of confirmed pairs are the groups. A bucket of at most SMALL sets gives all
-pairs. A larger one first gives each member's NEIGHBOURS next ones, in an order of its own; then, since what is linked
-already needs no more links, only the pairs between the components found so far. So groups of near copies don't give all
-their pairs, and no pair that could join two groups is left out.
+"""Near-duplicates of the pipeline: BK-trees of SimHash fingerprints over five-word shingles, confirmed at a Jaccard similarity of 0.8.
+
+Two texts of that similarity can differ in many bits, so a shard isn't made of the fingerprint's own bands as in operator 8, but
+of texts that share a band of MinHash values: of BANDS bands with BAND_ROWS values a pair of 0.8 shares none with a chance
+of (1 - 0.8 ** 5) ** 20, about 4 in 10,000. Within a shard a BK-tree gives the fingerprints within RADIUS bits (a pair of 0.8
+differs in 10 on the average; beyond 20 lie about 2 in 10,000), of which those of fitting size are candidates. Every candidate
+is confirmed exactly by its sets of shingles; the components of confirmed pairs are the groups.
+
+In the shards of the first bands each text is tried with its nearest one only. What that links needs no more links, so a
+second pass over all shards tries the candidates whose ends lie in two components, and within a cell none whose ends have
+come together meanwhile: groups don't give all their pairs, and no candidate that could join two groups is left out. A cell
+is a block of one shard, the home of some texts, whose sets go there once; a text's home is its largest shard. Candidates
+are lists at the text that asks them, never a row for each pair, and its set goes to the homes of its list. A shard of more
+than TREE_MOST texts is dealt to blocks with a tree each; in the second pass the texts outside its largest component ask in
+all of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,20 +27,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .simhash import SEED, components
+from .simhash import SEED, BKTree, components, majority, one_row_of_each
 
 SHINGLE_WORDS = 5
 #: A similarity of 4 / 5 or more.
 LEAST = (4, 5)
-BANDS, BAND_ROWS = 40, 5
-#: Sets of a bucket that gives all pairs, and pairs of each member of a larger one at first.
-SMALL, NEIGHBOURS = 8, 3
-#: Pairs in a batch, and shingles that are hashed at a time.
-BATCH_PAIRS, BLOCK = 100_000, 4096
+RADIUS = 20
+BANDS, BAND_ROWS, FIRST_BANDS = 20, 5, 8
+#: Texts in a tree, about, and shingles of all texts in a block.
+TREE_MOST, BLOCK_SHINGLES = 1024, 1 << 20
+#: Rows in a batch, and shingles that are hashed at a time.
+BATCH_ROWS, BLOCK = 200, 4096
 
 _DRAW = np.random.default_rng(SEED)
 _XOR = _DRAW.integers(0, 1 << 64, (BANDS * BAND_ROWS, 1), np.uint64)
 _TIMES = _DRAW.integers(0, 1 << 64, (BANDS * BAND_ROWS, 1), np.uint64) | np.uint64(1)
+_MASK = (1 << 64) - 1
 
 
 def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -45,7 +55,7 @@ def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[:n].tolist()
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[-n:].tolist())], np.uint64))
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[-n:].tolist())), np.uint64, n))
 
 
 def name_of(found: np.ndarray) -> int:
@@ -64,30 +74,41 @@ def bands(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(rows[k].tobytes(), k) for k in range(BANDS)], np.uint64)
 
 
+def sizes_fit(a: int, b: int) -> bool:
+    """Whether sets of these sizes can have a similarity of LEAST."""
+    few, many = LEAST
+    return many * min(a, b) >= few * max(a, b)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets (distinct, in order) have a Jaccard similarity of LEAST or more."""
     few, many = LEAST
-    if many * min(len(a), len(b)) < few * max(len(a), len(b)):
+    if not sizes_fit(len(a), len(b)):
         return False
     both = np.sort(np.concatenate([a, b]))
     shared = int((both[1:] == both[:-1]).sum())
     return many * shared >= few * (len(both) - shared)
 
 
-def _signed(values: np.ndarray) -> pa.Array:
-    return pa.array(values.astype(np.uint64).view(np.int64))
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the name of the set), bands, shingles (bytes), a row for each row of docs."""
+def marks(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (the name of the set), sim (the fingerprint), n (shingles), keys (of the bands), a row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in common.split_batches(batches):
-            found = [shingles(t) for t in texts]
-            keys = pa.array([bands(s).view(np.int64) for s in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), _signed(np.array([name_of(s) for s in found], np.uint64)), keys, pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "fp", "bands", "shingles"])
+            fp, sim, n, keys = [], [], [], []
+            for text in texts:
+                found = shingles(text)
+                fp.append(name_of(found))
+                sim.append(majority(found))
+                n.append(len(found))
+                keys.append(bands(found).view(np.int64))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), _signed(fp), _signed(sim), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "sim", "n", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, bands array<long>, shingles binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, sim long, n int, keys array<long>")
 
 
 def names(docs: DataFrame, name: str) -> DataFrame:
@@ -95,132 +116,173 @@ def names(docs: DataFrame, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in common.split_batches(batches):
-            yield pa.RecordBatch.from_arrays([*rows.columns, _signed(np.array([name_of(shingles(t)) for t in texts], np.uint64))], [*rows.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*rows.columns, _signed([name_of(shingles(t)) for t in texts])], [*rows.schema.names, name])
 
     return docs.mapInArrow(run, docs.select("*").schema.add(name, "long"))
 
 
-def buckets(nodes: DataFrame) -> DataFrame:
-    """fps: the sets of each band key that several of nodes (fp, bands; a row for each fp) have."""
+def shards(nodes: DataFrame) -> DataFrame:
+    """key, band, texts, blocks, block, cell, fp, sim, n: the rows of nodes (fp, sim, n, keys) under each key that several have.
+    Large keys are dealt to blocks, in the first pass to others under each key, so that all meet; cells deal alike under
+    keys of as many blocks, so that a text's partners have few homes."""
+    keyed = nodes.select(F.posexplode("keys").alias("band", "key"), "fp", "sim", "n")
+    several = keyed.groupBy("key").agg(F.count("*").alias("texts"), F.sum("n").alias("all")).filter("texts > 1")
+    blocks = F.ceil(F.greatest(F.col("texts") / TREE_MOST, F.col("all") / BLOCK_SHINGLES)).cast("int")
+    # written, so that Spark knows its size when it joins
+    several, _ = common.write_work(several.select("key", "texts", blocks.alias("blocks")), "keys")
+    block, cell = (F.pmod(F.xxhash64(*by), F.col("blocks")).cast("int") for by in (("key", "fp"), ("fp",)))
+    return common.write_work(keyed.join(several, "key").select("key", "band", "texts", "blocks", block.alias("block"), cell.alias("cell"), "fp", "sim", "n"), "shards")[0]
+
+
+def _by_block(rows: DataFrame, like: DataFrame, *order: str) -> DataFrame:
+    """rows by their block; like: a written table of about their size, since Spark overrates what comes from joins."""
+    return rows.repartition(*common.more_partitions(like), "key", "block").sortWithinPartitions("key", "block", *order)
+
+
+_ASKS = "key long, block int, fp long, vs array<long>"
+
+
+def _batched(found: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of bounded size."""
+    names, kinds = zip(*(c.split() for c in schema.split(", ")))
+    types = [{"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}[k] for k in kinds]
+    while held := list(islice(found, BATCH_ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], list(names))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, BATCH_ROWS):
+            yield from zip(*(c.to_pylist() for c in batch.slice(first, BATCH_ROWS).columns))
+
+
+def first_asks(sharded: DataFrame, homes: DataFrame) -> DataFrame:
+    """Rows of _ASKS: each text of the first bands' shards with the nearest of those before it in its tree."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        at, tree, texts = None, BKTree(RADIUS), []
+        for key, block, fp, sim, n in _rows(batches):
+            if at != (key, block):
+                at, tree, texts = (key, block), BKTree(RADIUS), []
+            near = tree.nearest(sim & _MASK, lambda k: sizes_fit(texts[k][1], n), RADIUS // 4)
+            if near is not None:
+                yield fp, texts[near][0]
+            tree.add(sim & _MASK)
+            texts.append((fp, n))
+
+    rows = _by_block(sharded.filter(F.col("band") < FIRST_BANDS).select("key", "block", "fp", "sim", "n"), sharded, "fp")
+    near = rows.mapInArrow(lambda batches: _batched(pairs(batches), "u long, v long"), "u long, v long").distinct()
+    return near.join(homes.withColumnRenamed("fp", "v"), "v").groupBy("key", "block", F.col("u").alias("fp")).agg(F.collect_list("v").alias("vs"))
+
+
+def cross_asks(sharded: DataFrame, homes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of _ASKS: the candidates of all shards whose ends aren't in one component of roots (fp, root; others are alone)."""
+    placed = homes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.col("key").alias("home"), F.col("block").alias("home_block"))
+    rooted, _ = common.write_work(sharded.select("key", "blocks", F.col("cell").alias("block"), "fp", "sim", "n").join(placed, "fp"), "rooted")
+    counts = rooted.groupBy("key", "root").agg(F.count("*").alias("texts"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("texts", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1")
+    mixed, _ = common.write_work(mixed.select("key", F.col("most.root").alias("main")), "mixed")
+    inside = rooted.join(mixed, "key")
+    asked = inside.filter("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["key", "block", "main", "role", "fp", "sim", "n", "root", "home", "home_block"]
+    rows = inside.withColumn("role", F.lit(0)).select(*columns).unionByName(asked.withColumn("role", F.lit(1)).select(*columns))
+
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        at, tree, texts = None, BKTree(RADIUS), []
+        for key, block, main, role, fp, sim, n, root, *home in _rows(batches):
+            if at != (key, block):
+                at, tree, texts = (key, block), BKTree(RADIUS), []
+            if role == 0:
+                tree.add(sim & _MASK)
+                texts.append((fp, n, root, tuple(home)))
+                continue
+            found: dict[tuple, list[int]] = {}
+            for k in tree.near(sim & _MASK):
+                v, size, its, where = texts[k]
+                # two that ask are tried by the one of the larger name
+                if its != root and sizes_fit(size, n) and (its == main or v < fp):
+                    found.setdefault(where, []).append(v)
+            for where, vs in found.items():
+                yield *where, fp, vs
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        last = None
+    made = _by_block(rows, rooted, "role", "fp").mapInArrow(lambda batches: _batched(asks(batches), _ASKS), _ASKS)
+    # the same candidates come from several shards; a home has a block's texts at most
+    return made.groupBy("key", "block", "fp").agg(F.array_distinct(F.flatten(F.collect_list("vs"))).alias("vs"))
 
-        def given(groups: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            if groups:
-                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.list_(pa.int64()))], ["fps"])
 
-        for batch in batches:
-            key, fp = (batch.column(k).to_numpy() for k in (0, 1))
-            if not len(key):
-                continue
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            ends = np.append(first[1:], len(key))
-            done = []
-            for a, b in zip(first[(more := (ends - first > 1) | (first == 0) | (ends == len(key)))].tolist(), ends[more].tolist()):
-                if last is not None and key[a] != last:
-                    if sum(map(len, held)) > 1:
-                        done.append(np.concatenate(held))
-                    held = []
-                held.append(fp[a:b])
-                last = key[a]
-            yield from given(done)
-        if sum(map(len, held)) > 1:
-            yield from given([np.concatenate(held)])
-
-    keys = nodes.select(F.explode("bands").alias("key"), "fp")
-    return keys.repartition(*common.more_partitions(keys), "key").sortWithinPartitions("key", "fp").mapInArrow(run, "fps array<long>").distinct()
-
-
-def _pair_batches(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """(u, v), v < u, in batches of bounded size."""
-    held, size = [], 0
-    for a, b in found:
-        held.append((np.maximum(a, b), np.minimum(a, b)))
-        size += len(a)
-        if size >= BATCH_PAIRS:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["u", "v"])
-            held, size = [], 0
-    if size:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["u", "v"])
-
-
-def first_pairs(groups: DataFrame) -> DataFrame:
-    """u, v: all pairs of small buckets, neighbours in the others."""
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for batch in batches:
-            for fps in batch.column("fps"):
-                fps = fps.values.to_numpy()
-                if len(fps) > SMALL:  # an order that differs from bucket to bucket
-                    mixed = (fps.view(np.uint64) ^ np.uint64(xxhash.xxh64_intdigest(np.sort(fps).tobytes()))) * np.uint64(0x9E3779B97F4A7C15)
-                    fps = fps[np.argsort(mixed)]
-                for step in range(1, len(fps) if len(fps) <= SMALL else NEIGHBOURS + 1):
-                    yield fps[:-step], fps[step:]
-
-    return groups.mapInArrow(lambda batches: _pair_batches(pairs(batches)), "u long, v long").distinct()
-
-
-def cross_pairs(groups: DataFrame, tied: DataFrame) -> DataFrame:
-    """u, v: the pairs of large buckets whose members aren't in one component of tied (u, v: node, smallest of its component)."""
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for batch in batches:
-            for row in batch.column("found"):
-                fps, roots = (row.values.field(k).to_numpy() for k in (0, 1))
-                kinds, of, times = np.unique(roots, return_inverse=True, return_counts=True)
-                order = np.argsort(-times[of], kind="stable")  # the largest component first: its members are only others' partners
-                fps, of = fps[order], of[order]
-                for k in range(len(fps) - 1, int(times.max()) - 1, -1):
-                    other = np.flatnonzero(of[:k] != of[k])
-                    yield np.full(len(other), fps[k]), fps[other]
-
-    large = groups.filter(F.size("fps") > SMALL).select(F.xxhash64("fps").alias("bucket"), F.explode("fps").alias("fp"))
-    rooted = large.join(tied.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    several = rooted.groupBy("bucket").agg(F.collect_list(F.struct("fp", "root")).alias("found"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    return several.select("found").mapInArrow(lambda batches: _pair_batches(pairs(batches)), "u long, v long").distinct()
-
-
-def confirmed(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    """The pairs whose sets (of: fp, shingles) are similar."""
+def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """fp, shingles (bytes) for each of wanted (doc_id, fp: a row of docs that has the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = [similar(*(np.frombuffer(x.as_py(), np.uint64) for x in pair)) for pair in zip(batch.column("a"), batch.column("b"))]
-            yield batch.select(["u", "v"]).filter(pa.array(same, pa.bool_()))
+        for rows, texts in common.split_batches(batches):
+            found = [shingles(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([_signed([name_of(s) for s in found]), pa.array([s.tobytes() for s in found], pa.binary())], ["fp", "shingles"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
+    made = rows.join(ids, rows.doc_id.eqNullSafe(ids._id), "left_semi").select("text").mapInArrow(run, "fp long, shingles binary")
+    return made.join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
+
+
+def confirmed(asks: DataFrame, homes: DataFrame, roots: DataFrame | None, of: DataFrame) -> DataFrame:
+    """u, v: pairs of asks (written rows of _ASKS) whose sets (of: fp, shingles) are similar, enough of them to tie all
+    that are, beside what roots (fp, root) ties already. A task holds the sets of a cell's own texts."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+        at, held, above = None, {}, {}
+
+        def root(k: int) -> int:
+            while above.setdefault(k, k) != k:
+                k = above[k]
+            return k
+
+        for key, block, role, fp, own, vs, found in _rows(batches):
+            if at != (key, block):
+                at, held, above = (key, block), {}, {}
+            found = np.frombuffer(found, np.uint64)
+            if role == 0:
+                held[fp] = own, found
+                continue
+            for v in vs:
+                its, other = held[v]
+                if (a := root(own)) != (b := root(its)) and similar(found, other):
+                    above[max(a, b)] = min(a, b)
+                    yield max(fp, v), min(fp, v)
 
-    both = pairs.join(of.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u").join(of.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    cells = homes.join(asks.select("key", "block").distinct(), ["key", "block"], "left_semi")
+    rows = asks.withColumn("role", F.lit(1)).unionByName(cells.withColumns({"vs": F.array().cast("array<long>"), "role": F.lit(0)}))
+    rows = rows.withColumn("root", F.col("fp")) if roots is None else rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows = rows.join(of, "fp").select("key", "block", "role", "fp", "root", "vs", "shingles")
+    return _by_block(rows, of, "role").mapInArrow(lambda batches: _batched(pairs(batches), "u long, v long"), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the name of the row's set), component_id (the smallest fp reachable), a row for each row of docs. Texts
-    without words are copies of each other."""
-    spark = docs.sparkSession
-    marked, _ = common.write_work(sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "sets")
-    groups, _ = common.write_work(buckets(marked.select("fp", "bands").dropDuplicates(["fp"])), "buckets")
-    inside = groups.select(F.explode("fps").alias("fp")).distinct()
-    # of copies one row, without a shuffle of their sets
-    of, of_path = common.write_work(marked.select("fp", "shingles").join(inside, "fp", "left_semi").dropDuplicates(["fp"]), "inside")
-    first, _ = common.write_work(first_pairs(groups), "pairs")
-    links, _ = common.write_work(confirmed(first, of), "confirmed")
+    """doc_id, fp (the name of the row's set), component_id (the smallest fp reachable), a row for each row of docs.
+
+    Null texts and texts without words are copies of each other. A null doc_id stays null; repeated rows give repeated
+    results; other columns are ignored; an empty table gives no rows. Copies meet as one set after partial aggregation.
+    """
+    marked, marked_path = common.write_work(marks(docs), "marks")
+    nodes, nodes_path = common.write_work(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("sim").alias("sim"), F.max("n").alias("n"), F.max("keys").alias("keys")), "nodes")
+    sharded = shards(nodes)
+    homes, _ = common.write_work(sharded.groupBy("fp").agg(F.max(F.struct("texts", "key", "cell")).alias("home")).select("fp", "home.key", F.col("home.cell").alias("block")), "homes")
+    of, of_path = common.write_work(sets(docs, nodes.select("doc_id", "fp").join(homes, "fp", "left_semi")), "sets")
+    common.drop_folder(docs.sparkSession, nodes_path)
+    asks, _ = common.write_work(first_asks(sharded, homes), "asks")
+    links, _ = common.write_work(confirmed(asks, homes, None, of), "confirmed")
     tied = components(links)
-    roots = tied.unionByName(tied.select(F.col("v").alias("u"), "v").distinct())
-    more, _ = common.write_work(cross_pairs(groups, roots).join(first, ["u", "v"], "left_anti"), "pairs")
-    joined, _ = common.write_work(confirmed(more, of), "confirmed")
-    tied = components(links.unionByName(joined)) if joined.limit(1).count() else tied
-    common.drop_folder(spark, of_path)
+    roots = tied.unionByName(tied.select(F.col("v").alias("u"), "v").distinct()).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    asks, _ = common.write_work(cross_asks(sharded, homes, roots), "asks")
+    joined, _ = common.write_work(confirmed(asks, homes, roots, of), "confirmed")
+    common.drop_folder(docs.sparkSession, of_path)
+    tied = components(tied.unionByName(joined))
     classes, _ = common.write_work(tied.select(F.col("u").alias("fp"), F.col("v").alias("component_id")), "classes")
-    return marked.select("doc_id", "fp").join(classes, "fp", "left").withColumn("component_id", F.coalesce("component_id", "fp"))
+    found, _ = common.write_work(marked.select("doc_id", "fp").join(classes, "fp", "left").withColumn("component_id", F.coalesce("component_id", "fp")), "found")
+    common.drop_folder(docs.sparkSession, marked_path)
+    return found
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without near-duplicates: of each component the row with the smallest doc_id stays
-    (a null doc_id only where the component has no other; of rows with one doc_id and set, one)."""
-    own = "_set"
-    classes = near_duplicates(docs)
-    # nulls last, then the smallest doc_id
-    first = classes.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.fp").alias("_fp"))
-    marked = names(docs, own).dropDuplicates(["doc_id", own])
-    return marked.join(first, marked.doc_id.eqNullSafe(first._id) & (marked[own] == first._fp), "left_semi").select(*docs.columns)
+    (a null doc_id only where the component has no other; of rows with one doc_id and set, one). Names of columns may be any."""
+    return one_row_of_each(docs, near_duplicates(docs), names)

@@ -53,7 +53,7 @@ def corpus():
 def docs(spark):
     rows = [(k, t) for k, t in enumerate(corpus())]
     rows += [(7, rows[7][1]), (None, "alone here now"), (None, rows[9][1]), (None, None)]
-    return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "3 AS _fp", "'x' AS bands")
+    return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "3 AS _fp", "'x' AS keys", "1 AS _id", "2 AS component_id", "5 AS __ID")
 
 
 def test_stage_keeps_one_of_each_group(spark, docs):
@@ -71,14 +71,27 @@ def test_stage_keeps_one_of_each_group(spark, docs):
     assert corpus_pipeline.near_dedup_stage(spark, docs.limit(0), "").count() == 0
 
 
-@pytest.mark.parametrize("neighbours", [1, 3])
-def test_large_buckets_lose_no_link(spark, docs, monkeypatch, neighbours):
-    """Groups don't depend on the pairs that large buckets try first."""
-    monkeypatch.setattr(jaccard, "SMALL", 2)
-    monkeypatch.setattr(jaccard, "NEIGHBOURS", neighbours)
+@pytest.mark.parametrize("most, first", [(1, 1), (4, 2), (256, 20)])
+def test_blocks_lose_no_link(spark, docs, monkeypatch, most, first):
+    """Groups don't depend on how large shards are dealt to trees, or on the pairs that are tried first."""
+    monkeypatch.setattr(jaccard, "TREE_MOST", most)
+    monkeypatch.setattr(jaccard, "FIRST_BANDS", first)
     assert len({r.component_id for r in jaccard.near_duplicates(docs).collect()}) == len(set(plain_groups([r.text for r in docs.collect()])))
 
 
+def test_nearest():
+    draw = random.Random(6)
+    values = list({draw.getrandbits(12) for _ in range(300)})
+    tree = simhash.BKTree(3)
+    for v in values:
+        tree.add(v)
+    for x in range(0, 4096, 7):
+        fits = {k for k in range(len(values)) if (values[k] + x) % 3}
+        found = tree.nearest(x, lambda k: k in fits)
+        least = min(((values[k] ^ x).bit_count() for k in fits), default=99)
+        assert (found is None and least > 3) or (found in fits and (values[found] ^ x).bit_count() == least)
+
+
 def test_bands_hold_pairs_of_the_least_similarity():
     draw = random.Random(8)
     missed = pairs = 0
@@ -87,5 +100,5 @@ def test_bands_hold_pairs_of_the_least_similarity():
         a, b = jaccard.shingles(" ".join(words)), jaccard.shingles(edited(draw, words, draw.randrange(1, 5)))
         if jaccard.similar(a, b):
             pairs += 1
-            missed += not set(jaccard.bands(a)) & set(jaccard.bands(b))
+            missed += not set(jaccard.bands(a)) & set(jaccard.bands(b)) or (simhash.majority(a) ^ simhash.majority(b)).bit_count() > jaccard.RADIUS
     assert pairs > 100 and not missed
