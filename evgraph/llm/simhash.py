@@ -26,8 +26,8 @@ SEED = 42
 SHINGLE_WORDS = 3
 #: Fingerprints in one tree at most (never under 256, which a shard can have that isn't dealt any further).
 TREE_MOST = 1024
-#: Nodes whose links a task ties together before it passes them on.
-FOREST_NODES = 500_000
+#: Nodes whose links a task ties together before it passes them on, and links in a file of a round.
+FOREST_NODES, LINKS_A_FILE = 500_000, 500_000
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -225,7 +225,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        after, next_path = common.write_work(small, "links")
+        # few files for few links
+        after, next_path = common.write_work(small.coalesce(-(-size.n // LINKS_A_FILE)), "links")
         then = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         common.drop_folder(spark, path)
         now, path = after, next_path
