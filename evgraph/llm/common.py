@@ -58,8 +58,12 @@ def split_batches(batches: Iterable[pa.RecordBatch], column: str = "text") -> It
 
 def more_partitions(df: DataFrame, size: int = 128 << 20) -> list[int]:
     """[n] if parts of about `size` bytes of df are more than the session's shuffle partitions, else [], for repartitioning
-    calls whose count Spark may otherwise choose and merge. [] too where the size isn't known."""
-    n = -(-int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // size)
+    calls whose count Spark may otherwise choose and merge. [] too where the size isn't known, as after a join, whose size
+    Spark takes for the product of its sides'."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if "Join" in plan.toString():
+        return []
+    n = -(-int(plan.stats().sizeInBytes()) // size)
     if n > 10_000_000:  # a petabyte: Spark's way of saying that it doesn't know
         return []
     return [n] if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
