@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evaluate, execute, features, frames, graph, planner, segment, simjoin, vocabulary
 from ..params import Params
-from ..sources import datasets
+from ..sources import datasets, results
+from ..sources.work import new_path
 from . import corpora as C
 from . import engine
 from .oracles import CTES, context, label, rule_answers, sql, vocabulary_rounds
@@ -462,6 +464,76 @@ def latency_rollup(spark, sf_dir):
     return evaluate.latency_rollup(rows).select(*six("avg_tokens", "avg_online", "avg_offline"), "errors")
 
 
+# Scans and sinks, over files in the work folder
+
+
+@query("SELECT video_id, round(CASE WHEN fps > 0 THEN total_frames / fps ELSE 0.0 END, 6) AS duration FROM t_videos")
+def video_duration(spark, sf_dir):
+    return C.t_videos(spark, sf_dir).select("video_id", frames.duration(F.col("fps"), F.col("total_frames")).alias("duration")).select("video_id", *six("duration"))
+
+
+@query(
+    """
+    SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN '/videos/v' || doc_id || '.mp4' WHEN doc_id % 3 = 1 THEN '/videos/v' || doc_id || '.mkv' END AS video_path,
+        lang AS question, 'x|y' AS options, 'A' AS answer
+    FROM documents"""
+)
+def videomme_scan(spark, sf_dir):
+    """Questions of a Parquet file, their videos looked up among the files that are there."""
+    root = new_path(spark, "videomme")
+    docs = C.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("question_id"), F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("videoID"), F.col("lang").alias("question"), F.array(F.lit("x"), F.lit("y")).alias("options"), F.lit("A").alias("answer"), "doc_id")
+    docs.drop("doc_id").coalesce(1).write.parquet(f"{root}/videomme/test-00000-of-00001.parquet")
+    extension = F.when(F.col("doc_id") % 3 == 0, ".mp4").when(F.col("doc_id") % 3 == 1, ".mkv").otherwise(".avi")
+    there = docs.select(F.concat(F.lit(f"{root}/videos/"), "videoID", extension).alias("path"))
+    found = datasets.video_mme(spark, root, existing=there)
+    return found.select("id", F.replace("video_path", F.lit(_plain(root)), F.lit("")).alias("video_path"), "question", F.array_join("options", "|").alias("options"), "answer")
+
+
+@query(
+    """
+    SELECT conv_id || '_qa' || turn AS id, CAST(turn AS INTEGER) AS position, text AS question, 'A. ' || role || '|B. no' AS options, 'B' AS answer,
+        CASE conv_id % 4 WHEN 0 THEN '/videos/' || conv_id || '.mp4' WHEN 1 THEN '/videos/v001/' || conv_id || '.mp4' WHEN 2 THEN '/own/' || conv_id || '.mp4' END AS video_path
+    FROM conversations"""
+)
+def vrbench_scan(spark, sf_dir):
+    """Questions of a JSON-lines file, a line for each video, their videos at one of three places or nowhere."""
+    root = new_path(spark, "vrbench")
+    turns = C.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("video_id"), "conv_id", "turn", "role", "text")
+    options = F.create_map(F.lit("B"), F.lit("no"), F.lit("A"), F.col("role"))
+    qa = F.struct(F.concat(F.lit("qa"), F.col("turn").cast("string")).alias("key"), F.struct(F.col("text").alias("question"), options.alias("options"), F.lit(" b) no").alias("answer")).alias("qa"))
+    own = F.when(F.col("conv_id") % 4 == 2, F.concat(F.lit("own/"), "video_id", F.lit(".mp4")))
+    lines = turns.groupBy("video_id", "conv_id").agg(F.map_from_entries(F.collect_list(qa)).alias("mcq")).select("video_id", own.alias("video_path"), "mcq")
+    lines.select(F.to_json(F.struct("*"))).write.text(f"{root}/VRBench_eval.jsonl")
+    place = F.element_at(F.array(*map(F.lit, ("/videos/", "/videos/v001/", "/own/", "/elsewhere/"))), (F.col("conv_id") % 4 + 1).cast("int"))
+    there = turns.select("video_id", "conv_id").distinct().select(F.concat(F.lit(root), place, "video_id", F.lit(".mp4")).alias("path"))
+    found = datasets.vr_bench(spark, root, existing=there)
+    return found.select("id", "position", "question", F.array_join("options", "|").alias("options"), "answer", F.replace("video_path", F.lit(_plain(root)), F.lit("")).alias("video_path"))
+
+
+def _plain(root: str) -> str:
+    """A root as it begins resolved paths."""
+    return re.sub("//+", "/", re.sub(r"^\w+:(?://[^/]*)?", "", root))
+
+
+@query("SELECT CAST(coalesce(sum(CASE WHEN pred = gt THEN 1 ELSE 0 END), 0) AS BIGINT) AS correct, count(*) AS valid, round(coalesce(sum(CASE WHEN pred = gt THEN 1 ELSE 0 END), 0) / greatest(count(*), 1), 6) AS accuracy FROM q_results WHERE coalesce(gt, '') <> ''")
+def merged_metrics(spark, sf_dir):
+    """The metrics of three chunk files."""
+    folder = new_path(spark, "chunks")
+    rows = C.q_results(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "pred", "gt", F.lit(None).cast("string").alias("error"))
+    for k in range(3):
+        results.write_chunk(rows.filter(F.col("id").cast("long") % 3 == k), folder, k)
+    return results.merge(spark, folder).select("correct", "valid", *six("accuracy"))
+
+
+@query("SELECT CAST(id AS VARCHAR) AS id, pred, gt FROM q_results")
+def resumed_chunk(spark, sf_dir):
+    """The records of a chunk, answered part by part."""
+    folder = new_path(spark, "chunk")
+    rows = C.q_results(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "pred", "gt")
+    results.run_chunk(rows.select("id"), lambda some: some.join(rows, "id"), folder, 0, parts=3)
+    return results.scan_chunks(spark, folder).select("id", "pred", "gt")
+
+
 def _full_pipeline_sql() -> str:
     rest = """
         SELECT q.query_id, pred, round(score, 6) AS score, coalesce('The answer is ' || pred || '.', '') AS response, visual_tokens, num_selected
