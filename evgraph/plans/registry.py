@@ -85,7 +85,13 @@ def candidate_pairs(spark, sf_dir):
     return simjoin.sparse_similarity(*C.d_index(spark, sf_dir)).select("video_id", "src", "dst")
 
 
-@query("SELECT n.video_id, CAST(coalesce(v, 0) AS BIGINT) AS posting_visits, coalesce(p, 0) AS candidate_pairs, n * (n - 1) // 2 AS dense_pairs FROM d_n n LEFT JOIN (SELECT video_id, sum(n_z * n_z) AS v FROM d_weights WHERE n_z >= 2 AND gamma <> 0 GROUP BY ALL) USING (video_id) LEFT JOIN (SELECT video_id, count(*) AS p FROM d_sim GROUP BY ALL) USING (video_id)")
+@query(
+    """
+    SELECT n.video_id, CAST(coalesce(v, 0) AS BIGINT) AS posting_visits, coalesce(p, 0) AS candidate_pairs, n * (n - 1) // 2 AS dense_pairs
+    FROM d_n n
+    LEFT JOIN (SELECT video_id, sum(n_z * n_z) AS v FROM d_weights WHERE n_z >= 2 AND gamma <> 0 GROUP BY ALL) USING (video_id)
+    LEFT JOIN (SELECT video_id, count(*) AS p FROM d_sim GROUP BY ALL) USING (video_id)"""
+)
 def join_stats(spark, sf_dir):
     posts, weights, norms = C.d_index(spark, sf_dir)
     return simjoin.join_stats(weights, simjoin.sparse_similarity(posts, weights, norms), C.d_events(spark, sf_dir))
@@ -119,7 +125,11 @@ def pairwise_edges(spark, sf_dir):
     return simjoin.pairwise_edges(features.event_patches(C.v_patches(spark, sf_dir)), C.v_vectors(spark, sf_dir), C.DELTA).select("video_id", "src", "dst", *six("weight"))
 
 
-@query("SELECT video_id, word_id, dim, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY video_id, word_id)), 1e-12), 6) AS value FROM (SELECT video_id, word_id, CAST(d AS INTEGER) AS dim, sum(u[d + 1]) AS x FROM v_quant, (SELECT unnest(range(8)) AS d) GROUP BY ALL)")
+@query(
+    """
+    SELECT video_id, word_id, dim, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY video_id, word_id)), 1e-12), 6) AS value
+    FROM (SELECT video_id, word_id, CAST(d AS INTEGER) AS dim, sum(u[d + 1]) AS x FROM v_quant, (SELECT unnest(range(8)) AS d) GROUP BY ALL)"""
+)
 def kmeans_step(spark, sf_dir):
     moved = vocabulary.kmeans_step(C.v_patches(spark, sf_dir), C.v_codebook(spark, sf_dir))
     return moved.select("video_id", "word_id", F.posexplode("centroid").alias("dim", "value")).select("video_id", "word_id", "dim", *six("value"))
@@ -139,12 +149,25 @@ def cuts_to_events(spark, sf_dir):
     return C.t_events(spark, sf_dir).select("video_id", "event_idx", *six("start_sec", "end_sec"))
 
 
-@query("SELECT video_id, CAST(k AS INTEGER) AS event_idx, round(k * 5.0::DOUBLE, 6) AS start_sec, round(CASE WHEN k = n - 1 THEN d ELSE (k + 1) * 5.0::DOUBLE END, 6) AS end_sec FROM (SELECT video_id, d, n, unnest(range(n)) AS k FROM (SELECT video_id, CASE WHEN duration > 0 THEN duration ELSE 1.0 END AS d, CASE WHEN duration > 0 THEN CAST(ceil(duration / 5.0::DOUBLE) AS BIGINT) ELSE 1 END AS n FROM t_videos))")
+@query(
+    """
+    SELECT video_id, CAST(k AS INTEGER) AS event_idx, round(k * 5.0::DOUBLE, 6) AS start_sec, round(CASE WHEN k = n - 1 THEN d ELSE (k + 1) * 5.0::DOUBLE END, 6) AS end_sec
+    FROM (SELECT video_id, d, n, unnest(range(n)) AS k FROM (SELECT video_id, CASE WHEN duration > 0 THEN duration ELSE 1.0 END AS d, CASE WHEN duration > 0 THEN CAST(ceil(duration / 5.0::DOUBLE) AS BIGINT) ELSE 1 END AS n FROM t_videos))"""
+)
 def uniform_windows(spark, sf_dir):
     return segment.segment("uniform", C.t_videos(spark, sf_dir)).select("video_id", "event_idx", *six("start_sec", "end_sec"))
 
 
-_EVENTS_OF = "SELECT video_id, CAST(row_number() OVER w - 1 AS INTEGER) AS event_idx, round(s, 6) AS start_sec, round(lead(s) OVER w, 6) AS end_sec FROM (SELECT DISTINCT video_id, s FROM (SELECT c.video_id, c.s FROM ({cuts}) c JOIN ({videos}) v USING (video_id) WHERE c.s > 0 AND c.s < v.duration UNION ALL SELECT video_id, 0.0::DOUBLE FROM ({videos}) WHERE duration > 0 UNION ALL SELECT video_id, duration FROM ({videos}) WHERE duration > 0)) WINDOW w AS (PARTITION BY video_id ORDER BY s) QUALIFY lead(s) OVER w IS NOT NULL"
+_EVENTS_OF = """
+    SELECT video_id, CAST(row_number() OVER w - 1 AS INTEGER) AS event_idx, round(s, 6) AS start_sec, round(lead(s) OVER w, 6) AS end_sec
+    FROM (
+        SELECT DISTINCT video_id, s
+        FROM (
+            SELECT c.video_id, c.s FROM ({cuts}) c JOIN ({videos}) v USING (video_id) WHERE c.s > 0 AND c.s < v.duration
+            UNION ALL SELECT video_id, 0.0::DOUBLE FROM ({videos}) WHERE duration > 0
+            UNION ALL SELECT video_id, duration FROM ({videos}) WHERE duration > 0))
+    WINDOW w AS (PARTITION BY video_id ORDER BY s)
+    QUALIFY lead(s) OVER w IS NOT NULL"""
 
 
 @query(_EVENTS_OF.format(cuts="SELECT video_id, t AS s FROM (SELECT video_id, t, row_number() OVER (PARTITION BY video_id ORDER BY t) AS n FROM t_base WHERE event_type = 'purchase') WHERE n > 1", videos="SELECT video_id, duration FROM t_videos"))
@@ -193,12 +216,21 @@ def frames_per_event(spark, sf_dir):
     return C.t_events(spark, sf_dir).select("video_id", "event_idx", frames.frames_per_event(F.col("start_sec"), F.col("end_sec")).alias("m"))
 
 
-@query("SELECT video_id, event_idx, CAST(k AS INTEGER) AS frame_no, round(start_sec + (k + 0.5::DOUBLE) * (end_sec - start_sec) / m, 6) AS t_sec, least(CAST(trunc((start_sec + (k + 0.5::DOUBLE) * (end_sec - start_sec) / m) * fps) AS BIGINT), total_frames - 1) AS frame_id FROM (SELECT *, unnest(range(m)) AS k FROM t_m) JOIN t_videos USING (video_id)")
+@query(
+    """
+    SELECT video_id, event_idx, CAST(k AS INTEGER) AS frame_no, round(start_sec + (k + 0.5::DOUBLE) * (end_sec - start_sec) / m, 6) AS t_sec, least(CAST(trunc((start_sec + (k + 0.5::DOUBLE) * (end_sec - start_sec) / m) * fps) AS BIGINT), total_frames - 1) AS frame_id
+    FROM (SELECT *, unnest(range(m)) AS k FROM t_m)
+    JOIN t_videos USING (video_id)"""
+)
 def frame_sampling(spark, sf_dir):
     return frames.frame_sampling(C.t_events(spark, sf_dir), C.t_videos(spark, sf_dir)).select("video_id", "event_idx", "frame_no", *six("t_sec"), "frame_id")
 
 
-@query("SELECT video_id, CAST(k AS INTEGER) AS frame_no, CASE WHEN n < total_frames THEN CAST(round_even((k + 1) * CAST(total_frames - 1 AS DOUBLE) / (n + 1), 0) AS BIGINT) ELSE k END AS frame_id FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT video_id, total_frames, least(56, total_frames) AS n FROM t_videos WHERE total_frames > 0))")
+@query(
+    """
+    SELECT video_id, CAST(k AS INTEGER) AS frame_no, CASE WHEN n < total_frames THEN CAST(round_even((k + 1) * CAST(total_frames - 1 AS DOUBLE) / (n + 1), 0) AS BIGINT) ELSE k END AS frame_id
+    FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT video_id, total_frames, least(56, total_frames) AS n FROM t_videos WHERE total_frames > 0))"""
+)
 def uniform_sampling(spark, sf_dir):
     return frames.uniform_sampling(C.t_videos(spark, sf_dir))
 
@@ -239,12 +271,30 @@ def relevance(spark, sf_dir):
     return C.v_relevance(spark, sf_dir).select("query_id", "video_id", "event_idx", *six("rel"))
 
 
-@query("SELECT r.query_id, r.video_id, r.event_idx, round((r.rel + sum(t.rel * ln(1 + p.pi))) / c.cost, 6) AS density FROM v_rel r JOIN v_costs c USING (video_id, event_idx) JOIN v_ppr p ON p.video_id = r.video_id AND p.src = r.event_idx JOIN v_rel t ON t.query_id = r.query_id AND t.video_id = r.video_id AND t.event_idx = p.dst GROUP BY r.query_id, r.video_id, r.event_idx, r.rel, c.cost")
+@query(
+    """
+    SELECT r.query_id, r.video_id, r.event_idx, round((r.rel + sum(t.rel * ln(1 + p.pi))) / c.cost, 6) AS density
+    FROM v_rel r
+    JOIN v_costs c USING (video_id, event_idx)
+    JOIN v_ppr p ON p.video_id = r.video_id AND p.src = r.event_idx
+    JOIN v_rel t ON t.query_id = r.query_id AND t.video_id = r.video_id AND t.event_idx = p.dst
+    GROUP BY r.query_id, r.video_id, r.event_idx, r.rel, c.cost"""
+)
 def singleton_density(spark, sf_dir):
     return planner.singleton_density(C.v_relevance(spark, sf_dir), C.v_costs(spark, sf_dir).select("video_id", "event_idx", "cost"), C.v_reach(spark, sf_dir)).select("query_id", "video_id", "event_idx", *six("density"))
 
 
-@query("SELECT query_id, round(a + b, 6) AS value FROM (SELECT query_id, sum(rel) AS a FROM v_selected JOIN v_rel USING (query_id, video_id, event_idx) GROUP BY ALL) JOIN (SELECT query_id, sum(rel * ln(1 + x)) AS b FROM (SELECT s.query_id, s.video_id, p.dst AS event_idx, sum(p.pi) AS x FROM v_selected s JOIN v_ppr p ON p.video_id = s.video_id AND p.src = s.event_idx GROUP BY ALL) JOIN v_rel USING (query_id, video_id, event_idx) GROUP BY ALL) USING (query_id)")
+@query(
+    """
+    SELECT query_id, round(a + b, 6) AS value
+    FROM (SELECT query_id, sum(rel) AS a FROM v_selected JOIN v_rel USING (query_id, video_id, event_idx) GROUP BY ALL)
+    JOIN (
+        SELECT query_id, sum(rel * ln(1 + x)) AS b
+        FROM (SELECT s.query_id, s.video_id, p.dst AS event_idx, sum(p.pi) AS x FROM v_selected s JOIN v_ppr p ON p.video_id = s.video_id AND p.src = s.event_idx GROUP BY ALL)
+        JOIN v_rel USING (query_id, video_id, event_idx)
+        GROUP BY ALL)
+    USING (query_id)"""
+)
 def objective_value(spark, sf_dir):
     run = C.v_run(spark, sf_dir)
     return planner.objective_value(run.selected, run.relevance, run.reach).select("query_id", *six("value"))
@@ -316,7 +366,13 @@ def capped_paths(spark, sf_dir):
 ORACLES["capped_paths"] = sql("SELECT query_id, video_id, rank, array_to_string(path, '-') AS path, round(score, 6) AS score FROM v_paths", {"v_full": CTES["v_full"].replace("<= 1000", "<= 2")})
 
 
-@query("SELECT query_id, video_id, array_to_string(list(event_idx ORDER BY event_idx), '-') AS path, 1.0::DOUBLE AS score FROM v_selected s WHERE NOT EXISTS (SELECT 1 FROM v_paths p WHERE p.query_id = s.query_id) GROUP BY query_id, video_id")
+@query(
+    """
+    SELECT query_id, video_id, array_to_string(list(event_idx ORDER BY event_idx), '-') AS path, 1.0::DOUBLE AS score
+    FROM v_selected s
+    WHERE NOT EXISTS (SELECT 1 FROM v_paths p WHERE p.query_id = s.query_id)
+    GROUP BY query_id, video_id"""
+)
 def fallback_path(spark, sf_dir):
     """For the queries whose selection has no path."""
     run = C.v_run(spark, sf_dir)
@@ -335,7 +391,12 @@ def cot_timeline(spark, sf_dir):
     return execute.cot_timeline(C.v_run(spark, sf_dir).selected, C.clock(spark, sf_dir), C.v_costs(spark, sf_dir).select("video_id", "event_idx", "n_frames"))
 
 
-@query("SELECT query_id, letter AS pred, round(s, 6) AS score FROM (SELECT query_id, chr(CAST(65 + (list_sum(path) + query_id) % 3 AS INTEGER)) AS letter, sum(score) AS s, min(rank) AS r FROM v_paths GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, r) = 1")
+@query(
+    """
+    SELECT query_id, letter AS pred, round(s, 6) AS score
+    FROM (SELECT query_id, chr(CAST(65 + (list_sum(path) + query_id) % 3 AS INTEGER)) AS letter, sum(score) AS s, min(rank) AS r FROM v_paths GROUP BY ALL)
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, r) = 1"""
+)
 def weighted_vote(spark, sf_dir):
     paths = C.v_run(spark, sf_dir).paths
     letter = F.char((F.lit(65) + (F.aggregate("path", F.lit(0), lambda s, x: s + x) + F.col("query_id")) % 3).cast("int"))
@@ -441,7 +502,12 @@ def chunk_assign(spark, sf_dir):
     return evaluate.chunk_assign(C.q_samples(spark, sf_dir), 7).select("id", "position", "chunk")
 
 
-@query("SELECT id, position, chunk FROM (SELECT *, CAST(position // CAST(ceil(n / 3) AS BIGINT) AS INTEGER) AS chunk FROM (SELECT id, row_number() OVER (ORDER BY coalesce(video_path, ''), id) - 1 AS position, count(*) OVER () AS n FROM (SELECT * FROM q_samples ORDER BY CAST(id AS BIGINT) LIMIT 100))) WHERE chunk = 1")
+@query(
+    """
+    SELECT id, position, chunk
+    FROM (SELECT *, CAST(position // CAST(ceil(n / 3) AS BIGINT) AS INTEGER) AS chunk FROM (SELECT id, row_number() OVER (ORDER BY coalesce(video_path, ''), id) - 1 AS position, count(*) OVER () AS n FROM (SELECT * FROM q_samples ORDER BY CAST(id AS BIGINT) LIMIT 100)))
+    WHERE chunk = 1"""
+)
 def limited_chunk(spark, sf_dir):
     """The second of three chunks of the first hundred samples of the file."""
     samples = C.q_samples(spark, sf_dir).withColumn("row", F.col("id").cast("long"))
@@ -453,12 +519,21 @@ def error_records(spark, sf_dir):
     return evaluate.error_records(C.q_samples(spark, sf_dir))
 
 
-@query("SELECT CAST(coalesce(sum(CASE WHEN pred = gt THEN 1 ELSE 0 END), 0) AS BIGINT) AS correct, count(*) AS valid, round(coalesce(sum(CASE WHEN pred = gt THEN 1 ELSE 0 END), 0) / greatest(count(*), 1), 6) AS accuracy FROM q_results WHERE coalesce(gt, '') <> ''")
+@query(
+    """
+    SELECT CAST(coalesce(sum(CASE WHEN pred = gt THEN 1 ELSE 0 END), 0) AS BIGINT) AS correct, count(*) AS valid, round(coalesce(sum(CASE WHEN pred = gt THEN 1 ELSE 0 END), 0) / greatest(count(*), 1), 6) AS accuracy
+    FROM q_results
+    WHERE coalesce(gt, '') <> ''"""
+)
 def accuracy(spark, sf_dir):
     return evaluate.accuracy(C.q_results(spark, sf_dir)).select("correct", "valid", *six("accuracy"))
 
 
-@query("SELECT round(avg(value), 6) AS avg_tokens, round(avg(value / 10), 6) AS avg_online, round(avg(nullif(CASE WHEN event_id % 3 = 0 THEN 0 ELSE value END, 0)), 6) AS avg_offline, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events")
+@query(
+    """
+    SELECT round(avg(value), 6) AS avg_tokens, round(avg(value / 10), 6) AS avg_online, round(avg(nullif(CASE WHEN event_id % 3 = 0 THEN 0 ELSE value END, 0)), 6) AS avg_offline, count(*) FILTER (WHERE event_type = 'error') AS errors
+    FROM events"""
+)
 def latency_rollup(spark, sf_dir):
     rows = C.table(spark, sf_dir, "events").select(F.col("value").alias("visual_tokens"), (F.col("value") / 10).alias("online_time"), F.when(F.col("event_id") % 3 == 0, 0.0).otherwise(F.col("value")).alias("offline_time"), F.when(F.col("event_type") == "error", "failed").alias("error"))
     return evaluate.latency_rollup(rows).select(*six("avg_tokens", "avg_online", "avg_offline"), "errors")
@@ -515,7 +590,12 @@ def _plain(root: str) -> str:
     return re.sub("//+", "/", re.sub(r"^\w+:(?://[^/]*)?", "", root))
 
 
-@query("SELECT CAST(coalesce(sum(CASE WHEN pred = gt THEN 1 ELSE 0 END), 0) AS BIGINT) AS correct, count(*) AS valid, round(coalesce(sum(CASE WHEN pred = gt THEN 1 ELSE 0 END), 0) / greatest(count(*), 1), 6) AS accuracy FROM q_results WHERE coalesce(gt, '') <> ''")
+@query(
+    """
+    SELECT CAST(coalesce(sum(CASE WHEN pred = gt THEN 1 ELSE 0 END), 0) AS BIGINT) AS correct, count(*) AS valid, round(coalesce(sum(CASE WHEN pred = gt THEN 1 ELSE 0 END), 0) / greatest(count(*), 1), 6) AS accuracy
+    FROM q_results
+    WHERE coalesce(gt, '') <> ''"""
+)
 def merged_metrics(spark, sf_dir):
     """The metrics of three chunk files."""
     folder = new_path(spark, "chunks")
