@@ -23,6 +23,7 @@ def rowless(monkeypatch):
 
 ROWLESS = [
     "greedy_select",
+    "objective_value",
 ]
 
 
