@@ -24,6 +24,7 @@ def rowless(monkeypatch):
 ROWLESS = [
     "greedy_select",
     "objective_value",
+    "fallback_path",
 ]
 
 
