@@ -25,6 +25,7 @@ ROWLESS = [
     "greedy_select",
     "objective_value",
     "fallback_path",
+    "selection_cost",
 ]
 
 
