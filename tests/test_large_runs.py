@@ -26,6 +26,7 @@ ROWLESS = [
     "objective_value",
     "fallback_path",
     "selection_cost",
+    "induced_subgraph",
 ]
 
 
