@@ -27,6 +27,7 @@ ROWLESS = [
     "fallback_path",
     "selection_cost",
     "induced_subgraph",
+    "parse_verification",
 ]
 
 
