@@ -28,6 +28,7 @@ ROWLESS = [
     "selection_cost",
     "induced_subgraph",
     "parse_verification",
+    "reasoning_paths",
 ]
 
 
