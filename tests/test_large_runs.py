@@ -29,6 +29,7 @@ ROWLESS = [
     "induced_subgraph",
     "parse_verification",
     "reasoning_paths",
+    "capped_paths",
 ]
 
 
