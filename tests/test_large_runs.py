@@ -30,6 +30,7 @@ ROWLESS = [
     "parse_verification",
     "reasoning_paths",
     "capped_paths",
+    "weighted_vote",
 ]
 
 
