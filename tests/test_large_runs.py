@@ -31,6 +31,7 @@ ROWLESS = [
     "reasoning_paths",
     "capped_paths",
     "weighted_vote",
+    "path_context",
 ]
 
 
