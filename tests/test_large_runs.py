@@ -32,6 +32,7 @@ ROWLESS = [
     "capped_paths",
     "weighted_vote",
     "path_context",
+    "retained_edges",
 ]
 
 
