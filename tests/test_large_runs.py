@@ -33,6 +33,7 @@ ROWLESS = [
     "weighted_vote",
     "path_context",
     "retained_edges",
+    "fallback_select",
 ]
 
 
