@@ -34,6 +34,7 @@ ROWLESS = [
     "path_context",
     "retained_edges",
     "fallback_select",
+    "random_select",
 ]
 
 
