@@ -35,6 +35,7 @@ ROWLESS = [
     "retained_edges",
     "fallback_select",
     "random_select",
+    "singleton_density",
 ]
 
 
