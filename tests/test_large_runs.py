@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from evgraph.operators import planner
+from evgraph.operators import planner, vocabulary
 from evgraph.plans import corpora, registry
 
 
@@ -73,3 +73,19 @@ def test_picks_beyond_the_head():
         plain.append(int(np.round(gains, 9).argmax()))
         reached = reached + pi[plain[-1]]
     assert chosen == plain
+
+
+def test_vocabulary_of_all_patches(spark, sf_dir, monkeypatch):
+    """SQL has all patches of a video, however many there are."""
+    learn, samples = vocabulary.visual_vocabulary, []
+
+    def noted(patches, words, iterations=1, sample=100_000):
+        samples.append(sample)
+        return learn(patches, words, iterations, sample)
+
+    monkeypatch.setattr(vocabulary, "visual_vocabulary", noted)
+    registry.QUERIES["visual_vocabulary"](spark, sf_dir)
+    rows = spark.createDataFrame([("v", 0, 0, k, [1.0, float(k)]) for k in range(9)], "video_id string, event_idx int, frame_no int, patch_no int, p array<double>")
+    whole, cut = (np.ravel([r.centroid for r in learn(rows, 1, 1, most).collect()]) for most in (None, 2))
+    total = np.sum([np.array([1, k]) / np.hypot(1, k) for k in range(9)], axis=0)
+    assert samples == [None] and np.allclose(whole, total / np.linalg.norm(total)) and not np.allclose(whole, cut)
