@@ -1,10 +1,12 @@
 """What keeps a run whole at size: relevance is found where it is used, work is dealt by tasks, nothing is sampled."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
 from evgraph.operators import planner, vocabulary
-from evgraph.plans import corpora, registry
+from evgraph.plans import corpora, engine, registry
 
 
 _RUN = {}
@@ -89,3 +91,9 @@ def test_vocabulary_of_all_patches(spark, sf_dir, monkeypatch):
     whole, cut = (np.ravel([r.centroid for r in learn(rows, 1, 1, most).collect()]) for most in (None, 2))
     total = np.sum([np.array([1, k]) / np.hypot(1, k) for k in range(9)], axis=0)
     assert samples == [None] and np.allclose(whole, total / np.linalg.norm(total)) and not np.allclose(whole, cut)
+
+
+def test_answers_without_rows_of_relevance(rowless, spark, sf_dir):
+    """The engine's own selection, which full_pipeline takes; one round of k-means keeps this short."""
+    found = engine.answers_on_vectors(spark, sf_dir, replace(engine.VECTORS, kmeans_iterations=1), "rule")
+    assert found.count() == corpora.v_queries(spark, sf_dir).count()
