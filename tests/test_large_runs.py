@@ -97,3 +97,26 @@ def test_answers_without_rows_of_relevance(rowless, spark, sf_dir):
     """The engine's own selection, which full_pipeline takes; one round of k-means keeps this short."""
     found = engine.answers_on_vectors(spark, sf_dir, replace(engine.VECTORS, kmeans_iterations=1), "rule")
     assert found.count() == corpora.v_queries(spark, sf_dir).count()
+
+
+def test_words_of_odd_patches(spark):
+    """Batches of patches give what column expressions do, whatever the patches hold."""
+    ps = [[1.0, 0.0], [0.0, 2.0], None, [None, 1.0], [float("nan"), 1.0], [float("inf"), 1.0], [1.0], [], [0.0, 0.0], [1e200, 1e200]]
+    rows = [(v, 0, 0, k, p) for v in ("a", "b", "c", None) for k, p in enumerate(ps)]
+    patches = spark.createDataFrame(rows, "video_id string, event_idx int, frame_no int, patch_no int, p array<double>").repartition(2)
+    words = spark.createDataFrame([("a", 3, [1.0, 0.0]), ("a", 5, [0.0, 1.0]), ("b", 0, [0.0, 1.0]), ("b", 1, [1.0, 0.0])], "video_id string, word_id int, centroid array<double>")
+    plain, found = (sorted(map(tuple, vocabulary.quantize(patches, words, in_row_words=most).collect())) for most in (10, 0))
+    assert found == plain and len(found) == 2 * len(ps)
+
+
+def test_rounds_by_sums_and_tables(spark, sf_dir, monkeypatch):
+    """The vocabulary is the same where codebooks may be broadcast; then a round writes no table."""
+    written, keep = [], vocabulary.kept
+    monkeypatch.setattr(vocabulary, "kept", lambda df, name: (written.append(name), keep(df, name))[1])
+    patches = corpora.v_patches(spark, sf_dir)
+    by = lambda words: {(r.video_id, r.word_id): r.centroid for r in words.collect()}
+    found = by(vocabulary.visual_vocabulary(patches, 100, 4, None))
+    assert written == ["patches", "codebook", "spare", "codebook"]
+    monkeypatch.setattr(vocabulary, "BROADCAST_VALUES", 0)
+    plain = by(vocabulary.visual_vocabulary(patches, 100, 4, None))
+    assert found.keys() == plain.keys() and all(np.allclose(found[k], plain[k], atol=1e-9) for k in plain) and len(found) == 1000
