@@ -120,3 +120,28 @@ def test_rounds_by_sums_and_tables(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(vocabulary, "BROADCAST_VALUES", 0)
     plain = by(vocabulary.visual_vocabulary(patches, 100, 4, None))
     assert found.keys() == plain.keys() and all(np.allclose(found[k], plain[k], atol=1e-9) for k in plain) and len(found) == 1000
+
+
+def test_reach_moves_within_reach(spark, monkeypatch):
+    """Sources of a long video meet no more of its events than they can reach, and get what the dense walk gives."""
+    import pandas as pd
+
+    from evgraph.operators import graph
+
+    n, times = 400, graph.rounds()
+    rng = np.random.default_rng(5)
+    edges = {(k, k + 1): 1.0 for k in range(n - 1) if k % 150 != 149} | {(int(a), int(a) + int(d)): 0.5 for a, d in zip(rng.integers(0, n - 9, 40), rng.integers(2, 9, 40))}
+    matrix = np.zeros((n, n))
+    for (a, b), w in edges.items():
+        matrix[a, b] = w
+    sinks = matrix.sum(1) == 0
+    matrix[sinks, sinks] = 1.0
+    matrix /= matrix.sum(1, keepdims=True)
+    src, dst = np.nonzero(matrix)
+    rows = pd.DataFrame({"video_id": "v", "src": src.astype(np.int32), "dst": dst.astype(np.int32), "p": matrix[src, dst]})
+    wanted = np.eye(n) * 0.15
+    for _ in range(times):
+        wanted = wanted @ matrix * 0.85 + np.eye(n) * 0.15
+    found = np.array([r.pi for r in graph.ppr(spark.createDataFrame(rows), sources=100).orderBy("src").collect()])
+    assert np.allclose(found, wanted, atol=1e-12)
+    assert graph.within_reach(n, src, dst, np.arange(64), times).sum() < 160
