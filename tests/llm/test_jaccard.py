@@ -102,3 +102,17 @@ def test_bands_hold_pairs_of_the_least_similarity():
             pairs += 1
             missed += not set(jaccard.bands(a)) & set(jaccard.bands(b)) or (simhash.majority(a) ^ simhash.majority(b)).bit_count() > jaccard.RADIUS
     assert pairs > 100 and not missed
+
+
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    """Links that fill no file are one forest: one more table, however long their chains; rounds give the same."""
+    from evgraph.llm import simhash
+
+    written, write = [], simhash.common.write_work
+    monkeypatch.setattr(simhash.common, "write_work", lambda df, name: (written.append(name), write(df, name))[1])
+    chain = [(k + 1, k) for k in range(300)] + [(1000, 2000), (2000, 1500), (-7, 5000)]
+    edges = spark.createDataFrame([(max(e), min(e)) for e in chain], "u long, v long").repartition(7)
+    found = {tuple(r) for r in simhash.components(edges).collect()}
+    assert len(written) == 2 and found == {(k, 0) for k in range(1, 301)} | {(1500, 1000), (2000, 1000), (5000, -7)}
+    monkeypatch.setattr(simhash, "LINKS_A_FILE", 1)
+    assert {tuple(r) for r in simhash.components(edges).collect()} == found and len(written) > 4
