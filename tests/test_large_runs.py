@@ -145,3 +145,20 @@ def test_reach_moves_within_reach(spark, monkeypatch):
     found = np.array([r.pi for r in graph.ppr(spark.createDataFrame(rows), sources=100).orderBy("src").collect()])
     assert np.allclose(found, wanted, atol=1e-12)
     assert graph.within_reach(n, src, dst, np.arange(64), times).sum() < 160
+
+
+def test_reach_by_lists(spark, sf_dir):
+    """The index keeps what a source reaches, not a value for each event of its video."""
+    from evgraph.operators import graph
+
+    moves = corpora.v_transitions(spark, sf_dir)
+    plain = {(r.video_id, r.src): [(k, x) for k, x in enumerate(r.pi) if x > 0] for r in graph.ppr(moves).collect()}
+    lists = {(r.video_id, r.src): list(zip(r.dst, r.pi)) for r in graph.ppr_lists(moves, sources=5).collect()}
+    assert lists.keys() == plain.keys()
+    for key, own in plain.items():
+        assert [k for k, _ in lists[key]] == [k for k, _ in own] and np.allclose([x for _, x in lists[key]], [x for _, x in own], atol=1e-12)
+    index = engine.build_index(corpora.clock(spark, sf_dir), corpora.v_frames(spark, sf_dir), corpora.v_patches(spark, sf_dir), engine.VECTORS, corpora.v_codebook(spark, sf_dir))
+    assert index.reach.columns == ["video_id", "src", "dst", "pi"]
+    asked, costs = corpora.v_asked(spark, sf_dir), corpora.v_costs(spark, sf_dir)
+    found, wanted = (planner.greedy_select(asked, costs, reach, corpora.BUDGET) for reach in (index.reach, corpora.v_reach(spark, sf_dir)))
+    assert found.exceptAll(wanted).count() == wanted.exceptAll(found).count() == 0 < found.count()
