@@ -162,3 +162,13 @@ def test_reach_by_lists(spark, sf_dir):
     asked, costs = corpora.v_asked(spark, sf_dir), corpora.v_costs(spark, sf_dir)
     found, wanted = (planner.greedy_select(asked, costs, reach, corpora.BUDGET) for reach in (index.reach, corpora.v_reach(spark, sf_dir)))
     assert found.exceptAll(wanted).count() == wanted.exceptAll(found).count() == 0 < found.count()
+
+
+def plan(rows):
+    """The plan of rows, before it runs."""
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_run_pools_vectors_once(spark, sf_dir):
+    """The objective reads the pooled vectors that the run wrote, instead of pooling all frames again."""
+    assert "avg(" not in plan(registry.QUERIES["objective_value"](spark, sf_dir))
