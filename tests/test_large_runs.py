@@ -172,3 +172,9 @@ def plan(rows):
 def test_run_pools_vectors_once(spark, sf_dir):
     """The objective reads the pooled vectors that the run wrote, instead of pooling all frames again."""
     assert "avg(" not in plan(registry.QUERIES["objective_value"](spark, sf_dir))
+
+
+def test_run_finds_costs_once(spark, sf_dir):
+    """Costs are read from the run's table, not counted again from all vectors."""
+    text = plan(registry.QUERIES["selection_cost"](spark, sf_dir))
+    assert "Join" in text and "label" not in text
