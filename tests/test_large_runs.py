@@ -178,3 +178,22 @@ def test_run_finds_costs_once(spark, sf_dir):
     """Costs are read from the run's table, not counted again from all vectors."""
     text = plan(registry.QUERIES["selection_cost"](spark, sf_dir))
     assert "Join" in text and "label" not in text
+
+
+def test_gains_by_blocks(monkeypatch):
+    """A long video whose sources reach little is found by small matrices, neither by one of all its events nor by lists."""
+    import pandas as pd
+
+    n, width = 1000, 20
+    dst = [[*range(k, min(n, k + width)), *([n - 1] if k % 7 == 0 and k < n - width else [])] for k in range(n)]
+    dst[5], rng = [], np.random.default_rng(8)
+    events = pd.DataFrame({"event_idx": np.arange(n), "dst": dst, "pi": [list(rng.random(len(d))) for d in dst]})
+    rel, matrix = rng.random((30, n)), np.zeros((n, n))
+    for k, (d, p) in enumerate(zip(events.dst, events.pi)):
+        matrix[k, d] = p
+    monkeypatch.setattr(planner.Reached, "DENSE", n * n // 4)
+    monkeypatch.setattr(planner.Reached, "AT_ONCE", None)
+    assert np.allclose(planner.Reached(events).gains(rel), rel @ np.log1p(matrix).T)
+    monkeypatch.setattr(planner.Reached, "DENSE", 0)
+    monkeypatch.setattr(planner.Reached, "AT_ONCE", 9000)
+    assert np.allclose(planner.Reached(events).gains(rel), rel @ np.log1p(matrix).T)
