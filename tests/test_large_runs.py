@@ -197,3 +197,16 @@ def test_gains_by_blocks(monkeypatch):
     monkeypatch.setattr(planner.Reached, "DENSE", 0)
     monkeypatch.setattr(planner.Reached, "AT_ONCE", 9000)
     assert np.allclose(planner.Reached(events).gains(rel), rel @ np.log1p(matrix).T)
+
+
+def test_turns_with_one_copy_of_events(spark, sf_dir):
+    """A task answers its queries in turns with the copy of the events that it has."""
+    asked = corpora.v_asked(spark, sf_dir)
+
+    def run(queries, events, _):
+        events.attrs["turn"] = events.attrs.get("turn", 0) + 1
+        return queries[["query_id", "video_id"]].assign(turn=events.attrs["turn"], size=len(queries))
+
+    rows = planner._dealt(planner._queries(asked), asked.vectors, run, "turn int, size int", 4).collect()
+    assert max(r.turn for r in rows) == planner.TURNS and max(r.size for r in rows) < 12
+    assert sorted(r.query_id for r in rows) == sorted(r.query_id for r in asked.queries.collect())
