@@ -210,3 +210,8 @@ def test_turns_with_one_copy_of_events(spark, sf_dir):
     rows = planner._dealt(planner._queries(asked), asked.vectors, run, "turn int, size int", 4).collect()
     assert max(r.turn for r in rows) == planner.TURNS and max(r.size for r in rows) < 12
     assert sorted(r.query_id for r in rows) == sorted(r.query_id for r in asked.queries.collect())
+
+
+def test_codebook_once(spark, sf_dir):
+    """The first patches of all videos are put in order once, though the codebook is read more than once."""
+    assert "row_number" not in plan(corpora.v_codebook(spark, sf_dir))
