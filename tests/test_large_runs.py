@@ -215,3 +215,8 @@ def test_turns_with_one_copy_of_events(spark, sf_dir):
 def test_codebook_once(spark, sf_dir):
     """The first patches of all videos are put in order once, though the codebook is read more than once."""
     assert "row_number" not in plan(corpora.v_codebook(spark, sf_dir))
+
+
+def test_events_once(spark, sf_dir):
+    """The times of a path's events come from the table of events, not from all vectors."""
+    assert "label" not in plan(corpora.clock(spark, sf_dir))
