@@ -5,7 +5,7 @@ from dataclasses import replace
 import numpy as np
 import pytest
 
-from evgraph.operators import planner, vocabulary
+from evgraph.operators import planner, simjoin, vocabulary
 from evgraph.plans import corpora, engine, registry
 
 
@@ -220,3 +220,15 @@ def test_codebook_once(spark, sf_dir):
 def test_events_once(spark, sf_dir):
     """The times of a path's events come from the table of events, not from all vectors."""
     assert "label" not in plan(corpora.clock(spark, sf_dir))
+
+
+def test_edges_by_the_runs_vectors(spark, sf_dir, monkeypatch):
+    """The candidates whose replies are parsed have cosines of vectors that are there already."""
+    vectors, seen = corpora.v_vectors(spark, sf_dir), []
+    found = simjoin.global_cosine
+    monkeypatch.setattr(simjoin, "global_cosine", lambda pairs, rows: (seen.append(rows), found(pairs, rows))[1])
+    corpora.v_semantic(spark, sf_dir, vectors)
+    monkeypatch.setattr(corpora, "_RUNS", {})
+    monkeypatch.setattr(corpora, "_SHARED", {})
+    run = corpora.v_run(spark, sf_dir)
+    assert seen[0] is vectors and seen[1] is run.asked.vectors
